@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "ranking_queries",
+    "partner_queries",
 ]
 
 
