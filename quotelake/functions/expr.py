@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,8 +18,14 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def contains_any(text: Column, tokens: list[str]) -> Column:
-    """True when any token occurs in ``text`` (literal, case-sensitive)."""
-    return any_of([text.contains(t) for t in tokens])
+    """True when any token occurs in ``text`` (literal, case-sensitive).
+
+    Longer lists become one alternation, which keeps the generated code small enough
+    for the JIT compiler.
+    """
+    if len(tokens) <= 2:
+        return any_of([text.contains(t) for t in tokens])
+    return text.rlike("|".join(re.sub(r"([\\^$.|?*+()\[\]{}\-])", r"\\\1", t) for t in tokens))
 
 
 def compact(text: Column) -> Column:

@@ -66,7 +66,8 @@ quotes AS (
   CASE WHEN quote_id % 6 = 0 THEN '별도협의' WHEN quote_id % 6 = 3 THEN '재고 확인 후 안내'
    WHEN delivery_weeks IS NULL THEN NULL
    WHEN quote_id % 6 = 1 THEN '발주 후 ' || delivery_weeks || '주 이내'
-   WHEN quote_id % 6 = 2 THEN (delivery_weeks * 7 - 2) || '일' ELSE delivery_weeks || '주' END AS delivery_basis_raw,
+   WHEN quote_id % 6 = 2 THEN (delivery_weeks * 7 - 2) || '일'
+   WHEN quote_id % 6 = 5 THEN (delivery_weeks + 1) || '주' ELSE delivery_weeks || '주' END AS delivery_basis_raw,
   (CASE WHEN quote_id % 3 = 0 THEN '(주) ' ELSE '' END) || s_name
    || (CASE WHEN quote_id % 3 = 1 THEN ' 주식회사' ELSE '' END) AS vendor_name
  FROM qtax LEFT JOIN supplier ON supp_key = s_suppkey)"""

@@ -7,6 +7,9 @@ import importlib
 MODULES = [
     "ranking_queries",
     "partner_queries",
+    "check_queries",
+    "group_queries",
+    "compare_queries",
 ]
 
 

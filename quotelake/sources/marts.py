@@ -157,6 +157,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("delivery_weeks").isNull(), F.lit(None))
         .when(F.col("quote_id") % 6 == 1, F.concat(F.lit("발주 후 "), w, F.lit("주 이내")))
         .when(F.col("quote_id") % 6 == 2, F.concat((F.col("delivery_weeks") * 7 - 2).cast("string"), F.lit("일")))
+        .when(F.col("quote_id") % 6 == 5, F.concat((F.col("delivery_weeks") + 1).cast("string"), F.lit("주")))
         .otherwise(F.concat(w, F.lit("주")))
     )
     shift = F.when(F.col("quote_id") % 11 == 1, 20000).when(F.col("quote_id") % 11 == 2, 500000).otherwise(0)
