@@ -88,24 +88,28 @@ def highlights(rows: DataFrame, keys: list[str], suffix: str = "") -> DataFrame:
     )
 
 
+POSITION_FLAGS = {
+    "is_highest_final_score": ("final_score", F.max),
+    "is_best_price_score": ("price_score", F.max),
+    "is_lowest_total": ("total_with_vat", F.min),
+    "is_highest_spec_score": ("spec_score", F.max),
+    "is_lowest_spec_score": ("spec_score", F.min),
+    "is_best_delivery_score": ("delivery_score", F.max),
+    "is_best_warranty_score": ("warranty_score", F.max),
+    "is_best_installation_score": ("installation_score", F.max),
+}
+
+
 def relative_position(top3: DataFrame, keys: list[str]) -> DataFrame:
     """Standing of each of the top rows among themselves.
 
     The input holds at most three rows per set, so the small aggregate is joined back.
     """
-    best = top3.groupBy(*keys).agg(
-        F.min("total_supply_price").alias("_p"), F.max("final_score").alias("_s"),
-        F.min("delivery_weeks").alias("_d"), F.max("warranty_months").alias("_w"),
-    )
-    eq = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
-    return (
-        top3.join(best, keys)
-        .withColumn("is_lowest_price_in_top3", eq("total_supply_price", "_p"))
-        .withColumn("is_best_score_in_top3", eq("final_score", "_s"))
-        .withColumn("is_fastest_in_top3", eq("delivery_weeks", "_d"))
-        .withColumn("is_longest_warranty_in_top3", eq("warranty_months", "_w"))
-        .drop("_p", "_s", "_d", "_w")
-    )
+    best = top3.groupBy(*keys).agg(*[agg(col).alias(f"_{flag}") for flag, (col, agg) in POSITION_FLAGS.items()])
+    out = top3.join(best, keys)
+    for flag, (col, _) in POSITION_FLAGS.items():
+        out = out.withColumn(flag, F.coalesce(F.col(col) == F.col(f"_{flag}"), F.lit(False))).drop(f"_{flag}")
+    return out
 
 
 # ------------------------------------------------------------- hardware and installs

@@ -52,8 +52,7 @@ def top3(spark, d):
 
 def relative_position(spark, d):
     return c.relative_position(top3(spark, d), ["project_id"]).select(
-        "project_id", "quote_id", "rank", "is_lowest_price_in_top3", "is_best_score_in_top3", "is_fastest_in_top3",
-        "is_longest_warranty_in_top3")
+        "project_id", "quote_id", "rank", *c.POSITION_FLAGS)
 
 
 def representative_item(spark, d):
@@ -170,10 +169,9 @@ ORACLE = {
     "cost_items": with_marts(f" SELECT quote_id, name, category, {BUCKET} AS bucket, total_price AS amount FROM lines", PARTS[0]),
     "compare_highlights": with_marts(ranked_sql(BY_GROUP) + TOTAL + f""" SELECT project_id, product_group, quote_id, is_confirmed, total_display,
  {_high(BY_GROUP, '_in_group')}, {_high(BY_PROJECT, '_overall')} FROM tot""", *PARTS),
-    "relative_position": with_marts(ranked_sql(BY_PROJECT) + f""" SELECT project_id, quote_id, rank,
- coalesce(total_supply_price = min(total_supply_price) {W3}, false) AS is_lowest_price_in_top3, coalesce(final_score = max(final_score) {W3}, false) AS is_best_score_in_top3,
- coalesce(delivery_weeks = min(delivery_weeks) {W3}, false) AS is_fastest_in_top3, coalesce(warranty_months = max(warranty_months) {W3}, false) AS is_longest_warranty_in_top3
- FROM (SELECT * FROM ranked WHERE rank <= 3)""", *PARTS),
+    "relative_position": with_marts(ranked_sql(BY_PROJECT) + " SELECT project_id, quote_id, rank, " + ", ".join(
+        f"coalesce({col} = {'max' if agg is F.max else 'min'}({col}) {W3}, false) AS {flag}" for flag, (col, agg) in c.POSITION_FLAGS.items()
+    ) + " FROM (SELECT * FROM ranked WHERE rank <= 3)", *PARTS),
     "representative_item": with_marts(""", rp AS (SELECT l.*, row_number() OVER (PARTITION BY l.quote_id ORDER BY
    CASE WHEN product_type = 'SMALL' THEN (CASE WHEN contains(lower(name), '비디오월') THEN 0 ELSE 2 END)
         WHEN product_type = 'STANDARD' THEN (CASE WHEN contains(lower(name), 'led') OR contains(name, '전광판') THEN 0 ELSE 2 END) ELSE 2 END,

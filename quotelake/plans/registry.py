@@ -10,6 +10,8 @@ MODULES = [
     "check_queries",
     "group_queries",
     "compare_queries",
+    "text_queries",
+    "table_queries",
 ]
 
 
