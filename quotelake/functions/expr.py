@@ -5,10 +5,20 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    The optimizer inlines a plain ``withColumn`` into later expressions, also into
+    lambdas, where it would run again for every array element. A one-element generator
+    keeps the value materialized and stays narrow.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
@@ -33,17 +43,21 @@ def compact(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")))
 
 
+# Fixed value: character class of every Unicode whitespace (the plain ``\\s`` of the regex engine is ASCII only).
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def squeeze(text: Column) -> Column:
     """Lower-case with every kind of whitespace removed."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""))
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", ""))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def one_space(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def round2(value: Column) -> Column:

@@ -1,40 +1,43 @@
 """Containment join: which needle names occur inside which texts.
 
-A theta join on ``contains`` would compare every text with every needle. Instead
-each text is cut into its substrings of the lengths that occur among the needles
-and joined on equality, so the work is bounded by text length and the join is an
-ordinary hash or sort-merge join on any amount of data.
+A theta join on ``contains`` would compare every text with every needle. Instead the
+text positions whose first characters start some needle are found by an equality join
+on that short prefix, the substrings of the needles' lengths are cut there, and these
+are joined on equality. Work is bounded by text length, and both joins are ordinary
+hash or sort-merge joins on any amount of data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _substrings(text: Column, size: int) -> Column:
-    """All substrings of one length."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(
-        F.length(text) >= size, F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def containment_join(
-    texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, keys: list[str] | None = None
+    texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, keys: list[str] | None = None,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Inner join of rows where ``text_col`` contains ``needle_col`` (equal ``keys`` first).
 
-    Empty needles match nothing. Output: the columns of both sides.
+    Empty needles match nothing; a needle that occurs twice in a text gives one row.
+    Output: the columns of both sides, without the text when ``keep_text`` is off.
     """
     keys = keys or []
     real = needles.where(F.length(needle_col) > 0)
-    lengths = sorted(r[0] for r in real.select(F.length(needle_col)).distinct().collect())
-    if not lengths:
-        return texts.join(real, keys, "inner").where(F.lit(False)) if keys else texts.join(
-            real, F.col(text_col) == F.col(needle_col)
-        )
-    pieces = F.flatten(F.array(*[_substrings(F.col(text_col), size) for size in lengths]))
-    cut = texts.withColumn("_piece", F.explode(F.array_distinct(pieces)))
-    right = real.withColumn("_piece", F.col(needle_col))
-    return cut.join(right, [*keys, "_piece"]).drop("_piece")
+    k = int(real.agg(F.coalesce(F.min(F.length(needle_col)), F.lit(1))).first()[0])
+    prefixes = real.select(
+        *keys, F.substring(needle_col, 1, k).alias("_prefix"), F.length(needle_col).alias("_size")
+    ).distinct()
+    ids = [c for c in texts.columns if keep_text or c != text_col]
+    starts = F.sequence(F.lit(1), F.length(text_col) - k + 1)
+    cut = (
+        texts.where(F.length(text_col) >= k)
+        .withColumn("_pos", F.explode(starts))
+        .withColumn("_prefix", F.substring(F.col(text_col), F.col("_pos"), F.lit(k)))
+        .join(prefixes, [*keys, "_prefix"])
+        .withColumn("_piece", F.substring(F.col(text_col), F.col("_pos"), F.col("_size")))
+        .where(F.length("_piece") == F.col("_size"))
+        .select(*ids, "_piece")
+        .distinct()
+    )
+    return cut.join(real.withColumn("_piece", F.col(needle_col)), [*keys, "_piece"]).drop("_piece")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import contains_any, first_match, group1, one_space, strip
+from quotelake.functions.expr import contains_any, first_match, group1, once, one_space, strip
 from quotelake.functions.money import (
     amounts_in, comma_amounts, dates_in, duration_days, duration_months, korean_months, last_of, normalize_date,
     parse_amount, unit_amounts,
@@ -110,7 +110,7 @@ def summary_amounts(docs: DataFrame) -> DataFrame:
     The amount sits on the labelled line or on one of the next two; the largest per label wins.
     """
     lines = F.filter(F.transform(lines_of(F.col("text")), lambda s: one_space(s)), lambda s: s != "")
-    staged = docs.withColumn("_lines", lines)
+    staged = once(docs, "_lines", lines)
     near = lambda i, n: F.array_join(F.slice(F.col("_lines"), i + 1, F.lit(n)), " ")
     entry = lambda s, i: F.struct(
         F.lower(F.regexp_replace(s, r"(?U)\s+", "")).alias("label"),
@@ -118,7 +118,8 @@ def summary_amounts(docs: DataFrame) -> DataFrame:
         i.alias("i"),
     )
     staged = staged.withColumn("_own", F.transform("_lines", entry))
-    staged = staged.withColumn(
+    staged = once(
+        staged,
         "_rows",
         F.transform(
             "_own",
@@ -201,7 +202,7 @@ def key_value_amounts(docs: DataFrame, column: str = "key_values") -> DataFrame:
 
 def option_totals(docs: DataFrame, limit: int = 5) -> DataFrame:
     """Consecutive (supply, tax, total) amounts that add up: the totals of each option in one document."""
-    staged = docs.withColumn("_a", comma_amounts(F.col("text")))
+    staged = once(docs, "_a", comma_amounts(F.col("text")))
     triple = lambda x, i: F.struct(
         x.alias("supply_price"), F.get("_a", i + 1).alias("tax_amount"), F.get("_a", i + 2).alias("total_with_vat")
     )
@@ -288,19 +289,19 @@ def terms(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(*[group1(text, p) for p in PAYMENT_PATTERNS], F.regexp_replace(_first(pay_lines), r"^\d+\.\s*", ""))
     special = F.filter(F.transform(lines_of(text), lambda s: strip(s)), lambda s: contains_any(s, SPECIAL_TERM_TOKENS))
     tidy = F.transform(special, lambda s: one_space(s))
+    staged = once(docs, "_terms", tidy)
+    staged = once(staged, "_keys", F.transform("_terms", lambda s: _no_space(s)))
     return (
-        docs.withColumn("quote_validity_days", F.coalesce(*validity))
+        staged.withColumn("quote_validity_days", F.coalesce(*validity))
         .withColumn("payment_terms", clean_payment(raw))
-        .withColumn("special_terms", distinct_compact(tidy))
+        .withColumn(
+            "special_terms",  # first of the texts that differ by spaces only
+            F.filter("_terms", lambda s, i: (s != "") & (F.array_position("_keys", _no_space(s)) == i + 1)),
+        )
+        .drop("_terms", "_keys")
     )
 
 
-def distinct_compact(values: Column) -> Column:
-    """First occurrence of texts that differ by more than spaces."""
-    keys = F.transform(values, lambda s: _no_space(s))
-    return F.filter(values, lambda s, i: (s != "") & (F.array_position(keys, _no_space(s)) == i + 1))
-
-
 def clean_payment(raw: Column) -> Column:
     text = strip(raw)
     for token in PAYMENT_LABEL_TOKENS:

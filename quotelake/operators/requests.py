@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import contains_any, first_match, group1, lit_array, one_space, strip
+from quotelake.functions.expr import contains_any, first_match, group1, lit_array, once, one_space, strip
 from quotelake.functions.money import budget_amount, request_money
 from quotelake.operators.extract import clean_text, lines_of
 from quotelake.sources.intake import normalize_empty
@@ -46,7 +46,7 @@ def form_fields(forms: DataFrame, normalize: bool = True) -> DataFrame:
             strip(F.substring(s, F.instr(s, F.lit(":")) + 1, F.length(s))).alias("value"),
         ),
     )
-    staged = forms.withColumn("_fields", entries)
+    staged = once(forms, "_fields", entries)
     for label, column in FORM_LABELS.items():
         value = _last_value(F.col("_fields"), label, normalize)
         staged = staged.withColumn(column, value)
@@ -67,10 +67,12 @@ def keyword_tokens(value: Column) -> Column:
     return F.filter(parts, lambda s: F.length(s) >= 2)
 
 
-def distinct_ignore_case(values: Column) -> Column:
+def distinct_ignore_case(df: DataFrame, out: str, values: Column) -> DataFrame:
     """First spelling of every keyword; lower-cased comparison."""
-    low = F.transform(values, lambda s: F.lower(s))
-    return F.filter(values, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)
+    staged = once(once(df, "_words", values), "_low", F.transform("_words", lambda s: F.lower(s)))
+    return staged.withColumn(
+        out, F.filter("_words", lambda s, i: F.array_position("_low", F.lower(s)) == i + 1)
+    ).drop("_words", "_low")
 
 
 def form_requirements(forms: DataFrame) -> DataFrame:
@@ -79,7 +81,6 @@ def form_requirements(forms: DataFrame) -> DataFrame:
     size = F.regexp_replace("display_size", ",", "")
     dims = r"(\d{3,5})\s*[xX×]\s*(\d{3,5})"
     parts = F.array_compact(F.array("usage", "category", "display_size", "other_conditions"))
-    fallback = F.array_compact(F.array("customer_name", "region", "install_schedule_text"))
     product_text = F.concat_ws(" / ", "category", "display_size", "quantity_text")
     keywords = F.filter(
         F.concat(
@@ -89,6 +90,7 @@ def form_requirements(forms: DataFrame) -> DataFrame:
         ),
         lambda s: normalize_empty(s).isNotNull(),
     )
+    f = distinct_ignore_case(f, "required_keywords", keywords)
     return (
         f.withColumn("customer_name", normalize_empty(F.col("company_name")))
         .withColumn("region", normalize_empty(F.col("location")))
@@ -101,11 +103,11 @@ def form_requirements(forms: DataFrame) -> DataFrame:
         .withColumn(
             "request_summary",
             F.when(F.size(parts) > 0, F.array_join(parts, " / "))
-            .when(F.size(fallback) > 0, F.array_join(fallback, " / "))
+            .when(F.concat_ws(" / ", "customer_name", "region", "install_schedule_text") != "",
+                  F.concat_ws(" / ", "customer_name", "region", "install_schedule_text"))
             .otherwise(NO_SUMMARY),
         )
         .withColumn("notes", F.array_compact(F.array("operation_time", "review_preset", "other_conditions", "attachment_memo")))
-        .withColumn("required_keywords", distinct_ignore_case(keywords))
     )
 
 
@@ -167,7 +169,7 @@ def parse_product(block: Column) -> Column:
 
 def text_requirements(docs: DataFrame) -> DataFrame:
     """Requirement columns from a free text request."""
-    base = docs.withColumn("_t", clean_text(F.col("text")))
+    base = once(docs, "_t", clean_text(F.col("text")))
     t = F.col("_t")
     blocks = F.filter(F.transform(product_blocks(t), lambda b: strip(b)), lambda b: b.rlike(PRODUCT_HINT))
     solution = labelled_value(t, ["솔루션"])
@@ -185,7 +187,7 @@ def text_requirements(docs: DataFrame) -> DataFrame:
     )
     low, high = budget_range(t)
     commission = r"수수료[ \t]*모델[ \t]*[:：]?[ \t]*([A-Za-z가-힣]?[ \t]*\(?[ \t]*\d+(?:\.\d+)?[ \t]*%[ \t]*\)?)"
-    staged = base.withColumn("_blocks", blocks)
+    staged = once(base, "_blocks", blocks)
     products = F.transform("_blocks", parse_product)
     fallback = F.when(solution.isNotNull(), F.array(parse_product(solution))).otherwise(F.array())
     out = (

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import any_of, contains_any, group1, one_space, squeeze, strip, to_long
+from quotelake.functions.expr import any_of, contains_any, group1, once, one_space, squeeze, strip, to_long
 from quotelake.functions.money import AMOUNT_PATTERN, amounts_in, last_of, quantity_unit
 from quotelake.functions.vocab import OVERHEAD_NAMES
 from quotelake.operators.extract import lines_of
@@ -77,36 +77,33 @@ def _first_of(values: Column) -> Column:
     return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
-def header_roles(row: Column) -> Column:
+def header_roles(tight_row: Column) -> Column:
     """Struct of the first column index per role, NULL where a role is absent."""
-    tight = F.transform(row, lambda c: squeeze(c))
-    return F.struct(*[_first_of(_role_positions(tight, role)).alias(role) for role in ROLE_WORDS])
-
-
-def _role_positions(tight: Column, role: str) -> Column:
-    return F.transform(tight, lambda c, i: F.when(contains_any(c, ROLE_WORDS[role]), i))
+    position = lambda words: F.array_position(F.transform(tight_row, lambda c: contains_any(c, words)), True)
+    return F.struct(*[(F.nullif(position(words), F.lit(0)) - 1).cast("int").alias(r) for r, words in ROLE_WORDS.items()])
 
 
 def with_header(tables: DataFrame) -> DataFrame:
     """header_index and roles: the row of the first eight with most roles (two at least), earliest on ties."""
-    scored = F.transform(F.slice("rows", 1, HEADER_ROWS), lambda r, i: F.struct(header_roles(r).alias("roles"), i.alias("i")))
+    tight = F.transform(F.slice("rows", 1, HEADER_ROWS), lambda r: F.transform(r, lambda c: squeeze(c)))
+    staged = once(tables, "_tight", tight)
+    staged = once(staged, "_roles", F.transform("_tight", lambda r: header_roles(r)))
     counted = F.transform(
-        "_scored",
-        lambda r: F.struct(
-            sum((r["roles"][role].isNotNull().cast("int") for role in ROLE_WORDS), F.lit(0)).alias("n"),
-            (-r["i"]).alias("neg"),
-            r["roles"].alias("roles"),
+        "_roles",
+        lambda r, i: F.struct(
+            sum((r[role].isNotNull().cast("int") for role in ROLE_WORDS), F.lit(0)).alias("n"),
+            (-i).alias("neg"),
+            r.alias("roles"),
         ),
     )
+    staged = once(staged, "_best", F.array_max(counted))
     best = F.col("_best")
     ok = F.coalesce(best["n"] >= 2, F.lit(False))
     return (
-        tables.withColumn("_scored", scored)
-        .withColumn("_best", F.array_max(counted))
-        .withColumn("header_index", F.when(ok, -best["neg"]))
+        staged.withColumn("header_index", F.when(ok, -best["neg"]))
         .withColumn("roles", F.when(ok, best["roles"]))
         .withColumn("role_count", F.when(ok, best["n"]))
-        .drop("_scored", "_best")
+        .drop("_tight", "_roles", "_best")
     )
 
 
@@ -134,12 +131,8 @@ def table_items(tables: DataFrame) -> DataFrame:
         ),
     )
     named = lambda r: (r["name"] != "") & ~amount_only(r["name"])
-    found = (
-        with_header(tables)
-        .where(F.col("roles.item_name").isNotNull())
-        .withColumn("_body", parsed)
-        .withColumn("_starts", F.array_compact(F.transform("_body", lambda r, i: F.when(named(r), i))))
-    )
+    found = once(with_header(tables).where(F.col("roles.item_name").isNotNull()), "_body", parsed)
+    found = once(found, "_starts", F.array_compact(F.transform("_body", lambda r, i: F.when(named(r), i))))
     block = F.transform(
         "_starts",
         lambda p, j: F.slice("_body", p + 1, F.coalesce(F.get("_starts", j + 1), F.size("_body")) - p),
@@ -197,7 +190,8 @@ def headerless_items(tables: DataFrame) -> DataFrame:
         (F.size(r["cells"]) >= 3) & ~is_summary(r["text"]) & r["amount_cell"].isNotNull()
         & ~amount_only(F.get(r["cells"], F.lit(0))) & itemized(r)
     )
-    picked = bare.withColumn("_rows", F.filter(rows, keep)).where(F.size("_rows") >= 2)
+    picked = once(bare, "_all", rows)
+    picked = once(picked, "_rows", F.filter("_all", keep)).where(F.size("_rows") >= 2)
     out = picked.select(*[c for c in tables.columns if c != "rows"], F.explode("_rows").alias("_r"))
     specs = F.filter(
         F.slice("_r.cells", 2, F.size("_r.cells")),
@@ -205,7 +199,7 @@ def headerless_items(tables: DataFrame) -> DataFrame:
     )
     qty, unit = quantity_unit(F.array_join("_specs", " "))
     return (
-        out.withColumn("_specs", specs)
+        once(out, "_specs", specs)
         .withColumn("row_no", F.col("_r.row_no"))
         .withColumn("item_name", F.get("_r.cells", F.lit(0)))
         .withColumn("quantity", qty)
@@ -282,7 +276,7 @@ def assign_amount_pairs(docs: DataFrame) -> DataFrame:
     pairs = F.filter(
         F.transform(money, lambda s: amounts_in(s)), lambda a: (F.size(a) == 2) & (F.get(a, F.lit(0)) > 0) & (F.get(a, F.lit(1)) > 0)
     )
-    staged = docs.withColumn("_pairs", pairs)
+    staged = once(docs, "_pairs", pairs)
     joined = F.zip_with(
         "items", "_pairs",
         lambda it, p: F.struct(
@@ -302,7 +296,7 @@ def assign_amount_pairs(docs: DataFrame) -> DataFrame:
     )
     same = (F.size("_pairs") == F.size("items")) & (F.size("items") > 0) & (total == F.col("supply_amount"))
     return (
-        staged.withColumn("_joined", F.when(same, joined))
+        once(staged, "_joined", F.when(same, joined))
         .withColumn("assigned", F.when(fits, F.col("_joined")))
         .drop("_pairs", "_joined")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import contains_any, first_match, strip
+from quotelake.functions.expr import contains_any, first_match, once, strip
 from quotelake.functions.names import normalize_company
 from quotelake.operators.contain import containment_join
 from quotelake.operators.extract import lines_of
@@ -52,7 +52,7 @@ def _rows(df: DataFrame, value: Column, source: str, order: int) -> DataFrame:
 def label_next_line(docs: DataFrame) -> DataFrame:
     """Company named within three lines below a label, other labels skipped."""
     lines = F.filter(F.transform(lines_of(F.col("text")), lambda s: strip(s)), lambda s: s != "")
-    staged = docs.select("doc_id", lines.alias("_lines"))
+    staged = once(docs.select("doc_id", "text"), "_lines", lines)
     after = lambda i: F.get(
         F.filter(
             F.transform(F.slice("_lines", i + 2, F.lit(3)), lambda s: clean_candidate(s)),
@@ -106,9 +106,9 @@ def vendor_candidates(docs: DataFrame, partners: DataFrame) -> DataFrame:
     top = F.array_join(F.slice(lines_of(F.col("text")), 1, TOP_LINES), "\n")
     # the two searched parts keep a blank between them, so no name can match across
     space = docs.select("doc_id", F.concat(normalize_company(top), F.lit(" "), normalize_company(F.col("file_name"))).alias("space"))
-    hits = containment_join(space, "space", needles, "needle")
+    hits = containment_join(space, "space", needles, "needle", keep_text=False)
     name = docs.select("doc_id", normalize_company(stem).alias("space"))
-    file_hits = containment_join(name, "space", needles, "needle")
+    file_hits = containment_join(name, "space", needles, "needle", keep_text=False)
     own = clean_candidate(F.col("vendor_name"))
     parts = [
         _rows(docs.where(valid_candidate(own)), own, "original", 0),
