@@ -24,18 +24,21 @@ def containment_join(
     """
     keys = keys or []
     real = needles.where(F.length(needle_col) > 0)
-    k = int(real.agg(F.coalesce(F.min(F.length(needle_col)), F.lit(1))).first()[0])
+    low, high = real.agg(F.min(F.length(needle_col)), F.max(F.length(needle_col))).first()
+    k, longest = int(low or 1), int(high or 1)
     prefixes = real.select(
         *keys, F.substring(needle_col, 1, k).alias("_prefix"), F.length(needle_col).alias("_size")
     ).distinct()
     ids = [c for c in texts.columns if keep_text or c != text_col]
     starts = F.sequence(F.lit(1), F.length(text_col) - k + 1)
+    # only windows as long as the longest needle travel, never whole texts
+    windows = F.transform(starts, lambda i: F.substring(F.col(text_col), i, F.lit(longest)))
     cut = (
         texts.where(F.length(text_col) >= k)
-        .withColumn("_pos", F.explode(starts))
-        .withColumn("_prefix", F.substring(F.col(text_col), F.col("_pos"), F.lit(k)))
+        .select(*ids, F.explode(F.array_distinct(windows)).alias("_window"))
+        .withColumn("_prefix", F.substring("_window", 1, k))
         .join(prefixes, [*keys, "_prefix"])
-        .withColumn("_piece", F.substring(F.col(text_col), F.col("_pos"), F.col("_size")))
+        .withColumn("_piece", F.substring(F.col("_window"), F.lit(1), F.col("_size")))
         .where(F.length("_piece") == F.col("_size"))
         .select(*ids, "_piece")
         .distinct()

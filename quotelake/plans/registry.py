@@ -12,6 +12,7 @@ MODULES = [
     "compare_queries",
     "text_queries",
     "table_queries",
+    "record_queries",
 ]
 
 

@@ -167,7 +167,7 @@ SELECT k AS project_id, '고객 ' || k AS customer_name, CASE WHEN k % 3 = 0 THE
  CASE WHEN k % 2 = 0 THEN '로비 개선 추가 설명' ELSE '로비 개선' END AS request_summary, CASE WHEN k % 4 <> 0 THEN '지역 ' || n END AS region,
  (k % 8 + 2) || '주 이내' AS install_schedule_text, CASE WHEN k % 5 = 0 THEN '설계 검토' END AS project_stage,
  CASE k % 4 WHEN 0 THEN (k % 9 + 1) * 10000000 WHEN 3 THEN (k % 9 + 1) * 100000000 END AS budget_min,
- CASE k % 4 WHEN 0 THEN (k % 9 + 2) * 10000000 WHEN 1 THEN (k % 9 + 1) * 100000000 WHEN 2 THEN (k % 90 + 10) * 10000 END AS budget_max,
+ CASE k % 4 WHEN 0 THEN (k % 9 + 2) * 10000000 WHEN 1 THEN (k % 9 + 1) * 100000000 WHEN 2 THEN (k % 90 + 10) * 10000 ELSE (CASE WHEN k % 5 = 0 THEN 6 ELSE 7 END) END AS budget_max,
  (1 + k % 2)::INT AS product_count, 'LED 전광판 P' || (k % 4 + 1) || '.5' AS name1, k % 4 + 1.5::DOUBLE AS pitch1, 4000 + k % 900 AS width1, 2000 + k % 700 AS height1,
  '커브드' AS type1, 'LED 전광판' AS kind1, CASE WHEN k % 2 = 1 THEN 55.0 END::DOUBLE AS inch2, CASE WHEN k % 2 = 1 THEN k % 3 + 2 END AS rows2, CASE WHEN k % 2 = 1 THEN k % 4 + 2 END AS cols2,
  CASE WHEN k % 2 = 1 THEN '비디오월 55인치' END AS name2, CASE WHEN k % 2 = 0 THEN '현장실사 필요|야간 작업' ELSE '현장실사 필요' END AS notes,

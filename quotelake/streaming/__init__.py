@@ -1 +1 @@
-
+"""Incremental versions of intake and record keeping."""
