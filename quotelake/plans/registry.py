@@ -13,6 +13,7 @@ MODULES = [
     "text_queries",
     "table_queries",
     "record_queries",
+    "reason_queries",
 ]
 
 

@@ -64,4 +64,5 @@ def stream_intake(docs: DataFrame, folder: str, time: str = "ts", window: str =
     )
     query.awaitTermination()
     stored = spark.read.option("basePath", f"{folder}/docs").parquet(f"{folder}/docs/batch=*")
-    return stored.where("accepted"), stored.where("NOT accepted")
+    accepted = F.col("accepted").cast("string") == "true"
+    return stored.where(accepted), stored.where(~accepted)
