@@ -10,7 +10,6 @@ from quotelake.operators import validate as q
 from quotelake.plans.mart_sql import LINES, QUOTES, with_marts
 from quotelake.sources import marts as m
 
-NO_SPEC = F.lit(None).cast("map<string,string>")
 
 
 def named_quotes(spark, d):
@@ -26,7 +25,7 @@ def named_quotes(spark, d):
 def typed_lines(spark, d):
     """Lines with their rule-based cost type."""
     ruled = reclassify(m.lines(spark, d))
-    return ruled.withColumn("cost_type", F.col("rule.cost_type")).drop("rule").withColumn("spec_parsed", NO_SPEC)
+    return ruled.withColumn("cost_type", F.col("rule.cost_type")).drop("rule").withColumn("spec_parsed", F.lit(None).cast("map<string,string>"))
 
 
 AMOUNT_COLS = [
@@ -188,19 +187,19 @@ FROM lines WHERE total_price <> CAST(quantity AS BIGINT) * unit_price""", LINES)
     "issue_top10": with_marts(ISSUES + """ SELECT issue, count(*) AS count FROM (SELECT unnest(string_split(detected_issues, '|')) AS issue FROM iss WHERE detected_issues <> '')
  GROUP BY issue ORDER BY count DESC, issue LIMIT 10""", *P),
     "quality_summary": with_marts(ISSUES + """ SELECT count(*) AS quote_result_count, count(vendor_name) AS vendor_name_extracted_count,
- count_if(quote_id % 9 <> 0) AS project_name_extracted_count,
- count_if(coalesce(total_with_vat, 0) <> 0 OR coalesce(total_supply_price, 0) <> 0) AS total_amount_extracted_count,
+ count(CASE WHEN quote_id % 9 <> 0 THEN 1 END) AS project_name_extracted_count,
+ count(CASE WHEN coalesce(total_with_vat, 0) <> 0 OR coalesce(total_supply_price, 0) <> 0 THEN 1 END) AS total_amount_extracted_count,
  count(tax_amount) AS tax_amount_extracted_count, count(received_at) AS quote_date_valid_count,
- count_if(line_count > 0) AS line_items_extracted_count, count(warranty_months) AS warranty_extracted_count,
- count_if(coalesce(delivery_weeks, 0) <> 0 OR delivery_basis_raw IS NOT NULL) AS delivery_extracted_count,
- count_if(validation_status = 'normal') AS amount_validation_normal_count,
- count_if(validation_status = 'rounding_or_adjustment_possible') AS amount_rounding_or_adjustment_count,
- count_if(validation_status = 'amount_mismatch') AS amount_mismatch_count,
- count_if(validation_status NOT IN ('normal', 'not_enough_data')) AS remaining_amount_mismatch_count,
- count_if(known) AS partner_matched_count,
+ count(CASE WHEN line_count > 0 THEN 1 END) AS line_items_extracted_count, count(warranty_months) AS warranty_extracted_count,
+ count(CASE WHEN coalesce(delivery_weeks, 0) <> 0 OR delivery_basis_raw IS NOT NULL THEN 1 END) AS delivery_extracted_count,
+ count(CASE WHEN validation_status = 'normal' THEN 1 END) AS amount_validation_normal_count,
+ count(CASE WHEN validation_status = 'rounding_or_adjustment_possible' THEN 1 END) AS amount_rounding_or_adjustment_count,
+ count(CASE WHEN validation_status = 'amount_mismatch' THEN 1 END) AS amount_mismatch_count,
+ count(CASE WHEN validation_status NOT IN ('normal', 'not_enough_data') THEN 1 END) AS remaining_amount_mismatch_count,
+ count(CASE WHEN known THEN 1 END) AS partner_matched_count,
  CAST(sum(CASE WHEN detected_issues = '' THEN 0 ELSE len(string_split(detected_issues, '|')) END) AS BIGINT) AS detected_issue_count,
- 0 AS line_item_amount_missing_count, (SELECT count_if(line_seq = 1) FROM lines) AS display_item_count,
- (SELECT count_if(line_seq = 1) FROM lines) AS display_spec_raw_present_count, 0 AS display_screen_size_extracted_count,
+ 0 AS line_item_amount_missing_count, (SELECT count(CASE WHEN line_seq = 1 THEN 1 END) FROM lines) AS display_item_count,
+ (SELECT count(CASE WHEN line_seq = 1 THEN 1 END) FROM lines) AS display_spec_raw_present_count, 0 AS display_screen_size_extracted_count,
  0 AS display_resolution_extracted_count, 0 AS display_brightness_extracted_count, 0 AS display_pixel_pitch_extracted_count,
  0 AS display_power_consumption_extracted_count FROM iss""", *P),
     "quality_diff": with_marts(ISSUES + """, n AS (SELECT quote_id, CASE WHEN detected_issues = '' THEN 0 ELSE len(string_split(detected_issues, '|')) END AS b,

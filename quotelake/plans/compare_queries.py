@@ -139,7 +139,7 @@ def _bucket_sql(b: str) -> str:
 
 BREAKDOWN = """,
 agg AS (SELECT quote_id AS aq, """ + ", ".join(
-    f"CAST(sum(CASE WHEN line_seq IN ({s}) THEN total_price END) AS BIGINT) AS {b}_sum, count_if(line_seq IN ({s})) AS {b}_n" for b, s in USED.items()
+    f"CAST(sum(CASE WHEN line_seq IN ({s}) THEN total_price END) AS BIGINT) AS {b}_sum, count(CASE WHEN line_seq IN ({s}) THEN 1 END) AS {b}_n" for b, s in USED.items()
 ) + """ FROM lines GROUP BY quote_id),
 ctx AS (SELECT *, notes || ' ' || check_required || ' ' || concat_ws(' ', CASE WHEN NOT partner_found THEN '파트너 마스터 미등록' END,
    CASE WHEN is_excluded THEN '제외 파트너 견적서' END, CASE WHEN wide THEN '가격 차이 5% 초과' END) AS ctx FROM ranked),

@@ -123,8 +123,8 @@ ORACLE = {
  FROM gq GROUP BY ROLLUP (project_id, product_group)""", *P),
     "split_parent_dropped": """SELECT CAST(o_orderkey AS VARCHAR) AS quote_id, o_custkey AS project_id, NULL::VARCHAR AS parent_quote_id FROM orders WHERE o_orderkey % 12 <> 0
  UNION ALL SELECT o_orderkey || '_opt' || k, o_custkey, CAST(o_orderkey AS VARCHAR) FROM orders, (VALUES ('1'), ('2')) t(k) WHERE o_orderkey % 12 = 0""",
-    "run_counters": with_marts(GROUPED + SCOPE + """ SELECT project_id, count_if(q.vendor_name IS NOT NULL OR q.line_count > 0) AS candidate_count,
- count_if(q.vendor_name IS NULL AND q.line_count = 0) AS failed_candidate_count, count_if(NOT (m OR NOT any_m)) AS filtered_candidate_count
+    "run_counters": with_marts(GROUPED + SCOPE + """ SELECT project_id, count(CASE WHEN q.vendor_name IS NOT NULL OR q.line_count > 0 THEN 1 END) AS candidate_count,
+ count(CASE WHEN q.vendor_name IS NULL AND q.line_count = 0 THEN 1 END) AS failed_candidate_count, count(CASE WHEN NOT (m OR NOT any_m) THEN 1 END) AS filtered_candidate_count
  FROM scope JOIN quotes q USING (project_id, quote_id) GROUP BY project_id""", *P),
     "classify_lines": with_marts("""SELECT quote_id, line_seq, part_key, CASE WHEN part_key % 2 = 0 THEN category ELSE 'ETC' END AS before,
  CASE WHEN line_seq = 1 AND part_key % 2 = 1 AND p_type IN ('MEDIUM', 'PROMO', 'LARGE') THEN 'ETC' ELSE category END AS after,

@@ -199,7 +199,7 @@ ORACLE = {
     "option_sum_check": with_marts(""", s AS (SELECT quote_id, line_seq % 2 + 1 AS option_no, CAST(sum(total_price) AS BIGINT) AS s FROM lines GROUP BY 1, 2),
  t AS (SELECT *, CASE quote_id % 3 WHEN 0 THEN s WHEN 1 THEN s + s // 5 ELSE s // 2 END AS p FROM s)
  SELECT quote_id, option_no, s AS line_sum, p AS supply_price, p - s AS difference, CASE WHEN abs(p - s) <= 10000 THEN 'match' WHEN p > s AND p - s <= trunc(p * 0.3::DOUBLE) THEN 'residual' ELSE 'mismatch' END AS status FROM t""", PARTS[0]),
-    "corrected_lines": with_marts(""" SELECT quote_id, line_seq, part_key, CASE WHEN line_seq = 1 THEN 20.0 ELSE 1.0 END AS quantity, CASE WHEN line_seq = 1 THEN total_price // 20 ELSE unit_price END AS unit_price,
+    "corrected_lines": with_marts(""" SELECT quote_id, line_seq, part_key, CASE WHEN line_seq = 1 THEN 20.0 ELSE 1.0 END::DOUBLE AS quantity, CASE WHEN line_seq = 1 THEN total_price // 20 ELSE unit_price END AS unit_price,
  CASE WHEN line_seq = 1 THEN total_price ELSE unit_price END AS total_price, CASE WHEN line_seq = 1 THEN 'LED cabinet' ELSE 'row number ' END AS reason
  FROM lines WHERE (line_seq = 1 AND p_type = 'STANDARD' AND total_price % 20 = 0) OR (line_seq > 1 AND quantity IN (2, 3, 4))""", PARTS[0]),
     "section_items": BASE + """SELECT quote_id, 'LED Display' AS item_name, (quote_id % 4 + 2)::DOUBLE AS quantity, s AS unit_price, s * (quote_id % 4 + 2) AS supply_amount FROM o
@@ -220,16 +220,16 @@ ORACLE = {
  UNION ALL SELECT record_id, quote_id, NULL, 'missing' FROM t WHERE k % 5 = 0 UNION ALL SELECT record_id, quote_id, NULL, 'duplicate' FROM t WHERE k % 7 = 0 AND k % 5 <> 0
  UNION ALL SELECT record_id, 'x' || quote_id, NULL, 'unknown' FROM t WHERE rank = 1""", *PARTS),
     "reasons_violations": with_marts(VIOL + " SELECT record_id, quote_id, categories FROM vv", *PARTS),
-    "violation_rates": with_marts(VIOL + """ SELECT CASE WHEN record_id % 2 = 0 THEN 'trap' ELSE 'control' END AS grp, count_if(k % 9 <> 0) AS total_llm, count_if(k % 9 <> 0 AND categories <> '') AS violations_raw,
- round(count_if(k % 9 <> 0 AND categories <> '') / count_if(k % 9 <> 0), 6)::DOUBLE AS violation_rate_primary, round(count_if(k % 9 = 0) / count(*), 6)::DOUBLE AS fallback_rate, count(*) AS total_records FROM vv GROUP BY 1""", *PARTS),
+    "violation_rates": with_marts(VIOL + """ SELECT CASE WHEN record_id % 2 = 0 THEN 'trap' ELSE 'control' END AS grp, count(CASE WHEN k % 9 <> 0 THEN 1 END) AS total_llm, count(CASE WHEN k % 9 <> 0 AND categories <> '' THEN 1 END) AS violations_raw,
+ round(count(CASE WHEN k % 9 <> 0 AND categories <> '' THEN 1 END) / count(CASE WHEN k % 9 <> 0 THEN 1 END), 6)::DOUBLE AS violation_rate_primary, round(count(CASE WHEN k % 9 = 0 THEN 1 END) / count(*), 6)::DOUBLE AS fallback_rate, count(*) AS total_records FROM vv GROUP BY 1""", *PARTS),
     "violation_categories": with_marts(VIOL + """ SELECT grp, category, count(*) AS count FROM (SELECT CASE WHEN record_id % 2 = 0 THEN 'trap' ELSE 'control' END AS grp, unnest(string_split(categories, '|')) AS category FROM vv WHERE categories <> '') GROUP BY 1, 2""", *PARTS),
     "record_violations": with_marts(VIOL + """, s AS (SELECT record_id, k, CASE WHEN rank = 1 THEN final_score - 60 ELSE final_score END AS f, rank FROM vv),
  g AS (SELECT record_id, max(f) AS hi, min(f) AS lo, count(*) AS n, arg_min(f, rank) AS first FROM s GROUP BY 1)
  SELECT record_id, concat_ws('|', CASE WHEN n >= 2 AND first < hi THEN 'rank_score_mismatch' END, CASE WHEN n >= 2 AND hi - lo > 50 AND record_id % 3 = 0 THEN 'score_gap_ignored' END) AS categories FROM g""", *PARTS),
     "eval_field_accuracy": """WITH d AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS s FROM orders),
  f AS (SELECT k, unnest([{'f': 'supply_amount', 'ok': k % 3 <> 2 OR s = s // 10}, {'f': 'tax_amount', 'ok': k % 3 <> 2}, {'f': 'total_amount', 'ok': NOT (k % 3 = 2 AND k % 4 = 0)}]) AS r FROM d)
- SELECT r.f AS field, count_if(r.ok) AS passed, count(*) AS total, round(count_if(r.ok) / count(*) * 100, 1)::DOUBLE AS pass_rate FROM f GROUP BY ROLLUP (r.f)""",
+ SELECT r.f AS field, count(CASE WHEN r.ok THEN 1 END) AS passed, count(*) AS total, round(count(CASE WHEN r.ok THEN 1 END) / count(*) * 100, 1)::DOUBLE AS pass_rate FROM f GROUP BY ROLLUP (r.f)""",
     "eval_recall_mrr": with_marts(ranked_sql(BY_PROJECT) + """, j AS (SELECT r.project_id, r.rank, coalesce(qv.label = rv.label, false) AS rel FROM ranked r JOIN reqs q ON r.project_id = q.project_id LEFT JOIN vecs qv ON r.vec_id = qv.vec_id LEFT JOIN vecs rv ON q.vec_id = rv.vec_id),
- p AS (SELECT project_id, max(CASE WHEN rel AND rank <= 3 THEN 1.0 ELSE 0.0 END) AS hit, 1.0 / min(CASE WHEN rel THEN rank END) AS rr, count_if(rel AND rank <= 3) / 3.0 AS pr FROM j GROUP BY 1 HAVING bool_or(rel))
+ p AS (SELECT project_id, max(CASE WHEN rel AND rank <= 3 THEN 1.0 ELSE 0.0 END) AS hit, 1.0 / min(CASE WHEN rel THEN rank END) AS rr, count(CASE WHEN rel AND rank <= 3 THEN 1 END) / 3.0 AS pr FROM j GROUP BY 1 HAVING bool_or(rel))
  SELECT count(*) AS query_count, round(avg(hit), 6)::DOUBLE AS recall_at_k, round(avg(rr), 6)::DOUBLE AS mrr, round(avg(pr), 6)::DOUBLE AS precision_at_k FROM p""", *PARTS),
 }

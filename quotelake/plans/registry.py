@@ -14,6 +14,7 @@ MODULES = [
     "table_queries",
     "record_queries",
     "reason_queries",
+    "note_queries",
 ]
 
 
