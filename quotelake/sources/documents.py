@@ -29,10 +29,21 @@ def _text(column: Column) -> Column:
     return column.cast("string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the source has fewer splits than cores.
+
+    Rendering turns a few narrow columns into whole documents, so the narrow rows are moved,
+    never the texts. Sources that already have enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures each document states."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return spread(orders).select(
         k.alias("quote_id"),
         F.col("o_custkey").alias("project_id"),
         F.to_date("o_orderdate").alias("stated_date"),
