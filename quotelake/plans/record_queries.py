@@ -144,7 +144,7 @@ def stream_latest_state(spark, d):
 def stream_quote_intake(spark, d):
     docs = m.table(spark, d, "documents")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d).select(
-        "doc_id", "text", F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+        "doc_id", "text", F.timestamp_seconds(F.col("doc_id") + 1700000000).alias("ts"))
     good, bad = jobs.stream_intake(stream, jobs.work_folder(spark, "intake"))
     return good.unionByName(bad).select("file_hash", "reject_reason")
 
