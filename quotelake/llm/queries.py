@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quotelake.llm.bpe import bpe_round_trip
 from quotelake.llm.common import table
 from quotelake.llm.decontam import contamination
+from quotelake.llm.html_extract import extract
 from quotelake.llm.simhash import simhash_components
+from quotelake.llm.token_count import token_counts
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document."""
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its benchmark hits."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -44,6 +61,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
+    "op5_html_extract": op5_html_extract,
+    "op6_token_counts": op6_token_counts,
     "op9_decontaminate": op9_decontaminate,
 }
 
