@@ -1,7 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 Each page is a sequence of leaf blocks; a block's features are its ancestor tags, the words in its ancestors' class,
-id and role, and properties of its text (length, share of linked text, closing punctuation). The model is trained on
+id and role, the nearest ancestor that tells a region, and properties of its text (length, share of linked text, closing punctuation). The model is trained on
 labelled pages: a bounded sample of `TRAIN_PAGES` pages of the table itself whose markup names its article, and the
 same texts laid out again in page plans with known regions (sidebars, notices, forms, reader comments and others), so
 that it also knows regions the sample lacks. Weights are maximum likelihood with a quadratic penalty; decoding is
@@ -55,7 +55,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
         n, linked = len(b.text.split()), b.linked / max(1, len(b.text))
-        f = {f"tag {t}" for t in b.tags} | {f"name {n}" for n in b.names}
+        f = {f"tag {t}" for t in b.tags} | {f"name {n}" for n in b.names} | {f"near {n}" for n in b.near}
         f.add(f"own {b.tags[-1] if b.tags else ''}")
         f.add("words " + next(str(k) for k in (1, 3, 8, 20, 60, 1 << 60) if n <= k))
         f.add("linked " + ("none" if not linked else "some" if linked < 0.5 else "most"))

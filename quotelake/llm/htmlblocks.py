@@ -13,6 +13,8 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript svg math object iframe canvas".split())
+#: Elements that say little about the region they stand in.
+PLAIN = frozenset("html body div p ul ol li h1 h2 h3 h4 h5 h6 blockquote pre table tbody tr td th dl dt dd".split())
 #: What a start tag closes: an open element of the same kind, as far as the nearest container.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
           "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -22,8 +24,11 @@ _NAME = re.compile(r"[a-z]+")
 
 @dataclass
 class Block:
+    """Ancestor tags and the words in their names, the same of the nearest ancestor that tells a region, and the text."""
+
     tags: tuple[str, ...]
     names: tuple[str, ...]
+    near: tuple[str, ...]
     text: str
     linked: int
 
@@ -47,7 +52,9 @@ class _Reader(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             tags = tuple(t for t, _ in self.open)
-            self.page.blocks.append(Block(tags, tuple(n for _, names in self.open for n in names), text, self.linked))
+            names = tuple(n for _, names in self.open for n in names)
+            region = next(((t, *n) for t, n in reversed(self.open) if n or t not in PLAIN and t[:2] != "x-"), ())
+            self.page.blocks.append(Block(tags, names, region, text, self.linked))
             if tags and tags[-1] == "title" and not self.page.title:
                 self.page.title = text
         self.text, self.linked = [], 0

@@ -63,7 +63,7 @@ def test_viterbi_is_the_best_path(model, pages):
         e = model.scores(blocks)
         score = lambda y: model.start[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(
             model.step[a, b] for a, b in itertools.pairwise(y))
-        best = max(itertools.product((0, 1), repeat=len(blocks)), key=score)
+        best = max(itertools.product((0, 1), repeat=len(blocks)), key=score)  # every path
         assert np.isclose(score(best), score(model.decode(blocks)))
 
 
