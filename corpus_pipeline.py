@@ -1,31 +1,67 @@
-"""Corpus preparation: stages applied one after the other to `documents`."""
+"""Corpus preparation: quality, near-duplicates, benchmark passages, tokens; each stage works on what the last one kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Null or empty texts: the quality stage scores them with its label mean and so keeps them, all of them are one group
+of near-duplicates, they hold no benchmark passage and give no tokens. Empty tables pass through every stage.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quotelake.llm.common import table
+from quotelake.llm.bpe import bpe_round_trip
+from quotelake.llm.common import shared_folder, table
+from quotelake.llm.decontam import drop_contaminated
+from quotelake.llm.quality import keep_good
 from quotelake.llm.simhash import keep_one
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id."""
-    return keep_one(docs)
+    """One document of each group of five-word SimHash near-duplicates: the one with the smallest id."""
+    return keep_one(docs, shingle=5)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the text that they decode to."""
+    coded = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), F.col("decoded").cast("string").alias("text"),
+    )
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
     ("simhash_near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("bpe", tokenize),
 ]
 
-#: Model scores and XXH64 prints have no SQL counterpart; tests/llm compares the rows with a plain version.
+#: A model's scores and the prints have no SQL counterpart; tests/llm compares the rows with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written as Parquet to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

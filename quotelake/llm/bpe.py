@@ -167,11 +167,11 @@ class Codec:
         if len(self.first) + len(self.spaced) + len(self.words) > CACHE:
             self.first, self.spaced, self.words = {}, {}, {}
         cut = [self.cuts.split(t) if self.gap.search(t) else t.split(" ") for t in texts]
-        first = {s[0] for s in cut} - self.first.keys()
-        spaced = {s for segments in cut for s in segments[1:]} - self.spaced.keys()
+        first = {s[0] for s in cut}.difference(self.first)
+        spaced = {s for segments in cut for s in segments[1:]}.difference(self.spaced)
         split = {(True, s): self.pattern.findall(" " + s) for s in spaced}
         split.update({(False, s): self.pattern.findall(s) for s in first})
-        self._learn({w for words in split.values() for w in words} - self.words.keys())
+        self._learn({w for words in split.values() for w in words}.difference(self.words))
         for (blank, s), words in split.items():
             (self.spaced if blank else self.first)[s] = b"".join([self.words[w] for w in words])
         return [b"".join([self.first[s[0]], *[self.spaced[x] for x in s[1:]]]) for s in cut]

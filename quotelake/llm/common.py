@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -9,18 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there, so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`. Where none is named, a local master gets a temporary one
-    (tests); a cluster without a shared folder is an error.
+    Where none is named, a local master gets a temporary one (tests); a cluster without a shared folder is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("name a shared folder in spark.checkpoint.dir")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from there, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

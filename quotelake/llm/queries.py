@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quotelake.llm.bpe import bpe_round_trip
 from quotelake.llm.common import table
 from quotelake.llm.decontam import contamination
+from quotelake.llm.embed_dedup import near_vectors
 from quotelake.llm.html_extract import extract
+from quotelake.llm.quality import quality_scores
 from quotelake.llm.simhash import simhash_components
 from quotelake.llm.token_count import token_counts
 
@@ -23,6 +25,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component."""
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     coded = bpe_round_trip(
@@ -60,6 +75,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op3_embed_dedup": op3_embed_dedup,
     "op4_bpe": op4_bpe,
     "op5_html_extract": op5_html_extract,
     "op6_token_counts": op6_token_counts,

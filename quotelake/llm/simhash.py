@@ -57,18 +57,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints.view(np.int64), type=pa.int64())], names=["id", "fp"]
-        )
+def _stamp(rows: DataFrame, shingle: int) -> DataFrame:
+    """The rows with `fp`, the 64 bits as a signed long, in place of the text, which is their last column."""
+    names = [*rows.columns[:-1], "fp"]
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp holds the 64 bits as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
+    """(id, fp) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(_fingerprints, "id long, fp long")
+    return _stamp(rows, shingle)
 
 
 def _cell(fp) -> F.Column:
@@ -138,14 +146,15 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
 
 def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE,
+    shingle: int = SHINGLE,
 ) -> DataFrame:
     """One row per document: id, fp, component_id (smallest id reachable) and the component's own print `root_fp`.
 
     `root_fp` is the fingerprint of the component's first document (smallest id, then smallest print), so that
     (component_id, root_fp) names one document even where ids are null or repeated.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     found = components(links(nodes, radius, tile))
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select(
@@ -160,12 +169,14 @@ def simhash_components(
     return prints.join(known, "fp").select("id", "fp", "component_id", "root_fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
+) -> DataFrame:
     """One document of each component with its own columns: the one with the smallest id.
 
     Rows whose id is null or repeated are matched by their fingerprint as well, and repeats of one row leave one.
     """
-    found = cut(simhash_components(docs, id_col, text_col, radius))
+    found = cut(simhash_components(docs, id_col, text_col, radius, shingle=shingle))
     winners = found.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("root_fp")))
     per_id = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
     several = cut(per_id.where("n > 1").select("id"))
@@ -178,18 +189,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("t"),
     )
-    schema = T.StructType([*marked.schema.fields, T.StructField("fp", T.LongType())])
-    stamped = marked.mapInArrow(_stamp, schema).dropDuplicates(["id", "fp"])
+    stamped = _stamp(marked, shingle).dropDuplicates(["id", "fp"])
     chosen = winners.select(F.col("id").alias("w_id"), F.col("fp").alias("w_fp")).distinct()
     odd_kept = stamped.join(
         chosen, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("fp") == F.col("w_fp")), "left_semi"
     ).select("__row.*")
     return plain.select(*(F.col(f"`{c}`") for c in names)).union(odd_kept)
-
-
-def _stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(prints.view(np.int64), type=pa.int64())], names=[*batch.schema.names, "fp"]
-        )
