@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm.bpe import bpe_round_trip
+from quotelake.llm.chat import format_chats
 from quotelake.llm.common import table
 from quotelake.llm.decontam import contamination
 from quotelake.llm.embed_dedup import near_vectors
 from quotelake.llm.html_extract import extract
 from quotelake.llm.quality import quality_scores
+from quotelake.llm.sharding import LIMIT, assign
 from quotelake.llm.simhash import simhash_components
 from quotelake.llm.token_count import token_counts
+from quotelake.llm.warc import derive, page_responses
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +67,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard."""
+    return assign(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return derive(page_responses(table(spark, sf_dir, "pages"))).select(
+        F.col("id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "payload_digest",
+        "block_digest", "content_type", "content_length", "source_headers", F.col("block").cast("string").alias("block"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its benchmark hits."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -80,7 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_html_extract": op5_html_extract,
     "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
+    "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
+    "op10_warc": op10_warc,
 }
 
 _WORDS = (
@@ -109,6 +133,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+def op7_sql(limit: int = LIMIT) -> str:
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+levels AS (SELECT doc_id, n_bytes, h, unnest(range(0, 61)) AS d FROM docs),
+sums AS (SELECT d, h >> (60 - d) AS p, sum(n_bytes)::BIGINT AS b, count(*) AS n FROM levels GROUP BY ALL),
+leaf AS (
+  SELECT doc_id, min(l.d) AS depth FROM levels l JOIN sums s ON s.d = l.d AND s.p = l.h >> (60 - l.d)
+  WHERE b <= {limit} OR n = 1 GROUP BY doc_id)
+SELECT doc_id, n_bytes, left(lpad(bin(h), 60, '0'), depth::INT) AS shard_id, depth::INT AS depth, b AS shard_bytes,
+  n AS shard_docs, b > {limit} AS oversize
+FROM docs JOIN leaf USING (doc_id) JOIN sums ON sums.d = depth AND sums.p = h >> (60 - depth)
+"""
+
+
+OP8_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, role, text, '<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+    || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS line FROM conversations),
+chats AS (
+  SELECT conv_id, list((turn, role, text) ORDER BY turn, role, text) AS seq, count(*) AS n_turns,
+    string_agg(line, '' ORDER BY turn, role, text) AS text FROM turns GROUP BY conv_id),
+prefixes AS (SELECT DISTINCT unnest([seq[1:k] FOR k IN range(1, len(seq))]) AS seq FROM chats),
+kept AS (
+  SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM chats WHERE seq NOT IN (SELECT seq FROM prefixes) GROUP BY seq)
+SELECT conv_id, 0::BIGINT AS part, n_turns, n_copies, text FROM kept JOIN chats USING (conv_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_sharding": op7_sql(),
+    "op8_chat_format": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
 }
