@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word SimHash near-duplicates: the one with the smallest id."""
-    return keep_one(docs, shingle=5)
+    """One document of each group that SimHash finds similar (five-word shingles, 0.8): the one with the smallest id."""
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

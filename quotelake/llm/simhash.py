@@ -7,6 +7,11 @@ and a cell above `TILE` fingerprints is cut into tiles by hash, so no task holds
 of 65 neighbouring cells. Equal fingerprints (exact copies) are one node. Inside a task the links are reduced to a
 spanning forest, never written pair by pair.
 
+`similar_components` and `keep_one` link by similarity instead: 256-bit prints of the distinct five-word shingles, whose
+differing bits d estimate the cosine of two shingle sets as cos(pi d / 256); documents link at an estimate of 0.8 or
+more. Sets whose sizes differ by more than a factor 0.8 ** 2 cannot have that cosine, so cells are bands of set sizes and
+only neighbouring bands meet; inside a task, stretches whose population counts differ beyond the radius are skipped.
+
 Defined cases: null or empty text has fingerprint zero and links like any other; rows with a null id get a
 fingerprint and the smallest non-null id reachable (null if there is none); repeated rows each come back; an empty
 table gives no rows; other columns are ignored, whatever their names.
@@ -14,6 +19,7 @@ table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -31,30 +37,38 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints in a tile; it sets memory and the number of copies shuffled, never the result.
 TILE = 16384
+#: Linking by similarity: words in a shingle, least estimated cosine, 64-bit words of a print, prints in a tile.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+WORDS = 4
+WIDE_TILE = 4096
 #: Shingle hashes counted at a time, and cells of a comparison block.
 CHUNK = 1 << 16
 BLOCK = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a whole text: a bit is set if more than half of the shingle hashes have it."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle of a whole text, in order; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     last = max(0, len(words) - shingle)
-    starts, ends = starts[: last + 1].tolist(), ends[len(words) - last - 1:].tolist()
-    counts, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(starts), CHUNK):
-        hashes = np.array(
-            [digest(joined[a:b], SEED) for a, b in zip(starts[at:at + CHUNK], ends[at:at + CHUNK], strict=True)],
-            dtype="<u8",
-        )
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(
+        (digest(joined[a:b], SEED) for a, b in zip(starts[:last + 1].tolist(), ends[len(words) - last - 1:].tolist(), strict=True)),
+        dtype="<u8", count=last + 1,
+    ) if words else np.zeros(0, dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a whole text: a bit is set if more than half of the shingle hashes have it."""
+    hashes, counts = shingle_hashes(text, shingle), np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at:at + CHUNK].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _stamp(rows: DataFrame, shingle: int) -> DataFrame:
@@ -157,41 +171,136 @@ def simhash_components(
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     found = components(links(nodes, radius, tile))
-    labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label")
-    )
+    return _known(prints, nodes.withColumn("node", F.col("fp")), found, ["fp"])
+
+
+def _known(prints: DataFrame, nodes: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """The prints with their component's smallest id and the key of its first document as root_*."""
+    labelled = nodes.join(found, "node", "left").select(*key, "first_id", F.coalesce("label", "node").alias("label"))
     first = labelled.groupBy("label").agg(
-        F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("first")
+        F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", *key)).alias("first")
     )
     known = labelled.join(first, "label").select(
-        "fp", F.col("first.first_id").alias("component_id"), F.col("first.fp").alias("root_fp")
+        *key, F.col("first.first_id").alias("component_id"), *(F.col(f"first.{k}").alias(f"root_{k}") for k in key)
     )
-    return prints.join(known, "fp").select("id", "fp", "component_id", "root_fp")
+    return prints.join(known, key).select("id", *key, "component_id", *(f"root_{k}" for k in key))
+
+
+def wide_print(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[bytes, int]:
+    """256-bit SimHash of the set of shingles of a whole text, and the size of that set."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    counts = np.zeros(64 * WORDS, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at:at + CHUNK, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # splitmix64
+            part = (part ^ (part >> np.uint64(shift))) * np.uint64(factor)
+        part = np.ascontiguousarray(part ^ (part >> np.uint64(31)))
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), len(hashes)
+
+
+def radius_of(similarity: float) -> int:
+    """Most differing bits of a wide print at which the estimated cosine is still `similarity`."""
+    return math.floor(math.acos(similarity) / math.pi * 64 * WORDS)
+
+
+def compare_wide(mine: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between two arrays of wide prints (rows of words), as places in mine followed by others."""
+    forest, rows = Forest(len(mine) + len(others)), max(1, BLOCK // max(1, len(others)))
+    ones, ones_b = np.bitwise_count(mine).sum(1, dtype=np.int64), np.bitwise_count(others).sum(1, dtype=np.int64)
+    order, order_b = np.argsort(ones, kind="stable"), np.argsort(ones_b, kind="stable")
+    a, b, ones_b = mine[order], others[order_b], ones_b[order_b]
+    half = WORDS // 2
+    for at in range(0, len(a), rows):
+        part = a[at:at + rows]
+        low, high = np.searchsorted(ones_b, [ones[order[at]] - radius, ones[order[min(at + rows, len(a)) - 1]] + radius + 1])
+        near = b[low:high]
+        far = sum(np.bitwise_count(part[:, None, w] ^ near[None, :, w]) for w in range(half))
+        u, v = np.nonzero(far <= radius)
+        left = far[u, v].astype(np.int64) + np.bitwise_count(part[u, half:] ^ near[v, half:]).sum(1, dtype=np.int64)
+        u, v = u[left <= radius], v[left <= radius]
+        if len(u):
+            forest.link(order[u + at], order_b[v + low] + len(mine))
+    return forest.links()
+
+
+def _compare_wide(radius: int):
+    def side(cell) -> tuple[np.ndarray, np.ndarray]:
+        node, fp = cell.values.flatten()
+        return node.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8").reshape(-1, WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                (node, fp), (node_b, fp_b) = side(left), side(right)
+                child, root = compare_wide(fp, fp_b, radius)
+                every = np.concatenate([node, node_b])
+                yield pa.RecordBatch.from_arrays([pa.array(every[child]), pa.array(every[root])], names=["a", "b"])
+    return run
+
+
+def _stamp_wide(rows: DataFrame, shingle: int) -> DataFrame:
+    """The rows with `fp` and `size` in place of the text, which is their last column."""
+    names = [*rows.columns[:-1], "fp", "size"]
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, size = zip(*(wide_print(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.binary()), pa.array(size)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def similar_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+    shingle: int = SIMILAR_SHINGLE, tile: int = WIDE_TILE,
+) -> DataFrame:
+    """One row per document: id, fp and size (its wide print), component_id, root_fp and root_size."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    prints = cut(_stamp_wide(rows, shingle))
+    nodes = cut(prints.groupBy("fp", "size").agg(F.min("id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / (-2 * math.log(similarity))).cast("int")
+    cells = nodes.select("node", "fp", band.alias("band"))
+    # A row for each band: as many as the logarithm of the longest text.
+    filled = cells.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    tiles = (
+        cells.join(F.broadcast(filled), "band")
+        .groupBy("band", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
+        .agg(F.collect_list(F.struct("node", "fp")).alias("prints"))
+    )
+    steps = F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")
+    sent = tiles.select(steps, "part", "prints").join(F.broadcast(filled.select("band")), "band", "left_semi")
+    others = sent.groupBy("band", "part").agg(F.flatten(F.collect_list("prints")).alias("others"))
+    depth = filled.select(steps, "parts").groupBy("band").agg(F.max("parts").alias("deep"))
+    mine = tiles.join(F.broadcast(depth), "band").select(
+        "band", F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("part"), F.col("prints").alias("mine")
+    )
+    edges = mine.join(others, ["band", "part"]).select("mine", "others").mapInArrow(
+        _compare_wide(radius_of(similarity)), "a long, b long")
+    return _known(prints, nodes, components(edges), ["fp", "size"])
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+    shingle: int = SIMILAR_SHINGLE,
 ) -> DataFrame:
-    """One document of each component with its own columns: the one with the smallest id.
+    """One document of each group of similar ones with its own columns: the one with the smallest id.
 
-    Rows whose id is null or repeated are matched by their fingerprint as well, and repeats of one row leave one.
+    Rows whose id is null or repeated are matched by their print as well, and repeats of one row leave one.
     """
-    found = cut(simhash_components(docs, id_col, text_col, radius, shingle=shingle))
-    winners = found.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("root_fp")))
-    per_id = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
-    several = cut(per_id.where("n > 1").select("id"))
-    alone = winners.join(several, "id", "left_anti").where("id is not null").select(F.col("id").alias("__id"))
-    plain = docs.join(alone, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    odd = docs.join(several.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    odd = odd.union(docs.where(F.col(id_col).isNull()))
-    names = docs.columns
-    marked = odd.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).cast("string").alias("t"),
-    )
-    stamped = _stamp(marked, shingle).dropDuplicates(["id", "fp"])
-    chosen = winners.select(F.col("id").alias("w_id"), F.col("fp").alias("w_fp")).distinct()
-    odd_kept = stamped.join(
-        chosen, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("fp") == F.col("w_fp")), "left_semi"
-    ).select("__row.*")
-    return plain.select(*(F.col(f"`{c}`") for c in names)).union(odd_kept)
+    found = cut(similar_components(docs, id_col, text_col, similarity, shingle))
+    winners = found.where(
+        F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("root_fp")) & (F.col("size") == F.col("root_size"))
+    ).select("id", "fp", "size").distinct()
+    several = cut(found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    alone = winners.where("id is not null").join(several, "id", "left_anti").select(F.col("id").alias("__id"))
+    row_id = F.col(id_col).cast("long")
+    plain = docs.join(alone, row_id == F.col("__id"), "left_semi")
+    odd = docs.join(several.withColumnRenamed("id", "__id"), row_id == F.col("__id"), "left_semi").union(docs.where(row_id.isNull()))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = odd.select(F.struct(*names).alias("__row"), row_id.alias("id"), F.col(text_col).cast("string").alias("t"))
+    stamped = _stamp_wide(marked, shingle).dropDuplicates(["id", "fp", "size"])
+    chosen = winners.select(*(F.col(c).alias(f"w_{c}") for c in ("id", "fp", "size")))
+    match = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("fp") == F.col("w_fp")) & (F.col("size") == F.col("w_size"))
+    return plain.select(*names).union(stamped.join(chosen, match, "left_semi").select("__row.*"))

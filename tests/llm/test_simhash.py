@@ -1,12 +1,16 @@
 """SimHash against a plain version: per-bit counts and every pair compared."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from quotelake.llm.simhash import compare, fingerprint, keep_one, simhash_components
+from quotelake.llm.simhash import (
+    compare, compare_wide, fingerprint, keep_one, radius_of, similar_components, simhash_components, wide_print,
+)
 
 DOC = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -82,8 +86,64 @@ def test_empty_table(spark):
 
 
 def test_compare_reduces_a_clique_to_a_forest():
-    import numpy as np
-
     a = np.arange(8, dtype=np.uint64)
     u, v = compare(a, a, 3)
     assert len(u) <= 2 * len(a) and set(u) | set(v) == set(range(8))
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited(words, edits, rng):
+    words = list(words)
+    for i in rng.sample(range(len(words)), edits):
+        words[i] = f"edit{rng.random()}"
+    return " ".join(words)
+
+
+def test_similar_copies_are_caught_and_others_left(spark):
+    rng = random.Random(8)
+    rows, copies = [], 0
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 150, 400, 3000]))]
+        rows.append((10 * k, " ".join(words)))
+        for j in range(1, 5):
+            text = edited(words, max(1, len(words) * j // 200), rng)
+            a, b = shingles(text), shingles(rows[-j][1])
+            copies += len(a & b) / len(a | b) >= 0.8
+            rows.append((10 * k + j, text))
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], DOC)
+    for tile in (4096, 16):
+        found = similar_components(df, tile=tile).collect()
+        assert all(r["component_id"] // 10 == r["id"] // 10 for r in found)  # unrelated texts never link
+        caught = sum(r["component_id"] != r["id"] for r in found)
+        assert copies > 100 and caught >= 0.98 * copies
+    assert {r["doc_id"] for r in keep_one(df).collect()} >= set(range(0, 600, 10))
+
+
+def test_wide_links_are_those_of_every_pair():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    a[100:200] = a[:100]
+    for i in range(100, 200):  # up to 60 bits changed
+        for bit in rng.choice(256, rng.integers(0, 60), replace=False):
+            a[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    radius = radius_of(0.8)
+    child, root = compare_wide(a, a, radius)
+    label = list(range(600))
+    for u, v in zip(child.tolist(), root.tolist(), strict=True):
+        label[u] = v
+    for i in range(300):
+        for j in range(300):
+            if np.bitwise_count(a[i] ^ a[j]).sum() <= radius:
+                assert label[i] == label[300 + j]
+    assert len(set(label)) >= 200
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "a b c d e f g", "x y " * 70000])
+def test_wide_print(text):
+    fp, size = wide_print(text)
+    assert len(fp) == 32 and size == (len(shingles(text)) if text else 0)
+    assert wide_print((text or "").upper()) == (fp, size)
