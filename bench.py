@@ -21,7 +21,7 @@ from quotelake.session import build_session  # noqa: E402
 HEADLINE = [
     "rank_top3_quotes", "rank_all_in_product_group", "partner_match_top10", "partner_enrich", "amount_validation",
     "quote_issues", "cost_breakdown", "compare_highlights", "extract_warranty", "extract_delivery", "split_multi_option",
-    "project_latest_state", "file_dedupe",
+    "project_latest_state", "file_dedupe", "compare_table", "rank_score_consistency",
 ]
 
 

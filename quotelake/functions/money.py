@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import contains_any, group1, lookup, to_long
+from quotelake.functions.expr import group1, lookup, to_long
 
 # Money units and the amount pattern of quote texts.
 UNIT_VALUE = {
@@ -77,10 +77,6 @@ def revenue_million(text: Column) -> Column:
     return F.when(F.replace(text, F.lit(" "), F.lit("")).contains("억"), n * 100.0).otherwise(n)
 
 
-def parse_number(text: Column) -> Column:
-    return group1(F.replace(text, F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)").cast("double")
-
-
 def quantity_unit(text: Column) -> tuple[Column, Column]:
     """(quantity, unit): a number followed by a known unit word wins over the first number."""
     words = "EA|SETS|SET|식|개|대|조|매|units|unit"
@@ -125,7 +121,3 @@ def dates_in(text: Column) -> Column:
 
 def excel_date(serial: Column) -> Column:
     return F.date_add(F.lit("1899-12-30").cast("date"), serial.cast("int"))
-
-
-def money_words(text: Column) -> Column:
-    return contains_any(text, list(UNIT_VALUE))

@@ -9,6 +9,26 @@ from quotelake.functions import vocab as v
 from quotelake.functions.expr import any_of, contains_any, first_match, squeeze
 
 
+# Words of an item's texts that tell its first category; the first group with a word wins.
+CATEGORY_WORDS = [
+    ("DISPLAY", ["비디오월", "video wall", "패널", "panel", "did"]),
+    ("MOUNT", ["브라켓", "bracket", "마운트", "거치"]),
+    ("CABLE", ["케이블", "잡자재", "cable"]),
+    ("INSTALL", ["설치", "시운전", "install"]),
+    ("DISPLAY", ["led", "전광판", "비디오월", "dled", "lcd", "display"]),
+    ("MOUNT", ["브라켓", "마운트", "거치대", "구조물", "보강대"]),
+    ("PLAYER", ["플레이어", "player", "colorlight", "processor", "프로세서", "controller"]),
+    ("INSTALL", ["설치", "시공", "시운전", "교육"]),
+    ("SOFTWARE", ["software", "소프트웨어", "라이선스"]),
+]
+
+
+def initial_category(*texts: Column) -> Column:
+    """Category of an item as it leaves table or text reading, before any re-classification."""
+    text = F.lower(F.concat_ws(" ", *texts))
+    return first_match([(contains_any(text, words), category) for category, words in CATEGORY_WORDS], "ETC")
+
+
 def _outcome(category: str, cost_type: str, reason: str) -> Column:
     return F.struct(
         F.lit(category).alias("category"), F.lit(cost_type).alias("cost_type"), F.lit(reason).alias("reason")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotelake.functions import vocab as v
 from quotelake.functions.expr import any_of, contains_any, first_match, messages
 from quotelake.functions.rules import separate_marked, software_exclusion, with_cost_bucket
-from quotelake.operators.scale import best_per_group, rank_all, top_per_group
+from quotelake.operators.scale import best_per_group, rank_all
 
 # ------------------------------------------------------------------ cost buckets
 
@@ -269,18 +269,30 @@ def first_per_quote(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def select_rows(rows: DataFrame, wanted: DataFrame | None, n: int | None) -> DataFrame:
-    """Rows named in ``wanted`` (project_id, quote_id); projects naming none use the top ``n``, else all."""
-    fallback = rows.where(F.col("rank") <= n) if n else rows
+    """Rows named in ``wanted`` (project_id, quote_id), all of them; projects naming none use the top ``n``, else all.
+
+    ``chosen`` tells which.
+    """
+    fallback = (rows.where(F.col("rank") <= n) if n else rows).withColumn("chosen", F.lit(False))
     if wanted is None:
         return fallback
     named = wanted.select("project_id").distinct()
     picked = rows.join(wanted.select("project_id", "quote_id").distinct(), ["project_id", "quote_id"], "left_semi")
-    return picked.unionByName(fallback.join(named, "project_id", "left_anti"))
+    return picked.withColumn("chosen", F.lit(True)).unionByName(fallback.join(named, "project_id", "left_anti"))
+
 
+def display_order(
+    rows: DataFrame, keys: list[str], hot: DataFrame, n: int | None = None, always: Column | None = None, out: str = "position"
+) -> DataFrame:
+    """Rows by score, highest first, missing last, input order on ties.
 
-def display_order(rows: DataFrame, keys: list[str], n: int, out: str = "position") -> DataFrame:
-    """Rows by score, highest first, missing last, input order on ties; cut to ``n``."""
-    return top_per_group(rows, keys, [F.col("final_score").desc_nulls_last(), F.col("input_no")], n, out)
+    ``n`` keeps the first positions and the rows where ``always`` holds. ``hot`` lists keys too large for one task.
+    """
+    bucket = -F.rint(F.coalesce("final_score", F.lit(-1.0)) * 100)
+    placed = rank_all(rows, keys, bucket, [F.col("final_score").desc_nulls_last(), F.col("input_no")], hot, out)
+    if n is None:
+        return placed
+    return placed.where((F.col(out) <= n) | (F.lit(False) if always is None else F.coalesce(always, F.lit(False))))
 
 
 def vendor_options(rows: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:

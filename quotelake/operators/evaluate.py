@@ -85,9 +85,11 @@ def card_text() -> Column:
     return F.concat_ws(" ", "card_summary", F.array_join("strengths", " "), F.array_join("weaknesses", " "))
 
 
-def card_violations(cards: DataFrame, items: DataFrame) -> DataFrame:
+def card_violations(cards: DataFrame, items: DataFrame, check_words: int | None = None) -> DataFrame:
     """Violation categories of every generated card against its source record.
 
+    ``check_words`` looks for the first words of a check only.
+
     ``cards``: record_id, quote_id, vendor_name, card_summary, strengths, weaknesses.
     ``items``: record_id, quote_id, vendor_name, check_required, warranty_months,
     total_supply_price, total_with_vat, delivery_weeks.
@@ -101,7 +103,8 @@ def card_violations(cards: DataFrame, items: DataFrame) -> DataFrame:
     known = F.coalesce("known", F.lit(False))
     weak = F.array_join("weaknesses", "\n")
     said = contains_any(weak, CRITICAL_WORDS)
-    words = lambda s: F.slice(F.filter(F.regexp_extract_all(s, F.lit("([가-힣A-Za-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= 2), 1, 3)
+    every = lambda s: F.filter(F.regexp_extract_all(s, F.lit("([가-힣A-Za-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= 2)
+    words = lambda s: F.slice(every(s), 1, check_words) if check_words else every(s)
     unreported = F.exists(
         "check_required",
         lambda s: contains_any(s, CRITICAL_WORDS) & (F.size(words(s)) > 0)

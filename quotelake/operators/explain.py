@@ -40,19 +40,19 @@ def is_comparison(text: Column) -> Column:
     return contains_any(text, COMPARISON_WORDS)
 
 
-def short_risk(text: Column) -> Column:
-    """Canonical short form of a risk message."""
+def short_risk(text: Column, chars: int | None = None) -> Column:
+    """Canonical short form of a risk message; ``chars`` cuts messages that have none."""
     clean = one_space(text)
     out = F.when(clean.rlike(RISK_SHORT[0][0]), RISK_SHORT[0][1])
     for pattern, short in RISK_SHORT[1:]:
         out = out.when(clean.rlike(pattern), short)
     rest = F.replace(F.replace(clean, F.lit("되어 추가 확인 필요"), F.lit("")), F.lit("추가 확인 필요"), F.lit(""))
-    return out.otherwise(F.substring(rest, 1, 40))
+    return out.otherwise(F.substring(rest, 1, chars) if chars else rest)
 
 
-def risk_key(text: Column) -> Column:
+def risk_key(text: Column, chars: int | None = None) -> Column:
     """Key under which two risk messages count as the same."""
-    t = short_risk(text)
+    t = short_risk(text, chars)
     for word in ["확인 필요", "추가", "되어"]:
         t = F.replace(t, F.lit(word), F.lit(""))
     return F.regexp_replace(t, r"[\s.,·/()]+", "")
@@ -187,18 +187,19 @@ def explanation_input(top3: DataFrame, fields: list[str]) -> DataFrame:
     return top3.where(F.col("rank") <= 3).select(*fields, decision_risks(F.col("check_required")).alias("check_required"))
 
 
-def clean_generated(df: DataFrame) -> DataFrame:
-    """Sanitize generated strengths: parser talk and unsupported advantage claims go, two stay."""
+def clean_generated(df: DataFrame, chars: int | None = None, keep: int | None = None) -> DataFrame:
+    """Sanitize generated strengths: parser talk and unsupported advantage claims go.
+
+    ``chars`` cuts each strength and ``keep`` the list, where they are named.
+    """
     claims = lambda s, word: s.contains(word) & contains_any(s, ADVANTAGE_WORDS)
-    limited = F.slice(F.transform(F.filter("strengths", lambda s: F.trim(s) != ""), lambda s: F.substring(one_space(s), 1, 120)), 1, 2)
+    first = lambda c: F.slice(c, 1, keep) if keep else c
+    short = lambda s: F.substring(one_space(s), 1, chars) if chars else one_space(s)
+    limited = first(F.transform(F.filter("strengths", lambda s: F.trim(s) != ""), short))
     staged = df.withColumn("_d", _delivery_open()).withColumn("_i", _install_open())
-    kept = F.slice(
-        F.array_distinct(F.filter(
-            limited,
-            lambda s: ~is_parser_note(s) & ~(F.col("_d") & claims(s, "납기")) & ~(F.col("_i") & claims(s, "설치")),
-        )),
-        1, 2,
-    )
+    kept = first(F.array_distinct(F.filter(
+        limited, lambda s: ~is_parser_note(s) & ~(F.col("_d") & claims(s, "납기")) & ~(F.col("_i") & claims(s, "설치")),
+    )))
     return staged.withColumn("strengths", F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(NO_STRENGTH)))).drop("_d", "_i")
 
 

@@ -20,13 +20,12 @@ NEWLINE = r"\r\n|\r|\n"
 EDGE_MARKS = r"^[ \-*•\t]+|[ \-*•\t]+$"
 
 # Label patterns of quote documents.
-MONEY_CHARS = r"[₩￦Ww\(\)\d,.\s]+"
 TOTAL_LABELS = [
-    r"(?:전체\s*합\s*계|합\s*계\s*금\s*액|합계금액|총\s*견적\s*금액|총\s*금액|견적\s*금액|총액|공급대가)\s*(?:\(.*?\))?\s*[:：]?\s*",
-    r"(?:Total|Amount)\s*[:：]?\s*",
+    r"(?:전체\s*합\s*계|합\s*계\s*금\s*액|합계금액|총\s*견적\s*금액|총\s*금액|견적\s*금액|총액|공급대가)\s*(?:\(.*?\))?\s*[:：]?\s*([₩￦Ww\(\)\d,.\s]+(?:원|만원|천만원|백만원|억원|억)?)",
+    r"(?:Total|Amount)\s*[:：]?\s*([₩￦Ww\(\)\d,.\s]+(?:KRW|원)?)",
 ]
-SUPPLY_LABELS = [r"(?:공급\s*가\s*액|공급가액|공급\s*금액|공급액)\s*[:：]?\s*"]
-TAX_LABELS = [r"(?:세\s*액|세액|부가\s*가치\s*세|부가\s*세|부가세)\s*[:：]?\s*"]
+SUPPLY_LABELS = [r"(?:공급\s*가\s*액|공급가액|공급\s*금액|공급액)\s*[:：]?\s*([₩￦Ww\(\)\d,.\s]+(?:원)?)"]
+TAX_LABELS = [r"(?:세\s*액|세액|부가\s*가치\s*세|부가\s*세|부가세)\s*[:：]?\s*([₩￦Ww\(\)\d,.\s]+(?:원)?)"]
 TOTAL_TOKENS = ["부가세포함가", "전체합계", "전체합계(vat포함)", "vat합계", "총금액", "vat포함"]
 TAX_TOKENS = ["부가가치세", "부가세", "세액"]
 SUPPLY_TOKENS = ["공급가액", "공급금액", "공급가", "vat별도", "소계", "합계"]
@@ -96,9 +95,8 @@ def _first(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
-def _labelled(text: Column, labels: list[str], units: str) -> Column:
-    found = [group1(text, rf"(?i){label}({MONEY_CHARS}(?:{units})?)") for label in labels]
-    return parse_amount(F.coalesce(*found))
+def _labelled(text: Column, labels: list[str]) -> Column:
+    return parse_amount(F.coalesce(*(group1(text, f"(?i){label}") for label in labels)))
 
 
 # ----------------------------------------------------------------------- amounts
@@ -156,7 +154,7 @@ def labelled_amounts(docs: DataFrame) -> DataFrame:
     """Total, supply and tax by label with the line-based fallbacks; supply from total and tax if missing."""
     text = F.col("text")
     total = F.coalesce(
-        _labelled(text, TOTAL_LABELS, "원|만원|천만원|백만원|억원|억|KRW"),
+        _labelled(text, TOTAL_LABELS),
         F.array_max(F.concat(comma_amounts(text), unit_amounts(text))),
     )
     sums = F.filter(
@@ -168,8 +166,8 @@ def labelled_amounts(docs: DataFrame) -> DataFrame:
         lines_of(text),
         lambda s: contains_any(_no_space(s), ["부가가치세", "부가세", "세액"]) & (F.size(comma_amounts(s)) > 0),
     )
-    supply = F.coalesce(_labelled(text, SUPPLY_LABELS, "원"), last_of(comma_amounts(_first(sums))))
-    tax = F.coalesce(_labelled(text, TAX_LABELS, "원"), last_of(comma_amounts(_first(taxes))))
+    supply = F.coalesce(_labelled(text, SUPPLY_LABELS), last_of(comma_amounts(_first(sums))))
+    tax = F.coalesce(_labelled(text, TAX_LABELS), last_of(comma_amounts(_first(taxes))))
     return (
         docs.withColumn("total_amount", total)
         .withColumn("tax_amount", tax)
@@ -200,8 +198,11 @@ def key_value_amounts(docs: DataFrame, column: str = "key_values") -> DataFrame:
     )
 
 
-def option_totals(docs: DataFrame, limit: int = 5) -> DataFrame:
-    """Consecutive (supply, tax, total) amounts that add up: the totals of each option in one document."""
+def option_totals(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Consecutive (supply, tax, total) amounts that add up: the totals of each option in one document.
+
+    All are kept unless a ``limit`` is named.
+    """
     staged = once(docs, "_a", comma_amounts(F.col("text")))
     triple = lambda x, i: F.struct(
         x.alias("supply_price"), F.get("_a", i + 1).alias("tax_amount"), F.get("_a", i + 2).alias("total_with_vat")
@@ -212,9 +213,8 @@ def option_totals(docs: DataFrame, limit: int = 5) -> DataFrame:
            <= F.greatest(F.lit(50000), (t["total_with_vat"] * 0.03).cast("bigint")))
     )
     found = F.array_distinct(F.filter(F.transform("_a", triple), ok))
-    return staged.withColumn("option_candidates", found).drop("_a").withColumn(
-        "option_total_count", F.size("option_candidates")
-    ).withColumn("option_candidates", F.slice("option_candidates", 1, limit))
+    counted = staged.withColumn("option_candidates", found).drop("_a").withColumn("option_total_count", F.size("option_candidates"))
+    return counted.withColumn("option_candidates", F.slice("option_candidates", 1, limit)) if limit else counted
 
 
 # ------------------------------------------------------------- dates and durations
@@ -333,10 +333,10 @@ def valid_project(value: Column) -> Column:
     return ~F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", "")).isin(INVALID_PROJECT_NAMES)
 
 
-def resolve_project_name(docs: DataFrame, vendor_tokens: list[str] = ()) -> DataFrame:
+def resolve_project_name(docs: DataFrame, vendor_tokens: list[str] = (), file_chars: int | None = None) -> DataFrame:
     """project_name from the parsed value, a labelled line, or the file name, with its source.
 
-    Expects project_name, text, file_name and vendor_name.
+    Expects project_name, text, file_name and vendor_name. ``file_chars`` cuts a name taken from the file name.
     """
     stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
     own = clean_project(F.col("project_name"))
@@ -351,7 +351,7 @@ def resolve_project_name(docs: DataFrame, vendor_tokens: list[str] = ()) -> Data
     base = F.when(vendor != "", F.replace(base, vendor, F.lit(" "))).otherwise(base)
     for token in vendor_tokens:
         base = F.replace(base, F.lit(token), F.lit(" "))
-    from_file = strip(F.substring(clean_project(base), 1, 50))
+    from_file = strip(F.substring(clean_project(base), 1, file_chars) if file_chars else clean_project(base))
     return (
         docs.withColumn("_own", own).withColumn("_label", from_text).withColumn("_file", from_file)
         .withColumn(

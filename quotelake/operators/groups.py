@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quotelake.functions import vocab as v
 from quotelake.functions.groups import canonical_group, distinct_canonical, group_order_key, primary_group
-from quotelake.operators.scale import top_per_group
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
@@ -147,8 +146,3 @@ def group_counts(competing: DataFrame) -> DataFrame:
         competing.rollup("project_id", "product_group")
         .agg(F.count("*").alias("quote_count"), F.grouping_id().cast("int").alias("level"))
     )
-
-
-def top_groups(competing: DataFrame, n: int = 1) -> DataFrame:
-    counts = competing.groupBy("project_id", "product_group", "group_order").count()
-    return top_per_group(counts, ["project_id"], [F.col("count").desc(), F.col("group_order"), F.col("product_group")], n)

@@ -177,10 +177,10 @@ def classify_notes(docs: DataFrame, key: str = "quote_id") -> DataFrame:
     """Every remark line with its class, cleaned term, strength and whether it needs action."""
     base = with_label(with_section(note_lines(docs, key), key), key).where(~F.col("is_bare_label"))
     zipped = label_value_zip(docs, key).select(
-        key, (F.col("pos") + 1000000).alias("pos"), F.concat_ws(": ", "label", "value").alias("text"),
+        key, "pos", F.lit(1).alias("part"), F.concat_ws(": ", "label", "value").alias("text"),
         F.lit(True).alias("table_like"), F.lit("").alias("section"), "label", "value",
     )
-    rows = base.drop("is_bare_label").unionByName(zipped)
+    rows = base.drop("is_bare_label").withColumn("part", F.lit(0)).unionByName(zipped)
     t, label = F.col("text"), F.col("label")
     content = F.when(F.col("value") != "", F.col("value")).otherwise(t)
     staged = rows.withColumn("excluded_reason", excluded_reason(t)).withColumn("term", term_value(content)).withColumn(
@@ -221,10 +221,10 @@ def note_terms(docs: DataFrame, key: str = "quote_id") -> DataFrame:
     special = pick("special") | pick("software") | (F.col("kind").isin("warranty", "install") & F.col("actionable") & (
         (F.col("section") != "") | pick("install")))
     listed = lambda cond, value: F.array_distinct(F.transform(
-        F.array_sort(F.array_compact(F.collect_list(F.when(cond, F.struct("pos", value.alias("v")))))), lambda r: r["v"]))
+        F.array_sort(F.array_compact(F.collect_list(F.when(cond, F.struct("part", "pos", value.alias("v")))))), lambda r: r["v"]))
     return rows.groupBy(key).agg(
-        F.max_by(F.when(pick("payment"), F.col("term")), F.when(pick("payment"), F.struct("strength", (-F.col("pos")).alias("p")))).alias("payment_terms"),
-        F.min_by(F.when(pick("validity"), F.col("term")), F.when(pick("validity"), F.col("pos"))).alias("validity_terms"),
+        F.max_by(F.when(pick("payment"), F.col("term")), F.when(pick("payment"), F.struct("strength", (-F.col("part")).alias("s"), (-F.col("pos")).alias("p")))).alias("payment_terms"),
+        F.min_by(F.when(pick("validity"), F.col("term")), F.when(pick("validity"), F.struct("part", "pos"))).alias("validity_terms"),
         listed(pick("delivery"), F.col("term")).alias("delivery_terms"),
         listed(pick("warranty"), F.col("term")).alias("warranty_terms"),
         listed(pick("install"), F.col("term")).alias("install_terms"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelake.functions import vocab as v
-from quotelake.functions.expr import clamp, contains_any, group1, lookup, messages, round2, squeeze, strip
+from quotelake.functions.expr import clamp, contains_any, group1, lookup, messages, round2, strip
 from quotelake.functions.names import normalize_company
 from quotelake.functions.vector import cosine, norm, similarity_score
 from quotelake.operators.scale import best_per_group, rank_all, running_before, top_per_group
@@ -43,9 +43,7 @@ def required_warranty(raw_text: Column, keywords: Column) -> Column:
 
 
 def spec_score() -> Column:
-    return F.when(
-        F.col("req_vec").isNull() | F.col("quote_vec").isNull() | F.col("cosine").isNull(), F.lit(50.0)
-    ).otherwise(clamp(similarity_score(F.col("cosine"))))
+    return F.when(F.col("cosine").isNull(), F.lit(50.0)).otherwise(clamp(similarity_score(F.col("cosine"))))
 
 
 def price_score() -> Column:
@@ -116,12 +114,12 @@ def check_messages() -> Column:
     """Points to be checked by a person, in scoring order."""
     late = schedule_given() & F.col("required_weeks").isNotNull()
     notes = F.coalesce("notes_raw", F.lit(""))
-    no_req = F.col("req_vec").isNull()
-    no_quote = ~no_req & F.col("quote_vec").isNull()
+    no_req = ~F.col("has_req_vec")
+    no_quote = F.col("has_req_vec") & ~F.col("has_quote_vec")
     return messages(
         (no_req, v.MSG_NO_REQUEST_VECTOR),
         (no_quote, v.MSG_NO_QUOTE_VECTOR),
-        (~no_req & F.col("quote_vec").isNotNull() & F.col("cosine").isNull(), v.MSG_SPEC_FAILED),
+        (F.col("has_req_vec") & F.col("has_quote_vec") & F.col("cosine").isNull(), v.MSG_SPEC_FAILED),
         (~price_known(), v.MSG_NO_PRICE),
         (price_known() & (F.col("price") > F.col("budget_max")), v.MSG_OVER_BUDGET),
         (schedule_given() & F.col("required_weeks").isNull(), v.MSG_SCHEDULE_UNCLEAR),
@@ -191,12 +189,20 @@ def score_quotes(
         F.coalesce(required_warranty(F.col("raw_text"), F.col("required_keywords")), F.lit(12)).alias("target_months"),
         F.col("vec_id").alias("req_vec_id"),
     ).join(rv, "req_vec_id", "left")
-    with_vectors = quotes.join(reqs, "project_id").join(qv, "vec_id", "left")
+    # the two vectors end here: only the cosine goes through the joins below
+    compared = (
+        quotes.join(reqs, "project_id").join(qv, "vec_id", "left")
+        .withColumn("cosine", cosine(F.col("req_vec"), F.col("quote_vec"), F.col("rn"), F.col("qn")))
+        .withColumn("has_req_vec", F.col("req_vec").isNotNull())
+        .withColumn("has_quote_vec", F.col("quote_vec").isNotNull())
+        .drop("quote_vec", "req_vec", "qn", "rn")
+    )
+    facts = partners.select(
+        "name", "supp_key", "is_premium", "success_rate", "response_speed", "financial_status", "is_excluded")
     scored = (
-        attach_partner(with_vectors, partners)
+        attach_partner(compared, facts)
         .withColumn("price", comparable_price())
         .join(lowest_prices(quotes, keys), keys, "left")
-        .withColumn("cosine", cosine(F.col("req_vec"), F.col("quote_vec"), F.col("rn"), F.col("qn")))
         .withColumn("_spec", spec_score())
         .withColumn("_price", price_score())
         .withColumn("_delivery", delivery_score())
@@ -243,7 +249,7 @@ def score_quotes(
                 (F.lower("partner.response_speed") == "fast", "fast_response"),
             ),
         )
-        .drop("_spec", "_price", "_delivery", "_warranty", "_install", "quote_vec", "req_vec", "qn", "rn", "partner")
+        .drop("_spec", "_price", "_delivery", "_warranty", "_install", "has_req_vec", "has_quote_vec", "partner")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import contains_any, first_match, group1, lit_array, once, one_space, strip
+from quotelake.functions.expr import first_match, group1, lit_array, once, one_space, strip
 from quotelake.functions.money import budget_amount, request_money
 from quotelake.operators.extract import clean_text, lines_of
 from quotelake.sources.intake import normalize_empty
@@ -275,7 +275,3 @@ def intake_requests(forms: DataFrame) -> DataFrame:
     return forms.withColumn(
         "failure_reason", F.when(normalize_empty(F.col("request_text")).isNull(), "empty_request_text")
     )
-
-
-def names_display(text: Column) -> Column:
-    return contains_any(text, ALWAYS_KEYWORDS)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 CHUNK = 10_000
+#: Parts into which every group is dealt before its first rows are taken.
+PARTS = 16
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
@@ -25,11 +27,14 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
     """First ``n`` rows per group with their rank.
 
-    Filtering on ``row_number`` lets Spark keep only ``n`` rows per group and task
-    before the shuffle, so a hot group never reaches one task whole.
+    The first ``n`` of every part of a group are taken before the first ``n`` of the group. The parts need a
+    partitioning of their own, so that Spark limits rows before both shuffles and may split a join below by skew:
+    a hot group never reaches one task whole.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
+    parted = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    within, w = W.partitionBy(*keys, "_part").orderBy(*order), W.partitionBy(*keys).orderBy(*order)
+    some = parted.withColumn(out, F.row_number().over(within)).where(F.col(out) <= n).drop("_part", out)
+    return some.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
 
 
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

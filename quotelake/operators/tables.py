@@ -29,7 +29,6 @@ FINGERPRINT_ROLES = {
     "item_name": ["품명", "품목", "구분", "내용"], "quantity": ["수량", "qty"], "unit_price": ["단가"],
     "supply_amount": ["공급가액", "금액"], "tax_amount": ["세액", "부가세"],
 }
-HEADER_ROWS = 8
 SUMMARY_WORDS = ["합계", "소계", "공급가", "부가세", "부가가치세", "vat", "총금액", "전체합계"]
 SPEC_LABEL_NAMES = [
     "밝기", "해상도", "패널해상도", "전체해상도", "전체크기", "화면크기", "스크린크기", "screensize", "displaysize",
@@ -83,9 +82,13 @@ def header_roles(tight_row: Column) -> Column:
     return F.struct(*[(F.nullif(position(words), F.lit(0)) - 1).cast("int").alias(r) for r, words in ROLE_WORDS.items()])
 
 
-def with_header(tables: DataFrame) -> DataFrame:
-    """header_index and roles: the row of the first eight with most roles (two at least), earliest on ties."""
-    tight = F.transform(F.slice("rows", 1, HEADER_ROWS), lambda r: F.transform(r, lambda c: squeeze(c)))
+def with_header(tables: DataFrame, header_rows: int | None = None) -> DataFrame:
+    """header_index and roles: the row with most roles (two at least), earliest on ties.
+
+    ``header_rows`` looks at the first rows only.
+    """
+    seen = F.slice("rows", 1, header_rows) if header_rows else F.col("rows")
+    tight = F.transform(seen, lambda r: F.transform(r, lambda c: squeeze(c)))
     staged = once(tables, "_tight", tight)
     staged = once(staged, "_roles", F.transform("_tight", lambda r: header_roles(r)))
     counted = F.transform(

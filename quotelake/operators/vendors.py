@@ -26,7 +26,6 @@ CONFIDENCE = {
     "original": 0.55, "ocr_label_next_line": 0.9, "partner_alias": 0.98, "partner_master_text": 0.95,
     "header_company_candidate": 0.75, "file_name_alias": 0.92, "file_name": 0.9, "file_name_fallback": 0.6,
 }
-TOP_LINES, HEADER_LINES = 50, 20
 
 
 def clean_candidate(value: Column) -> Column:
@@ -67,8 +66,14 @@ def label_next_line(docs: DataFrame) -> DataFrame:
     return _rows(staged.withColumn("_v", F.explode(found)), F.col("_v"), "ocr_label_next_line", 1)
 
 
-def header_companies(docs: DataFrame) -> DataFrame:
-    lines = F.transform(F.slice(lines_of(F.col("text")), 1, HEADER_LINES), lambda s: clean_candidate(s))
+def _first_lines(n: int | None) -> Column:
+    every = lines_of(F.col("text"))
+    return F.slice(every, 1, n) if n else every
+
+
+def header_companies(docs: DataFrame, header_lines: int | None = None) -> DataFrame:
+    """Company-like lines, among the first ``header_lines`` where a number is named."""
+    lines = F.transform(_first_lines(header_lines), lambda s: clean_candidate(s))
     found = F.filter(lines, lambda s: valid_candidate(s) & contains_any(s, COMPANY_MARKS))
     return _rows(docs.select("doc_id", F.explode(found).alias("_v")), F.col("_v"), "header_company_candidate", 4)
 
@@ -96,14 +101,16 @@ def _needles(partners: DataFrame) -> DataFrame:
     return known.unionByName(alias).where(F.col("needle") != "").distinct()
 
 
-def vendor_candidates(docs: DataFrame, partners: DataFrame) -> DataFrame:
+def vendor_candidates(
+    docs: DataFrame, partners: DataFrame, top_lines: int | None = None, header_lines: int | None = None
+) -> DataFrame:
     """All candidates: (doc_id, value, source, confidence, source_order).
 
     ``docs`` has doc_id, text, file_name and vendor_name (the parser's own guess, may be empty).
     """
     needles = _needles(partners)
     stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
-    top = F.array_join(F.slice(lines_of(F.col("text")), 1, TOP_LINES), "\n")
+    top = F.array_join(_first_lines(top_lines), "\n")
     # the two searched parts keep a blank between them, so no name can match across
     space = docs.select("doc_id", F.concat(normalize_company(top), F.lit(" "), normalize_company(F.col("file_name"))).alias("space"))
     hits = containment_join(space, "space", needles, "needle", keep_text=False)
@@ -115,7 +122,7 @@ def vendor_candidates(docs: DataFrame, partners: DataFrame) -> DataFrame:
         label_next_line(docs),
         _rows(hits.where("is_alias"), F.col("canonical"), "partner_alias", 2),
         _rows(hits.where("NOT is_alias"), F.col("canonical"), "partner_master_text", 3),
-        header_companies(docs),
+        header_companies(docs, header_lines),
         _rows(file_hits.where("is_alias"), F.col("canonical"), "file_name_alias", 5),
         _rows(file_hits.where("NOT is_alias"), F.col("canonical"), "file_name", 6),
         _rows(docs, generic_file_vendor(stem), "file_name_fallback", 7),
@@ -126,12 +133,15 @@ def vendor_candidates(docs: DataFrame, partners: DataFrame) -> DataFrame:
     return out.where(valid_candidate(F.col("value")))
 
 
-def resolve_vendor_names(docs: DataFrame, partners: DataFrame) -> DataFrame:
+def resolve_vendor_names(
+    docs: DataFrame, partners: DataFrame, top_lines: int | None = None, header_lines: int | None = None
+) -> DataFrame:
     """Best candidate per document by confidence, then normalized length, then source order.
 
-    A map-side-combined maximum: candidates of one document are never gathered.
+    Partner names are sought in the whole text, or in its first ``top_lines``; company-like lines in all lines, or in
+    the first ``header_lines``. A map-side-combined maximum: candidates of one document are never gathered.
     """
-    cand = vendor_candidates(docs, partners)
+    cand = vendor_candidates(docs, partners, top_lines, header_lines)
     best = cand.groupBy("doc_id").agg(
         F.max(
             F.struct(

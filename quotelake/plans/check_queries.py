@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quotelake.functions.names import normalize_company
-from quotelake.functions.rules import reclassify
+from quotelake.functions.rules import initial_category, reclassify
 from quotelake.operators import validate as q
 from quotelake.plans.mart_sql import LINES, QUOTES, with_marts
 from quotelake.sources import marts as m
@@ -38,6 +38,12 @@ def amount_validation(spark, d):
     return q.amount_validation(m.quotes(spark, d)).select(*AMOUNT_COLS)
 
 
+def initial_categories(spark, d):
+    """First category of every line from its texts alone."""
+    return m.lines(spark, d).select(
+        "quote_id", "line_seq", "part_key", "supp_key", initial_category(F.col("name"), F.col("spec_raw")).alias("first_category"))
+
+
 def line_arithmetic(spark, d):
     return q.line_arithmetic(m.lines(spark, d)).select(
         "quote_id", "line_seq", "name", "quantity", "unit_price", "total_price", "calculated_amount", "difference")
@@ -61,7 +67,7 @@ def delivery_validation(spark, d):
 
 def issues_of(spark, d):
     quotes = named_quotes(spark, d)
-    partners = m.table(spark, d, "supplier").select(normalize_company(F.col("s_name")).alias("pk")).where("s_suppkey % 10 <> 0").distinct()
+    partners = m.table(spark, d, "supplier").select(normalize_company(F.col("s_name")).alias("pk")).distinct()
     known = (
         quotes.withColumn("pk", normalize_company(F.col("vendor_name")))
         .join(partners.withColumn("partner_found", F.lit(True)), "pk", "left")
@@ -100,6 +106,7 @@ def quality_diff(spark, d):
 
 QUERIES = {
     "amount_validation": amount_validation,
+    "initial_categories": initial_categories,
     "line_arithmetic": line_arithmetic,
     "line_sum_reconcile": line_sum_reconcile,
     "residual_lines": residual_lines,
@@ -153,9 +160,9 @@ ISSUES = AMOUNT + DELIVERY + """,
 arith AS (SELECT quote_id, bool_or(CAST(quantity AS BIGINT) * unit_price <> total_price) AS bad,
  bool_or(quantity = 1 AND total_price >= 1000000) AS swapped FROM lines GROUP BY quote_id),
 iss AS (SELECT av.*, dl.delivery_status, dl.delivery_message, arith.bad,
- (av.supp_key IS NOT NULL AND av.supp_key % 10 <> 0) AS known,
+ av.supp_key IS NOT NULL AS known,
  concat_ws('|', CASE WHEN av.vendor_name IS NULL THEN 'vendor_name_missing' END,
-  CASE WHEN av.supp_key IS NULL OR av.supp_key % 10 = 0 THEN 'vendor_name_partner_not_matched' END,
+  CASE WHEN av.supp_key IS NULL THEN 'vendor_name_partner_not_matched' END,
   CASE WHEN av.quote_id % 9 = 0 THEN 'project_name_missing' END, CASE WHEN av.quote_id % 9 = 1 THEN 'project_name_fallback_used' END,
   CASE WHEN coalesce(av.total_supply_price, 0) = 0 THEN 'total_supply_price_missing' END,
   CASE WHEN av.tax_amount IS NULL THEN 'tax_amount_missing' END, CASE WHEN av.total_with_vat IS NULL THEN 'total_with_vat_missing' END,
@@ -175,6 +182,13 @@ iss AS (SELECT av.*, dl.delivery_status, dl.delivery_message, arith.bad,
 P = (LINES, QUOTES)
 ORACLE = {
     "amount_validation": with_marts(AMOUNT + f" SELECT {', '.join(AMOUNT_COLS)} FROM av", *P),
+    "initial_categories": with_marts(r""", t AS (SELECT *, lower(name || ' ' || spec_raw) AS x FROM lines)
+SELECT quote_id, line_seq, part_key, supp_key, CASE
+ WHEN regexp_matches(x, '비디오월|video wall|패널|panel|did') THEN 'DISPLAY' WHEN regexp_matches(x, '브라켓|bracket|마운트|거치') THEN 'MOUNT'
+ WHEN regexp_matches(x, '케이블|잡자재|cable') THEN 'CABLE' WHEN regexp_matches(x, '설치|시운전|install') THEN 'INSTALL'
+ WHEN regexp_matches(x, 'led|전광판|lcd|display') THEN 'DISPLAY' WHEN regexp_matches(x, '구조물|보강대') THEN 'MOUNT'
+ WHEN regexp_matches(x, '플레이어|player|colorlight|processor|프로세서|controller') THEN 'PLAYER'
+ WHEN regexp_matches(x, '시공|교육') THEN 'INSTALL' WHEN regexp_matches(x, 'software|소프트웨어|라이선스') THEN 'SOFTWARE' ELSE 'ETC' END AS first_category FROM t""", LINES),
     "line_arithmetic": with_marts("""SELECT quote_id, line_seq, name, quantity, unit_price, total_price,
  CAST(quantity AS BIGINT) * unit_price AS calculated_amount, total_price - CAST(quantity AS BIGINT) * unit_price AS difference
 FROM lines WHERE total_price <> CAST(quantity AS BIGINT) * unit_price""", LINES),

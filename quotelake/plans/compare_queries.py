@@ -78,7 +78,8 @@ def compare_table(spark, d):
         F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("quote_id"))
     chosen = c.first_per_quote(c.select_rows(ranked, wanted, 10), ["project_id"])
     rows = c.highlights(with_total(c.conditions(chosen)), ["project_id"])
-    return c.display_order(c.badges(rows), ["project_id"], 8).select(
+    hot = hot_keys(m.quotes(spark, d), ["project_id"])
+    return c.display_order(c.badges(rows), ["project_id"], hot, 8, F.col("chosen")).select(
         "project_id", "quote_id", "position", "rank", "final_score", "delivery_text", "warranty_display", "as_method",
         "total_display", F.array_join("badges", "|").alias("badges"), "strength_text", "weakness_text")
 
@@ -181,7 +182,7 @@ ORACLE = {
  vn AS (SELECT *, row_number() OVER (PARTITION BY project_id, vendor_name ORDER BY final_score DESC, input_no) AS option_no, count(*) OVER (PARTITION BY project_id, vendor_name) AS option_count FROM vo)
  SELECT project_id, quote_id, vendor_name, option_no, option_count, CASE WHEN option_count > 1 THEN vendor_name || ' ' || option_no || '안' ELSE vendor_name END AS display_name FROM vn""", *PARTS),
     "compare_table": with_marts(ranked_sql(BY_PROJECT) + TOTAL + f""",
- pick AS (SELECT * FROM tot WHERE CASE WHEN project_id IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey % 2 = 0) THEN quote_id % 2 = 0 ELSE rank <= 10 END),
+ pick AS (SELECT * FROM (SELECT *, project_id IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey % 2 = 0) AS chosen FROM tot) WHERE CASE WHEN chosen THEN quote_id % 2 = 0 ELSE rank <= 10 END),
  hl AS (SELECT *, {_high(BY_PROJECT, '')}, row_number() OVER (PARTITION BY project_id ORDER BY final_score DESC, input_no) AS position FROM pick)
  SELECT project_id, quote_id, position, rank, final_score,
   coalesce(delivery_basis_raw, delivery_weeks || '주', '미기재') AS delivery_text,
@@ -191,7 +192,7 @@ ORACLE = {
   coalesce(nullif(concat_ws('|', CASE WHEN is_lowest_total_price THEN '최저가' END, CASE WHEN is_fastest_delivery THEN '납기 우위' END, CASE WHEN is_premium THEN '프리미엄 파트너' END, CASE WHEN NOT is_confirmed THEN '총액 미확정' END), ''), '검토 대상') AS badges,
   coalesce(nullif(concat_ws(', ', CASE WHEN is_lowest_total_price THEN '가격 경쟁력' END, CASE WHEN is_fastest_delivery THEN '납기 우위' END, CASE WHEN is_longest_warranty THEN '보증 조건 우수' END, CASE WHEN is_premium THEN '프리미엄 파트너' END), ''), '조건 확인 후 판단 가능') AS strength_text,
   coalesce(nullif(concat_ws(', ', nullif(replace(check_required, '|', ', '), ''), CASE WHEN NOT partner_found THEN '파트너 마스터 미등록' END, CASE WHEN is_excluded THEN '제외 파트너 견적서' END, CASE WHEN wide THEN '가격 차이 5% 초과' END), ''), '특이 단점 없음') AS weakness_text
- FROM hl WHERE position <= 8""", *PARTS),
+ FROM hl WHERE position <= 8 OR chosen""", *PARTS),
     "compare_cells": with_marts(ranked_sql(BY_PROJECT) + BREAKDOWN + f""",
  cl AS (SELECT project_id, quote_id AS supplier_id, unnest({LABELS}) AS c FROM brk),
  ov AS (SELECT project_id, supplier_id, c.l AS row_label, CASE WHEN c.l = '콘텐츠' AND supplier_id % 17 = 0 THEN '확인함' ELSE c.v END AS value,

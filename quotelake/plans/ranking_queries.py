@@ -72,7 +72,7 @@ def rank_score_consistency(spark, d):
 
 
 def selected_partner_filter(spark, d):
-    sel = m.table(spark, d, "customer").where("c_custkey % 3 = 0").select(
+    sel = m.table(spark, d, "customer").select(
         F.col("c_custkey").alias("project_id"),
         F.format_string("Supplier#%09d", F.col("c_custkey") % 50).alias("partner_name"),
     )
@@ -209,7 +209,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY project_id, quote_id ORDER BY ro
 WHERE k = 1""", *PARTS),
     "selected_partner_filter": with_marts(
         f""", sel AS (SELECT c_custkey AS project_id, {NORM.format("'Supplier#' || lpad(CAST(c_custkey % 50 AS VARCHAR), 9, '0')")} AS pk
-  FROM customer WHERE c_custkey % 3 = 0),
+  FROM customer),
 flag AS (SELECT q.project_id, q.quote_id, q.vendor_name, sel.pk IS NOT NULL AS hit,
   bool_or(sel.pk IS NOT NULL) OVER (PARTITION BY q.project_id) AS any_hit
   FROM quotes q LEFT JOIN sel ON q.project_id = sel.project_id AND {NORM.format('q.vendor_name')} = sel.pk)

@@ -42,8 +42,10 @@ def recent_records(spark, d):
 
 
 def upsert_quotes(spark, d):
-    cur = m.table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("quote_id"), F.col("o_orderstatus").alias("status"), "o_totalprice")
-    new = m.table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("quote_id"), F.lit("X").alias("status"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    """Stored quotes, then the amounts of all their lines as the newer state of every quote that has some."""
+    cur = m.table(spark, d, "orders").select(F.col("o_orderkey").alias("quote_id"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    new = m.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("quote_id")).agg(
+        F.max("l_linestatus").alias("status"), F.max("l_quantity").cast("double").alias("o_totalprice"))
     return lc.upsert(cur, new, ["quote_id"])
 
 
@@ -72,7 +74,7 @@ def file_dedupe(spark, d):
 
 
 def intake_good_bad(spark, d):
-    ext = F.when(F.col("doc_id") % 4 == 0, ".pdf").when(F.col("doc_id") % 4 == 1, ".XLSX").when(F.col("doc_id") % 4 == 2, ".exe").otherwise(".png")
+    ext = F.when(F.col("doc_id") % 4 == 0, ".pdf").when(F.col("doc_id") % 8 == 1, ".XLSX").when(F.col("doc_id") % 8 == 5, ".xls").when(F.col("doc_id") % 4 == 2, ".exe").otherwise(".png")
     files = m.table(spark, d, "documents").select(
         "doc_id", F.concat(F.lit("/in/doc"), F.col("doc_id").cast("string"), ext).alias("path"), F.when(F.col("doc_id") % 10 == 0, 0).otherwise(F.length("text")).alias("length"))
     good, bad = i.split_good_bad(i.screen_files(files), "reject_reason")
@@ -126,7 +128,7 @@ def partner_history_text(spark, d):
 
 def storage_projection(spark, d):
     docs = m.table(spark, d, "documents").select("doc_id", F.col("text").alias("source_text"), F.lit("k").alias("api_key"))
-    return i.strip_heavy(docs)
+    return i.strip_heavy(docs)  # whole texts: the cut is a parameter
 
 
 def json_round_trip(spark, d):
@@ -163,7 +165,8 @@ ORACLE = {
  SELECT c_custkey AS project_id, c_name AS company_name, '사업 ' || c_mktsegment AS name, created_at, status FROM customer JOIN f ON c_custkey = o_custkey
  WHERE status = 'P' AND (contains(lower(c_mktsegment), 'building') OR contains(lower(c_name), 'building')) ORDER BY created_at DESC, project_id LIMIT 20 OFFSET 20""",
     "recent_records": "SELECT event_id AS id, user_id AS project_id, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
-    "upsert_quotes": "SELECT o_orderkey AS quote_id, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 = 0",
+    "upsert_quotes": """SELECT coalesce(o_orderkey, k) AS quote_id, coalesce(s, o_orderstatus) AS status, coalesce(p, o_totalprice) AS o_totalprice
+ FROM orders FULL JOIN (SELECT l_orderkey AS k, max(l_linestatus) AS s, max(l_quantity)::DOUBLE AS p FROM lineitem GROUP BY 1) ON k = o_orderkey""",
     "patch_projects": "SELECT c_custkey AS project_id, CASE WHEN c_custkey % 6 = 0 THEN '새 회사' ELSE c_name END AS company_name, CASE WHEN c_custkey % 3 = 0 THEN '서울' ELSE c_mktsegment END AS location FROM customer",
     "delete_projects": "SELECT o_custkey AS project_id, o_orderkey AS quote_id FROM orders WHERE o_custkey % 5 <> 0",
     "confirmed_selection": "SELECT o_custkey AS project_id, o_orderpriority AS product_group, o_orderdate AS created_at, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
@@ -183,8 +186,8 @@ ORACLE = {
     "quote_embedding_text": with_marts(""" SELECT quote_id, concat_ws(chr(10), '업체명: ' || nullif(trim(vendor_name), ''), '공급가 합계: ' || total_supply_price, 'VAT 포함 총액: ' || total_with_vat,
  '납기 주수: ' || delivery_weeks || '주', '납기 원문: ' || delivery_basis_raw, '보증기간: ' || warranty_months || '개월', '비고: ' || nullif(trim(notes_raw), '')) AS text FROM quotes""", LINES, QUOTES),
     "partner_history_text": with_marts(""" SELECT s_name AS name, coalesce(h, '') AS history FROM supplier LEFT JOIN (SELECT supp_key, string_agg(solution || ' ' || n || '건', ', ' ORDER BY n DESC, solution) AS h FROM phist WHERE kept GROUP BY 1) ON supp_key = s_suppkey""", LINES, QUOTES, PARTNERS),
-    "storage_projection": "SELECT doc_id, substr(text, 1, 1000) AS source_text FROM documents",
+    "storage_projection": "SELECT doc_id, text AS source_text FROM documents",
     "json_round_trip": "SELECT o_orderkey AS quote_id, o_totalprice, o_orderstatus FROM orders",
     "stream_latest_state": LATEST,
-    "stream_quote_intake": "SELECT sha256(text) AS file_hash, CASE WHEN length(trim(min(text))) < 200 THEN 'too_short' END AS reject_reason FROM documents GROUP BY 1",
+    "stream_quote_intake": "SELECT sha256(text) AS file_hash, CASE WHEN trim(min(text)) = '' THEN 'empty_text' END AS reject_reason FROM documents GROUP BY 1",
 }

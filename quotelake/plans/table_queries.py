@@ -76,7 +76,7 @@ def vendor_docs(spark, d):
 
 
 def vendor_name_resolve(spark, d):
-    known = m.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_name").alias("name"))
+    known = m.table(spark, d, "supplier").select(F.col("s_name").alias("name"))
     docs = vendor_docs(spark, d).withColumn("file_name", F.when(F.col("doc_id") % 5 == 0, "견적서_스캔.pdf").otherwise(F.col("file_name")))
     return vn.resolve_vendor_names(docs, known).drop("candidate_count")
 
@@ -142,7 +142,7 @@ ORACLE = {
     "amount_pairs": BASE + "SELECT quote_id, CASE WHEN quote_id % 5 <> 0 AND tax >= 1000 THEN tax END AS first_price, CASE WHEN quote_id % 5 <> 0 AND tax >= 1000 THEN 1.0 END::DOUBLE AS second_quantity FROM d",
     "text_line_items": BASE + """SELECT quote_id, 'LED 전광판' AS item_name, (quote_id % 5 + 1) || '.5 x 2.4m' AS spec, (quote_id % 9 + 1)::DOUBLE AS quantity, '식' AS unit, supply AS supply_amount, tax AS tax_amount, supply + tax AS amount, '실내용' AS note FROM d""",
     "layout_profiles": BASE + "SELECT quote_id, CASE WHEN quote_id % 2 = 0 THEN 'generic_quote_table|vat_separate_item_tax_table' ELSE 'generic_quote_table' END AS profiles FROM d",
-    "vendor_name_resolve": """WITH v AS (SELECT o_orderkey AS k, 'Supplier#' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 9, '0') AS name, o_orderkey % 40 < (SELECT count(*) FROM supplier) AND o_orderkey % 2 = 0 AS known FROM orders)
+    "vendor_name_resolve": """WITH v AS (SELECT o_orderkey AS k, 'Supplier#' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 9, '0') AS name, o_orderkey % 40 < (SELECT count(*) FROM supplier) AS known FROM orders)
  SELECT k AS doc_id, CASE WHEN known AND (k % 3 <> 2 OR k % 5 <> 0) THEN name WHEN k % 3 = 0 THEN name WHEN k % 3 = 1 THEN name || ' 영업부' WHEN k % 5 = 0 THEN '스캔' ELSE name END AS vendor_name,
   CASE WHEN known AND (k % 3 <> 2 OR k % 5 <> 0) THEN 'partner_master_text' WHEN k % 3 = 0 THEN 'ocr_label_next_line' WHEN k % 3 = 1 THEN 'header_company_candidate' ELSE 'file_name_fallback' END AS vendor_name_source,
   CASE WHEN known AND (k % 3 <> 2 OR k % 5 <> 0) THEN 0.95 WHEN k % 3 = 0 THEN 0.9 WHEN k % 3 = 1 THEN 0.75 ELSE 0.6 END::DOUBLE AS confidence FROM v""",

@@ -80,10 +80,16 @@ def hardware_section(spark, d):
 
 
 def best_spec_chunk(spark, d):
-    docs = doc.base(spark, d).withColumn("product_group", F.when(F.col("quote_id") % 2 == 0, "LED전광판").otherwise("비디오월")).withColumn(
-        "text", F.concat(F.lit("개요 문단\n\n비디오월 55인치 베젤 "), (F.col("quote_id") % 5).cast("string"),
-                         F.lit("mm FHD\n\nLED 전광판 pixel pitch cabinet module 밝기 nit "), (F.col("quote_id") % 3).cast("string"), F.lit("\n\n합계")))
-    return s.best_spec_chunk(docs).select("quote_id", F.col("spec_chunk").startswith("LED").alias("is_led_chunk"))
+    """Two products in either order; the group's own part, and the whole text where no group is known."""
+    k = F.col("quote_id")
+    n = lambda c: c.cast("string")
+    led = F.concat(F.lit("LED Display P"), n(k % 3 + 1), F.lit(".5 SMD 해상도 "), n(1000 + k % 5 * 100), F.lit(" x "), n(600 + k % 5 * 10),
+                   F.lit(" 밝기 "), n(700 + k % 4 * 100), F.lit(" nit"))
+    video = F.concat(F.lit("55인치 베젤 "), n(k % 5), F.lit("mm FHD"))
+    docs = doc.base(spark, d).withColumn(
+        "product_group", F.when(k % 7 == 0, F.lit(None)).when(k % 2 == 0, "LED전광판").otherwise("비디오월")).withColumn(
+        "text", F.when(k % 4 < 2, F.concat_ws("\n", F.lit("개요 문단"), led, video)).otherwise(F.concat_ws(" · ", video, led)))
+    return s.best_spec_chunk(docs).select("quote_id", "spec_chunk")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -129,5 +135,8 @@ ORACLE = {
  concat_ws('|', CASE WHEN screen IS NULL THEN 'screen_size_mm' END, CASE WHEN res IS NULL THEN 'resolution' END, CASE WHEN bezel IS NULL THEN 'bezel_mm' END) AS removed FROM san""",
     "hardware_section": BASE + f""", {SAN} SELECT d.quote_id, screen AS hw_screen_size_mm, res AS hw_resolution, {PITCH.replace('quote_id', 'd.quote_id')} AS hw_pixel_pitch,
  (300 + d.quote_id % 900)::INT AS hw_brightness_cd_m2, (60 + (d.quote_id % 8) * 500)::INT AS hw_refresh_rate, {POWER.replace('quote_id', 'd.quote_id')} AS hw_power_kw FROM d JOIN san USING (quote_id)""",
-    "best_spec_chunk": BASE + "SELECT quote_id, quote_id % 2 = 0 AS is_led_chunk FROM d",
+    "best_spec_chunk": BASE + """, p AS (SELECT quote_id, 'LED Display P' || (quote_id % 3 + 1) || '.5 SMD 해상도 ' || (1000 + quote_id % 5 * 100) || ' x ' || (600 + quote_id % 5 * 10)
+  || ' 밝기 ' || (700 + quote_id % 4 * 100) || ' nit' AS led, '55인치 베젤 ' || (quote_id % 5) || 'mm FHD' AS video FROM d)
+ SELECT quote_id, CASE WHEN quote_id % 7 = 0 THEN (CASE WHEN quote_id % 4 < 2 THEN '개요 문단 ' || led || ' ' || video ELSE video || ' ' || led END)
+  WHEN quote_id % 2 = 0 THEN led ELSE video END AS spec_chunk FROM p""",
 }

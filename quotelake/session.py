@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -30,12 +31,12 @@ def build_session(app_name: str = "quotelake", master: str | None = None, **conf
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where unset."""
+    """The shared folder named by the cluster. Only a local master may go without one; it gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    folder = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotelake.functions.expr import first_match, strip
-from quotelake.operators.scale import best_per_group
 
 # Accepted upload types, empty spellings, fields kept out of storage.
-QUOTE_EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg", ".xlsx"]
+QUOTE_EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg", ".xlsx", ".xls"]
 EMPTY_WORDS = ["", "미입력", "없음", "null", "undefined", "none"]
 HEAVY_FIELDS = [
     "embedding_vector", "requirement_embedding", "partner_embedding", "raw", "raw_document", "binary_content",
     "api_key", "endpoint", "deployment", "raw_llm_output",
 ]
 CAPPED_FIELDS = ["source_text", "ocr_text"]
-CAPPED_LENGTH = 1000
-SPEC_SUMMARY_LENGTH = 300
 MSG_NO_DOCUMENT = "QuoteDocument가 없습니다."
 MSG_NO_QUOTE_ID = "quote_id가 없습니다."
 MSG_BAD_DOCUMENT = "유효하지 않은 QuoteDocument입니다."
@@ -77,19 +74,15 @@ def normalize_empty(value: Column) -> Column:
     return F.when(~F.lower(text).isin(EMPTY_WORDS), text)
 
 
-def strip_heavy(df: DataFrame) -> DataFrame:
-    """Projection for storage: no vectors or secrets, long source texts capped."""
+def strip_heavy(df: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Projection for storage: no vectors or secrets; source texts are cut where ``text_chars`` is named."""
     out = df.drop(*HEAVY_FIELDS)
     for name in CAPPED_FIELDS:
-        if name in out.columns:
-            out = out.withColumn(name, F.substring(F.col(name), 1, CAPPED_LENGTH))
+        if text_chars and name in out.columns:
+            out = out.withColumn(name, F.substring(F.col(name), 1, text_chars))
     return out
 
 
-def line_summaries(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("spec_raw", F.substring(F.coalesce("spec_raw", F.lit("")), 1, SPEC_SUMMARY_LENGTH))
-
-
 def to_record(df: DataFrame, keys: list[str], out: str = "record_json") -> DataFrame:
     """Row as JSON text next to its keys."""
     return df.select(*keys, F.to_json(F.struct(*df.columns)).alias(out))
@@ -224,8 +217,4 @@ def dense_grid(cells: DataFrame) -> DataFrame:
 def document_kind(path: Column) -> Column:
     """Route of a file: sheet rows or text recognition."""
     low = F.lower(path)
-    return first_match([(low.endswith(".xlsx"), "sheet"), (low.endswith(".txt"), "text")], "recognition")
-
-
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return best_per_group(rows, keys, order)
+    return first_match([(low.rlike(r"\.xlsx?$"), "sheet"), (low.endswith(".txt"), "text")], "recognition")

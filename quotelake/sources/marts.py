@@ -1,8 +1,8 @@
 """Domain tables derived from the order/line/part/supplier star schema.
 
 ``lines``, ``quotes``, ``requirements``, ``partners`` and ``vectors`` are the
-inputs of every operator. They are plain DataFrames: each call declares the
-plan again, so Catalyst prunes the columns an operator does not use.
+inputs of every operator. Quotes and partners need all lines, so they are written
+once to the shared folder and read from there, pruned to the columns a query uses.
 
 Whole-quote figures use map-side-combinable aggregates (``min`` of a struct,
 ``sum``, ``count_if``) rather than windows, so one giant quote, project or
@@ -11,10 +11,13 @@ vendor is reduced on every executor before anything is shuffled.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.functions.expr import lookup
+from quotelake.session import checkpoint_dir
 
 # Business names shown for the star schema's part types, in type order.
 TYPE_NAMES = {
@@ -110,7 +113,37 @@ def quote_sums(line_df: DataFrame) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A mart written once per application to the shared folder; every branch of every query reads that one table.
+
+    Inputs are taken as fixed while the application runs; :func:`forget` makes the next call write anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/marts-{uuid.uuid4().hex}/{name}"
+        build(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def forget() -> None:
+    _stored.clear()
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per quote with the figures of its lines."""
+    return stored(spark, sf_dir, "quotes", build_quotes)
+
+
+def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partner master: one row per supplier with delivery history from its lines."""
+    return stored(spark, sf_dir, "partners", build_partners)
+
+
+def build_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = vector_count(spark, sf_dir)
     sums = quote_sums(lines(spark, sf_dir))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
@@ -213,8 +246,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partner master: one row per supplier with delivery history from its lines."""
+def build_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = vector_count(spark, sf_dir)
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")

@@ -14,9 +14,9 @@ from quotelake.sources.lifecycle import latest_state
 STATE_ORDER = ["created_at", "id"]
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """Fresh folder below the shared checkpoint directory."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def work_folder(spark: SparkSession, name: str, run: str | None = None) -> str:
+    """Folder below the shared checkpoint directory: the one of a named run, which a restart resumes, or a fresh one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{run or uuid.uuid4().hex}"
 
 
 def stream_latest_state(events: DataFrame, folder: str) -> DataFrame:
@@ -44,15 +44,16 @@ def stream_latest_state(events: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/state/v={last}")
 
 
-def screen_document(docs: DataFrame, min_chars: int) -> DataFrame:
-    return docs.withColumn("reject_reason", F.when(F.length(F.trim("text")) < min_chars, "too_short"))
+def screen_document(docs: DataFrame) -> DataFrame:
+    """Reject what holds no text; every text of any length goes on."""
+    return docs.withColumn("reject_reason", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty_text"))
 
 
-def stream_intake(docs: DataFrame, folder: str, time: str = "ts", window: str = "3650 days", min_chars: int = 200) -> tuple[DataFrame, DataFrame]:
+def stream_intake(docs: DataFrame, folder: str, time: str = "ts", window: str = "3650 days") -> tuple[DataFrame, DataFrame]:
     """Continuous intake: hash, drop re-uploads seen within ``window``, screen, write good and dead-letter tables."""
     spark = docs.sparkSession
     fresh = with_file_hash(docs, "text").withWatermark(time, window).dropDuplicatesWithinWatermark(["file_hash"])
-    screened = screen_document(fresh, min_chars)
+    screened = screen_document(fresh)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("accepted", F.col("reject_reason").isNull()).write.mode("overwrite").partitionBy("accepted").parquet(

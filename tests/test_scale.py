@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quotelake.operators import partner_match as pm
 from quotelake.operators.contain import containment_join
-from quotelake.operators.scale import hot_keys, rank_all, running_before
+from quotelake.operators.scale import hot_keys, rank_all, running_before, top_per_group
 
 
 def _rows(spark, n=3000):
@@ -86,3 +86,42 @@ def test_percentile_bounds_small_sets():
     assert (lo[0], hi[0]) == (0.1, 0.3)
     lo, hi = pm.bounds(np.array([[float(i) for i in range(11)]]))
     assert (lo[0], hi[0]) == (1.0, 9.0)
+
+
+def test_top_of_a_hot_key_reaches_no_task_whole(spark):
+    df = _rows(spark, 6000).repartition(8)
+    order = [F.col("score").desc(), F.col("id")]
+    got = top_per_group(df, ["k"], order, 3)
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy(*order))).where("rank <= 3")
+    assert sorted(map(tuple, got.select("k", "id", "rank").collect())) == sorted(map(tuple, want.select("k", "id", "rank").collect()))
+    # both windows have a limit below their shuffle, so the last one sees at most 3 rows of each part of a key
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4
+
+
+def test_scores_carry_no_vectors_through_joins(spark):
+    from quotelake.plans.ranking_queries import scored_by_project
+
+    plan = scored_by_project(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem") == 0  # quotes and partners are read from their stored marts
+    assert not {"req_vec", "quote_vec"} & set(scored_by_project(spark, "/root/testdata/sf0.001").columns)
+
+
+def test_named_stream_run_resumes_and_adds_nothing_twice(spark, tmp_path):
+    import uuid
+
+    from quotelake.streaming import jobs
+
+    spark.createDataFrame([(1, "one text"), (2, "one text"), (3, " "), (4, "two")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    folder = jobs.work_folder(spark, "intake", f"test-{uuid.uuid4().hex}")
+    assert folder == jobs.work_folder(spark, "intake", folder.rsplit("intake-", 1)[1])
+
+    def run():
+        stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in").withColumn(
+            "ts", F.timestamp_seconds(F.col("doc_id") + 1700000000))
+        good, bad = jobs.stream_intake(stream, folder)
+        return sorted(r["text"] for r in good.collect()), [r["reject_reason"] for r in bad.collect()]
+
+    first = run()
+    assert first == (["one text", "two"], ["empty_text"])
+    assert run() == first
