@@ -125,3 +125,20 @@ def test_named_stream_run_resumes_and_adds_nothing_twice(spark, tmp_path):
     first = run()
     assert first == (["one text", "two"], ["empty_text"])
     assert run() == first
+
+
+def test_master_without_vectors_and_bad_vectors(spark, monkeypatch):
+    reqs, features = _match_inputs(spark)
+    none = features.withColumn("vec", F.lit(None).cast("array<double>"))
+    assert pm.match_partners(reqs, none, 10).count() == 0
+    zero = features.withColumn("vec", F.when(F.col("name") == "p001", F.array_repeat(F.lit(0.0), 8)).otherwise(F.col("vec")))
+    gone = features.withColumn("vec", F.when(F.col("name") != "p001", F.col("vec")))
+    want = {tuple(r) for r in pm.match_partners(reqs, gone, 10).collect()}
+    assert {tuple(r) for r in pm.match_partners(reqs, zero, 10).collect()} == want
+    monkeypatch.setattr(pm, "BLOCK_ROWS", 1)  # many blocks hold no vector
+    assert {tuple(r) for r in pm.match_partners(reqs, zero, 10, broadcast_rows=10).collect()} == want
+    assert pm.match_partners(reqs, none, 10, broadcast_rows=10).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, vec array<double>")
+    asked = spark.createDataFrame([(10, 1), (20, 2), (30, 3), (40, None)], "project_id long, vec_id long")
+    failed = {tuple(r) for r in pm.requests_without_vector(asked, vectors).collect()}
+    assert failed == {(20, "embedding_unusable"), (30, "embedding_missing"), (40, "embedding_missing")}
