@@ -15,6 +15,7 @@ MODULES = [
     "record_queries",
     "reason_queries",
     "note_queries",
+    "extra_queries",
 ]
 
 
