@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotelake.functions.money import amounts_in, dates_in, quantity_unit
 from quotelake.functions.rules import initial_category
 from quotelake.operators import evaluate as ev
 from quotelake.operators import explain as e
 from quotelake.operators import requests as rq
 from quotelake.operators import similarity as sim
 from quotelake.operators import specs as s
+from quotelake.operators.extract import lines_of
 from quotelake.plans.check_queries import ORACLE as CHECK_SQL
 from quotelake.plans.mart_sql import LINES, with_marts
 from quotelake.plans.ranking_queries import BY_PROJECT, PARTS, ranked_sql
@@ -76,8 +78,44 @@ def embed_requests(spark, d):
     return measured.select("project_id", F.col("vec")[0].alias("chars"), F.col("vec")[1].alias("breaks"))
 
 
+def _figures(texts, key):
+    """Amounts, dates, quantities and durations of texts that nobody prepared for these rules."""
+    t = F.col("text")
+    staged = texts.withColumn("_amounts", amounts_in(t)).withColumn("_dates", dates_in(t))
+    number, unit = quantity_unit(t)
+    return staged.select(
+        key, F.size("_amounts").alias("n_amounts"), F.array_max("_amounts").alias("largest"), F.size("_dates").alias("n_dates"),
+        number.alias("quantity"), unit.alias("unit"), F.size(lines_of(t)).alias("n_lines"))
+
+
+def document_figures(spark, d):
+    return _figures(m.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def page_figures(spark, d):
+    """The same on web pages, tags taken out."""
+    return _figures(m.table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text")), "page_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    request_intake, dense_grids, edit_candidates, line_context, rank_cards, category_sequences, embed_requests)}
+    request_intake, dense_grids, edit_candidates, line_context, rank_cards, category_sequences, embed_requests,
+    document_figures, page_figures)}
+
+
+
+def _figures_sql(texts: str, key: str) -> str:
+    """Written from the rules: comma groups or five digits and more; a number and a unit word, else the first number."""
+    words = "EA|SETS|SET|식|개|대|조|매|units|unit"
+    strict, loose = rf"(\d+(?:\.\d+)?)[\s]+({words})(?:[^\p{{L}}\p{{N}}_]|$)", rf"(\d+(?:\.\d+)?)\s*({words})?"
+    return rf"""WITH t AS ({texts}), x AS (SELECT *, [TRY_CAST(replace(a, ',', '') AS BIGINT) FOR a IN regexp_extract_all(text, '(\d{{1,3}}(?:,\d{{3}})+|\d{{5,}})')] AS amounts,
+  [[TRY_CAST(regexp_extract(g, '(\d{{4}})[.\-/년\s]+(\d{{1,2}})[.\-/월\s]+(\d{{1,2}})', 1) AS INT), TRY_CAST(regexp_extract(g, '(\d{{4}})[.\-/년\s]+(\d{{1,2}})[.\-/월\s]+(\d{{1,2}})', 2) AS INT), TRY_CAST(regexp_extract(g, '(\d{{4}})[.\-/년\s]+(\d{{1,2}})[.\-/월\s]+(\d{{1,2}})', 3) AS INT)]
+   FOR g IN regexp_extract_all(text, '\d{{4}}[.\-/년\s]+\d{{1,2}}[.\-/월\s]+\d{{1,2}}')] AS days,
+  nullif(regexp_extract(text, '(?i){strict}', 1), '') AS n1, nullif(regexp_extract(text, '(?i){loose}', 1), '') AS n2,
+  nullif(regexp_extract(text, '(?i){strict}', 2), '') AS u1, nullif(regexp_extract(text, '(?i){loose}', 2), '') AS u2 FROM t)
+SELECT k AS {key}, len(amounts)::INT AS n_amounts, list_max(amounts) AS largest,
+ len([y FOR y IN days IF y[1] BETWEEN 2000 AND 2100 AND TRY_CAST(y[1] || '-' || y[2] || '-' || y[3] AS DATE) IS NOT NULL])::INT AS n_dates,
+ coalesce(n1, n2)::DOUBLE AS quantity, coalesce(u1, u2) AS unit, len(regexp_split_to_array(text, '\r\n|\r|\n'))::INT AS n_lines FROM x"""
+
 
 _CATEGORY = CHECK_SQL["initial_categories"]
 ORACLE = {
@@ -98,4 +136,6 @@ SELECT g.q AS quote_id, g.r::INT AS row_no, g.c::INT AS col_no, coalesce(v, '')
  FROM lineitem) l JOIN ({_CATEGORY}) i USING (quote_id, line_seq, part_key, supp_key) GROUP BY l.quote_id""",
     "embed_requests": f"""SELECT project_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS breaks
  FROM ({RECORD_SQL["embedding_text"]})""",
+    "document_figures": _figures_sql("SELECT doc_id AS k, text FROM documents", "doc_id"),
+    "page_figures": _figures_sql("SELECT page_id AS k, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages", "page_id"),
 }
