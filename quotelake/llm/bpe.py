@@ -25,10 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text worked on at a time, words in one recursive query, segments remembered by a Python worker.
-SLICE = 4_000_000
-WORDS = 40_000
-CACHE = 400_000
+#: Characters of text worked on at a time, words in one recursive query, segments in each of the two generations that a
+#: Python worker remembers.
+SLICE = 3_000_000
+WORDS = 20_000
+CACHE = 150_000
 #: Words above so many bytes contract several pairs in a step.
 LONG = 32
 
@@ -104,9 +105,10 @@ class Codec:
         self.gap = regex.compile(r"\s ")
         self.cuts = regex.compile(r"(?<=\S) ")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        # ids of words and segments, by their text; in the second, without the blank before it
+        self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         parts = [
             (left, right, rank) for token, rank in self.ranks.items() for i in range(1, len(token))
             if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
@@ -116,7 +118,7 @@ class Codec:
             "tok": pa.array(list(self.ranks.values()), pa.int32()),
             "piece": pa.array([token.decode("latin-1") for token in self.ranks]),  # one character a byte
         })
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.con.register("table_in", table)
         self.con.execute("CREATE TABLE merges AS FROM table_in")
         self.con.execute("CREATE TABLE uneven AS FROM merges WHERE t < l OR t < r")
@@ -137,44 +139,76 @@ class Codec:
         data = ids.tobytes()
         return [data[4 * a:4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Ids of new words: whole vocabulary entries at once, the others by the recursive queries."""
-        groups: dict[bool, list[str]] = {False: [], True: []}
+        groups: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.words[word] = rank.to_bytes(4, "little")
+                self._keep(word, rank.to_bytes(4, "little"))
             else:
-                groups[len(raw) > LONG].append(word)
+                groups[len(raw) > LONG].append((word, raw))
         for long, group in groups.items():
-            chunk: list[str] = []
+            chunk: list[tuple[str, bytes]] = []
             size = 0
-            for at, word in enumerate(group):
-                chunk.append(word)
-                size += len(word) if long else 8
+            for at, (word, raw) in enumerate(group):
+                chunk.append((word, raw))
+                size += len(raw) if long else 8
                 if size >= WORDS * 8 or at == len(group) - 1:
-                    raw = [w.encode("utf-8", "surrogatepass") for w in chunk]
-                    self.words.update(zip(chunk, self._contract(raw, _STEP_MANY if long else _STEP_ONE), strict=True))
+                    found = self._contract([r for _, r in chunk], _STEP_MANY if long else _STEP_ONE)
+                    for (w, _), ids in zip(chunk, found, strict=True):
+                        self._keep(w, ids)
                     chunk, size = [], 0
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        if word[0] == " ":
+            self.spaced[word[1:]] = ids
+        else:
+            self.plain[word] = ids
+
+    def _missing(self, texts: set[str], now: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+        """What has to be split anew; entries of the older generation move to this one."""
+        out = []
+        for s in texts.difference(now):
+            ids = older.get(s)
+            if ids is None:
+                out.append(s)
+            else:
+                now[s] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         A blank after a visible character starts a new token, so the text may be cut there and a segment met before
-        need not be split by the pattern again.
+        need not be split by the pattern again. The pattern leaves a word that it has found whole.
         """
-        if len(self.first) + len(self.spaced) + len(self.words) > CACHE:
-            self.first, self.spaced, self.words = {}, {}, {}
+        if len(self.plain) + len(self.spaced) > CACHE:
+            self.older, self.plain, self.spaced = (self.plain, self.spaced), {}, {}
         cut = [self.cuts.split(t) if self.gap.search(t) else t.split(" ") for t in texts]
-        first = {s[0] for s in cut}.difference(self.first)
-        spaced = {s for segments in cut for s in segments[1:]}.difference(self.spaced)
-        split = {(True, s): self.pattern.findall(" " + s) for s in spaced}
-        split.update({(False, s): self.pattern.findall(s) for s in first})
-        self._learn({w for words in split.values() for w in words}.difference(self.words))
-        for (blank, s), words in split.items():
-            (self.spaced if blank else self.first)[s] = b"".join([self.words[w] for w in words])
-        return [b"".join([self.first[s[0]], *[self.spaced[x] for x in s[1:]]]) for s in cut]
+        cut = [["", s[0][1:], *s[1:]] if s[0].startswith(" ") else s for s in cut]
+        first = self._missing({s[0] for s in cut}, self.plain, self.older[0])
+        later = self._missing({s for segments in cut for s in segments[1:]}, self.spaced, self.older[1])
+        whole = [f" {s}" for s in later if s.isalpha()]
+        several = []
+        for s in [*first, *(f" {s}" for s in later if not s.isalpha())]:
+            words = self.pattern.findall(s)
+            if len(words) == 1:
+                whole.append(s)
+            elif words:
+                several.append((s, words))
+            else:
+                self.plain[s] = b""
+        plain, spaced = set(), set()
+        for w in {w for _, words in several for w in words}:
+            (spaced if w[0] == " " else plain).add(w[1:] if w[0] == " " else w)
+        new = {*whole, *self._missing(plain, self.plain, self.older[0])}
+        new.update(f" {s}" for s in self._missing(spaced, self.spaced, self.older[1]))
+        self._learn(list(new))
+        for s, words in several:
+            self._keep(s, b"".join([self.spaced[w[1:]] if w[0] == " " else self.plain[w] for w in words]))
+        return [b"".join([self.plain[s[0]], *[self.spaced[x] for x in s[1:]]]) for s in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence."""

@@ -43,15 +43,27 @@ NEIGHBOURS = 25
 BLOCK = 512
 #: Weight of the sample's mean in a vote, and the power of a similarity.
 PRIOR, POWER = 1e-3, 4
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 
 _CASE = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)},
                        **{str(d): "0" for d in range(10)}})
 _RUN = re.compile(r"(.)\1+")
-_slots: dict[str, tuple[int, int]] = {}
+_slots: dict[str, int] = {}
+_older: dict[str, int] = {}
 
 
 def shape(word: str) -> str:
+    """Letters as A or a, digits as 0, other characters kept; runs shortened to one in words of letters, else to two."""
+    if word.isalpha():
+        quick = "a" if word.islower() else "A" if word.isupper() else "Aa" if word.istitle() else ""
+        if quick:
+            return quick
+    body = word[:-1]
+    if word[-1] in ",.;:!?" and body.isalpha():  # most words that are not letters only
+        n = len(body)
+        quick = "aa"[:n] if body.islower() else "AA"[:n] if body.isupper() else "A" + "aa"[:n - 1] if body.istitle() else ""
+        if quick:
+            return quick + word[-1]
     out = "".join(
         c if c in "Aa0" or ord(c) < 128 else "A" if c.isupper() else "a" if c.isalpha() else c
         for c in word.translate(_CASE)
@@ -59,25 +71,34 @@ def shape(word: str) -> str:
     return _RUN.sub(r"\1\1", out) if not out.isalpha() else _RUN.sub(r"\1", out)
 
 
-def _word_slots(word: str) -> tuple[int, int]:
-    return (
-        zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS,
-        WORD_SLOTS + zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPE_SLOTS,
-    )
+def _word_slots(words) -> np.ndarray:
+    """Word and shape slot of every distinct word, packed into one number; two generations of words are remembered."""
+    global _slots, _older
+    if len(_slots) > REMEMBERED:
+        _slots, _older = {}, _slots
+    for word in words:
+        if word not in _slots:
+            code = _older.get(word)
+            if code is None:
+                code = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS
+                code |= (WORD_SLOTS + zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPE_SLOTS) << 32
+            _slots[word] = code
+    return np.fromiter(map(_slots.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def present(text: str | None) -> np.ndarray:
+    """Word and shape slots of a whole text."""
+    codes = _word_slots(set((text or "").split()))
+    return np.unique(np.concatenate([codes & 0xFFFFFFFF, codes >> 32]))
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature slots of a whole text and how often each occurs."""
-    if len(_slots) > REMEMBERED:
-        _slots.clear()
     tokens = (text or "").split()
     words = Counter(tokens)
-    for word in words:
-        if word not in _slots:
-            _slots[word] = _word_slots(word)
-    both = np.array([_slots[w] for w in words], dtype=np.int64).reshape(-1, 2)
+    codes = _word_slots(words)
     n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
-    total = np.bincount(both.T.ravel(), weights=np.concatenate([n, n]), minlength=SLOTS)
+    total = np.bincount(np.concatenate([codes & 0xFFFFFFFF, codes >> 32]), weights=np.concatenate([n, n]), minlength=SLOTS)
     if tokens:
         total[[GROUPS[2] + STEPS * m + min(STEPS - 1, int(STEPS * x)) for m, x in enumerate(repetition(tokens, words, text))]] = 1
     at = np.flatnonzero(total)
@@ -146,14 +167,17 @@ def decompose(rows: np.ndarray, dims: int, seed: int = 11) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents and of those that hold each feature, over all rows: one short row per task."""
+    """Number of documents and of those that hold each word or shape slot, over all rows: one short row per slot and task.
+
+    Repetition measures are steps of one scale, so they carry no such weight.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros(SLOTS, dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0):
-                held[counts(text.as_py())[0]] += 1
+                held[present(text.as_py())] += 1
         if n:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(-1, SLOTS)), pa.array(np.concatenate([[n], held]))], names=["slot", "n"]
@@ -177,6 +201,7 @@ def fit(
     """Voters from at most `sample` labelled documents of the training fold, the first in the order of a hash."""
     total, held = frequencies(docs, text_col)
     idf = np.log((1 + total) / (1 + held)) + 1
+    idf[GROUPS[2]:] = 1
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 1)).groupBy(
         F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.lit("voter")).alias("k")).join(
