@@ -245,7 +245,7 @@ def _stamp_wide(rows: DataFrame, shingle: int) -> DataFrame:
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filter(len, batches):
             fp, size = zip(*(wide_print(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)), strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.binary()), pa.array(size)], names=names)
 
