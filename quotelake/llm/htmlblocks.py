@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 # Elements of the HTML standard that flow inside a line, that are void, and whose content is no text.
 INLINE = frozenset(
@@ -19,7 +19,14 @@ PLAIN = frozenset("html body div p ul ol li h1 h2 h3 h4 h5 h6 blockquote pre tab
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
           "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
+#: Elements whose content is text without tags.
+WHOLE = frozenset(("title", "textarea"))
+
 _NAME = re.compile(r"[a-z]+")
+_MARK = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in SILENT | WHOLE}
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
 @dataclass
@@ -40,34 +47,59 @@ class Page:
     title: str = ""
 
 
-class _Reader(HTMLParser):
+class _Reader:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.above: tuple | None = None  # what a block takes from the open elements, until they change
         self.text: list[str] = []
-        self.linked = self.in_link = self.silent = 0
+        self.linked = self.in_link = 0
+
+    def read(self, html: str) -> None:
+        at = 0
+        while m := _MARK.search(html, at):
+            if m.start() > at:
+                self.data(html[at:m.start()])
+            at = m.end()
+            name = m[2]
+            if name is None:  # comment, declaration or the rest of a tag that never ends
+                continue
+            tag = name.lower()
+            if m[1]:
+                self.end(tag)
+                continue
+            self.start(tag, m[3])
+            if tag in SILENT or tag in WHOLE:
+                close = _CLOSING[tag].search(html, at)
+                stop = close.start() if close else len(html)
+                if tag in WHOLE:
+                    self.data(html[at:stop])
+                at = stop
+        self.data(html[at:])
+        self.flush()
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            tags = tuple(t for t, _ in self.open)
-            names = tuple(n for _, names in self.open for n in names)
-            region = next(((t, *n) for t, n in reversed(self.open) if n or t not in PLAIN and t[:2] != "x-"), ())
+            if self.above is None:
+                region = next(((t, *n) for t, n in reversed(self.open) if n or t not in PLAIN and t[:2] != "x-"), ())
+                self.above = tuple(t for t, _ in self.open), tuple(n for _, names in self.open for n in names), region
+            tags, names, region = self.above
             self.page.blocks.append(Block(tags, names, region, text, self.linked))
             if tags and tags[-1] == "title" and not self.page.title:
                 self.page.title = text
         self.text, self.linked = [], 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        values = {k: v or "" for k, v in attrs}
-        link = values.get("href") or values.get("src")
-        if link:
-            self.page.links.append((tag, link))
+    def start(self, tag: str, attrs: str) -> None:
+        values = {}
+        if attrs:
+            for name, _, double, single, bare in _ATTRIBUTE.findall(attrs):
+                value = double or single or bare
+                values.setdefault(name.lower(), unescape(value) if "&" in value else value)
+            link = values.get("href") or values.get("src")
+            if link:
+                self.page.links.append((tag, link))
         if tag in SILENT:
-            self.silent += 1
-            return
-        if self.silent:
             return
         if tag == "a":
             self.in_link += 1
@@ -76,55 +108,56 @@ class _Reader(HTMLParser):
         if tag == "br":
             self.text.append(" ")
             return
-        self.flush()
-        self.in_link = int(tag == "a")
+        if self.text:
+            self.flush()
+        self.in_link = 0
         if tag in VOID:
             return
-        self._close("p", ())
+        if self.open and self.open[-1][0] == "p":
+            self.open.pop()
+            self.above = None
         if tag in CLOSES:
             kinds, walls = CLOSES[tag]
             for kind in kinds.split():
                 self._close(kind, walls.split())
-        names = " ".join(values.get(k, "") for k in ("class", "id", "role", "aria-label")).lower()
-        self.open.append((tag, tuple(_NAME.findall(names))))
+        names = _NAME.findall(" ".join(values.get(k, "") for k in ("class", "id", "role", "aria-label")).lower()) if values else ()
+        self.open.append((tag, tuple(names)))
+        self.above = None
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-            return
-        if self.silent:
             return
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
         if tag in INLINE:
             return
-        self.flush()
-        self._close(tag, ())
+        if self.text:
+            self.flush()
+        if self.open and self.open[-1][0] == tag:
+            self.open.pop()
+            self.above = None
+        else:
+            self._close(tag, ())
 
     def _close(self, tag: str, walls) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
+                self.above = None
                 return
             if self.open[i][0] in walls or (tag == "p" and self.open[i][0] != "p"):
                 return
 
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.text.append(data)
-            if self.in_link:
-                self.linked += len(data)
+    def data(self, text: str) -> None:
+        if "&" in text:
+            text = unescape(text)
+        self.text.append(text)
+        if self.in_link:
+            self.linked += len(text)
 
 
 def read_page(html: str | None) -> Page:
     """Blocks in page order, outgoing links and the title; broken markup is read as far as it goes."""
     reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    reader.flush()
+    reader.read(html or "")
     return reader.page

@@ -30,6 +30,8 @@ from quotelake.llm.htmlblocks import read_page
 
 #: Date of responses whose source names none.
 DATE = "2024-01-01T00:00:00Z"
+#: Responses derived at a time in a task.
+RECORDS_AT_ONCE = 128
 RESPONSES = "id long, headers map<string,string>, http binary"
 RECORDS = (
     "id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, "
@@ -85,8 +87,8 @@ def read_http(message: bytes) -> tuple[str, dict[str, str], bytes]:
     return lines[0], {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
 
 
-def derivatives(headers: dict[str, str], message: bytes) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+def derivatives(headers: dict[str, str], message: bytes) -> list[tuple]:
+    """The metadata and the conversion record of one response, in the order of the record columns after the id."""
     status, http, body = read_http(message)
     charset = _CHARSET.search(next((v for k, v in http.items() if k.lower() == "content-type"), ""))
     try:
@@ -111,11 +113,11 @@ def derivatives(headers: dict[str, str], message: bytes) -> list[dict]:
         "metadata": ("application/json", json.dumps(described, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")),
         "conversion": ("text/plain", "\n".join(b.text for b in page.blocks).encode("utf-8", "replace")),
     }
-    return [{
-        "warc_type": kind, "record_id": record_id(kind, source), "refers_to": source, "target_uri": headers.get("WARC-Target-URI"),
-        "warc_date": headers.get("WARC-Date"), "payload_digest": payload, "block_digest": digest(block), "content_type": mime,
-        "content_length": len(block), "source_headers": _map(headers), "block": block,
-    } for kind, (mime, block) in blocks.items()]
+    uri, date, kept = headers.get("WARC-Target-URI"), headers.get("WARC-Date"), _map(headers)
+    return [
+        (kind, record_id(kind, source), source, uri, date, payload, digest(block), mime, len(block), kept, block)
+        for kind, (mime, block) in blocks.items()
+    ]
 
 
 def derive(responses: DataFrame) -> DataFrame:
@@ -123,10 +125,15 @@ def derive(responses: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                headers = dict(batch.column(1)[k].as_py() or [])
-                out = [{"id": batch.column(0)[k].as_py()} | r for r in derivatives(headers, batch.column(2)[k].as_py() or b"")]
-                yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            for at in range(0, batch.num_rows, RECORDS_AT_ONCE):
+                part = batch.slice(at, RECORDS_AT_ONCE)
+                rows = [
+                    (page, *record)
+                    for page, headers, message in zip(*(c.to_pylist() for c in part.columns), strict=True)
+                    for record in derivatives(dict(headers or []), message or b"")
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return responses.select("id", "headers", "http").mapInArrow(run, RECORDS)
 
