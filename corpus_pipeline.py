@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash finds similar (five-word shingles, 0.8): the one with the smallest id."""
+    """One document of each group with similar five-word shingles (SimHash candidates, Jaccard 0.8): the smallest id."""
     return keep_one(docs)
 
 

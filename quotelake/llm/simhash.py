@@ -7,10 +7,12 @@ and a cell above `TILE` fingerprints is cut into tiles by hash, so no task holds
 of 65 neighbouring cells. Equal fingerprints (exact copies) are one node. Inside a task the links are reduced to a
 spanning forest, never written pair by pair.
 
-`similar_components` and `keep_one` link by similarity instead: 256-bit prints of the distinct five-word shingles, whose
-differing bits d estimate the cosine of two shingle sets as cos(pi d / 256); documents link at an estimate of 0.8 or
-more. Sets whose sizes differ by more than a factor 0.8 ** 2 cannot have that cosine, so cells are bands of set sizes and
-only neighbouring bands meet; inside a task, stretches whose population counts differ beyond the radius are skipped.
+`similar_components` and `keep_one` link by similarity instead: two documents link if the sets of their five-word
+shingle hashes have a Jaccard similarity of 0.8 or more. 256-bit prints of those sets only name candidates, within a
+radius wide enough (`reach_of`) that a pair at the limit is missed about once in ten million. Sets whose sizes differ by
+more than a factor 0.8 cannot link, so cells are bands of set sizes and only neighbouring bands meet. The whole sets of
+documents with a candidate then meet in tiles below their candidate component, every pair there is intersected, and
+only links that hold leave the task, again as a spanning forest. Documents with equal sets are one node.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; rows with a null id get a
 fingerprint and the smallest non-null id reachable (null if there is none); repeated rows each come back; an empty
@@ -37,11 +39,14 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints in a tile; it sets memory and the number of copies shuffled, never the result.
 TILE = 16384
-#: Linking by similarity: words in a shingle, least estimated cosine, 64-bit words of a print, prints in a tile.
+#: Linking by similarity: words in a shingle, least Jaccard similarity, 64-bit words of a print, prints in a tile.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 WORDS = 4
 WIDE_TILE = 4096
+#: Sets, and shingle hashes, in a tile of whole sets; they set memory and copies, never the result.
+SET_TILE = 1024
+SET_HASHES = 1 << 20
 #: Shingle hashes counted at a time, and cells of a comparison block.
 CHUNK = 1 << 16
 BLOCK = 1 << 20
@@ -189,6 +194,10 @@ def _known(prints: DataFrame, nodes: DataFrame, found: DataFrame, key: list[str]
 def wide_print(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[bytes, int]:
     """256-bit SimHash of the set of shingles of a whole text, and the size of that set."""
     hashes = np.unique(shingle_hashes(text, shingle))
+    return _wide_bits(hashes), len(hashes)
+
+
+def _wide_bits(hashes: np.ndarray) -> bytes:
     counts = np.zeros(64 * WORDS, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at:at + CHUNK, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -196,7 +205,7 @@ def wide_print(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[bytes,
             part = (part ^ (part >> np.uint64(shift))) * np.uint64(factor)
         part = np.ascontiguousarray(part ^ (part >> np.uint64(31)))
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), len(hashes)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
 
 
 def radius_of(similarity: float) -> int:
@@ -204,8 +213,25 @@ def radius_of(similarity: float) -> int:
     return math.floor(math.acos(similarity) / math.pi * 64 * WORDS)
 
 
-def compare_wide(mine: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between two arrays of wide prints (rows of words), as places in mine followed by others."""
+def reach_of(similarity: float) -> tuple[int, int]:
+    """Differing bits, of a wide print and of its first half, that sets of this Jaccard similarity do not exceed.
+
+    The cosine is least, and a bit differs most often, where both sets have one size; majority ties of very short sets
+    add up to a quarter (5 shingles against 4: 3/16 of the bits). The bits are independent: 5.5 standard deviations more.
+    """
+    chance = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    whole, half = (math.floor(n * chance + 5.5 * math.sqrt(n * chance * (1 - chance))) for n in (64 * WORDS, 32 * WORDS))
+    return whole, half
+
+
+def compare_wide(
+    mine: np.ndarray, others: np.ndarray, radius: int, half_radius: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between two arrays of wide prints (rows of words), as places in mine followed by others.
+
+    With `half_radius`, the first half of the words may not differ in more bits than that.
+    """
+    first = radius if half_radius is None else half_radius
     forest, rows = Forest(len(mine) + len(others)), max(1, BLOCK // max(1, len(others)))
     ones, ones_b = np.bitwise_count(mine).sum(1, dtype=np.int64), np.bitwise_count(others).sum(1, dtype=np.int64)
     order, order_b = np.argsort(ones, kind="stable"), np.argsort(ones_b, kind="stable")
@@ -216,7 +242,7 @@ def compare_wide(mine: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.
         low, high = np.searchsorted(ones_b, [ones[order[at]] - radius, ones[order[min(at + rows, len(a)) - 1]] + radius + 1])
         near = b[low:high]
         far = sum(np.bitwise_count(part[:, None, w] ^ near[None, :, w]) for w in range(half))
-        u, v = np.nonzero(far <= radius)
+        u, v = np.nonzero(far <= first)
         left = far[u, v].astype(np.int64) + np.bitwise_count(part[u, half:] ^ near[v, half:]).sum(1, dtype=np.int64)
         u, v = u[left <= radius], v[left <= radius]
         if len(u):
@@ -224,44 +250,88 @@ def compare_wide(mine: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.
     return forest.links()
 
 
-def _compare_wide(radius: int):
-    def side(cell) -> tuple[np.ndarray, np.ndarray]:
-        node, fp = cell.values.flatten()
-        return node.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8").reshape(-1, WORDS)
+def link_sets(
+    mine: list[np.ndarray], others: list[np.ndarray], similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between sets of that Jaccard similarity or more, by the intersection of every pair of fitting size."""
+    forest, sizes = Forest(len(mine) + len(others)), np.array([len(x) for x in others], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    ends = np.cumsum(sizes)
+    number = np.unique(np.concatenate([*mine, *(others[j] for j in order)]), return_inverse=True)[1]
+    at = sum(map(len, mine))
+    mark, flat, at = np.zeros(len(number) + 1, dtype=np.uint8), number[at:], 0
+    for i, own in enumerate(mine):
+        ids = number[at:at + len(own)]
+        at += len(own)
+        low = np.searchsorted(sizes, max(1, math.floor(len(own) * similarity)))
+        high = np.searchsorted(sizes, math.ceil(len(own) / similarity), side="right")
+        if low >= high:
+            continue
+        base = ends[low] - sizes[low]
+        mark[ids] = 1
+        shared = np.add.reduceat(mark[flat[base:ends[high - 1]]], ends[low:high] - sizes[low:high] - base, dtype=np.int64)
+        mark[ids] = 0
+        v = order[low + np.flatnonzero(shared / (len(own) + sizes[low:high] - shared) >= similarity)]
+        if len(v):
+            forest.link(np.full(len(v), i), v + len(mine))
+    return forest.links()
 
+
+def _tile_task(link, read):
+    """A task over rows of (mine, others), arrays of (node, bytes): the links that `link` finds between what `read` reads."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                (node, fp), (node_b, fp_b) = side(left), side(right)
-                child, root = compare_wide(fp, fp_b, radius)
-                every = np.concatenate([node, node_b])
+                (node, data), (node_b, data_b) = left.values.flatten(), right.values.flatten()
+                child, root = link(read(data), read(data_b))
+                every = np.concatenate([node.to_numpy(), node_b.to_numpy()])
                 yield pa.RecordBatch.from_arrays([pa.array(every[child]), pa.array(every[root])], names=["a", "b"])
     return run
 
 
-def _stamp_wide(rows: DataFrame, shingle: int) -> DataFrame:
-    """The rows with `fp` and `size` in place of the text, which is their last column."""
-    names = [*rows.columns[:-1], "fp", "size"]
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())])
+def _prints(data: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(data.to_pylist()), dtype="<u8").reshape(-1, WORDS)
+
+
+def _sets(data: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u8") for x in data]
+
+
+def _stamp_wide(rows: DataFrame, shingle: int, whole: bool = False) -> DataFrame:
+    """The rows with `set_id`, a 128-bit hash of the shingle set, and `fp` and `size`, or the `whole` set, in place of
+    the text, which is their last column."""
+    fields = [T.StructField("set_id", T.BinaryType())]
+    fields += [T.StructField("hashes", T.BinaryType())] if whole else [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
+    schema = T.StructType([*rows.schema.fields[:-1], *fields])
+
+    def of(text: str | None) -> tuple:
+        hashes = np.unique(shingle_hashes(text, shingle))
+        data = hashes.tobytes()
+        set_id = xxhash.xxh3_128_digest(data)
+        return (set_id, data) if whole else (set_id, _wide_bits(hashes), len(hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
-            fp, size = zip(*(wide_print(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)), strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.binary()), pa.array(size)], names=names)
+            step = 256 if whole else len(batch)
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                made = zip(*(of(t.as_py()) for t in part.column(part.num_columns - 1)), strict=True)
+                made = [pa.array(x, pa.int64() if f.name == "size" else pa.binary()) for x, f in zip(made, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def similar_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    shingle: int = SIMILAR_SHINGLE, tile: int = WIDE_TILE,
-) -> DataFrame:
-    """One row per document: id, fp and size (its wide print), component_id, root_fp and root_size."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    prints = cut(_stamp_wide(rows, shingle))
-    nodes = cut(prints.groupBy("fp", "size").agg(F.min("id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / (-2 * math.log(similarity))).cast("int")
-    cells = nodes.select("node", "fp", band.alias("band"))
+def _band(similarity: float) -> F.Column:
+    """Sets of that Jaccard similarity are in one band of sizes or in neighbouring ones."""
+    # A little wider than the similarity, so that rounding does not part two sets at the limit by two bands.
+    return F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / (-math.log(similarity) * 1.0001)).cast("int")
+
+
+def _candidates(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Spanning links (a, b) between nodes whose prints are near enough for that Jaccard similarity."""
+    cells = nodes.select("node", "fp", _band(similarity).alias("band"))
     # A row for each band: as many as the logarithm of the longest text.
     filled = cells.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     tiles = (
@@ -276,9 +346,56 @@ def similar_components(
     mine = tiles.join(F.broadcast(depth), "band").select(
         "band", F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("part"), F.col("prints").alias("mine")
     )
-    edges = mine.join(others, ["band", "part"]).select("mine", "others").mapInArrow(
-        _compare_wide(radius_of(similarity)), "a long, b long")
-    return _known(prints, nodes, components(edges), ["fp", "size"])
+    whole, half = reach_of(similarity)
+    task = _tile_task(lambda a, b: compare_wide(a, b, whole, half), _prints)
+    return mine.join(others, ["band", "part"]).select("mine", "others").mapInArrow(task, "a long, b long")
+
+
+def _proved(rows: DataFrame, nodes: DataFrame, near: DataFrame, similarity: float, shingle: int, tile: int) -> DataFrame:
+    """Spanning links (a, b) between nodes of one candidate component whose whole sets have that Jaccard similarity."""
+    ends = near.union(near.select("label", "label").distinct())
+    asked = cut(nodes.join(ends, "node").select("node", "label", "size", "set_id", "first_id"))
+    known = asked.where("first_id is not null").select(F.col("first_id").alias("id")).distinct()
+    texts = rows.join(known, "id", "left_semi").select("t").union(rows.where("id is null").select("t"))
+    sets = _stamp_wide(texts, shingle, whole=True)
+    sets = cut(asked.drop("first_id").join(sets, "set_id").dropDuplicates(["node"]))
+    # A component that fits one tile is one cell; a larger one has a cell for each band of sizes.
+    fits = (F.count("*") <= tile) & (F.sum("size") <= SET_HASHES)
+    small = sets.groupBy("label").agg(fits.alias("fits"))
+    cells = sets.join(small, "label").select(
+        "label", "node", "size", "hashes", F.when(F.col("fits"), 0).otherwise(_band(similarity)).alias("band"))
+    parts = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / SET_HASHES)).cast("int")
+    filled = cells.groupBy("label", "band").agg(parts.alias("parts"))
+    tiles = (
+        cells.join(filled, ["label", "band"])
+        .groupBy("label", "band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+        .agg(F.collect_list(F.struct("node", "hashes")).alias("sets"))
+    )
+    steps = F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")
+    sent = tiles.select("label", steps, "part", "sets").join(filled.select("label", "band"), ["label", "band"], "left_semi")
+    others = sent.groupBy("label", "band", "part").agg(F.flatten(F.collect_list("sets")).alias("others"))
+    depth = filled.select("label", steps, "parts").groupBy("label", "band").agg(F.max("parts").alias("deep"))
+    mine = tiles.join(depth, ["label", "band"]).select(
+        "label", "band", F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("part"), F.col("sets").alias("mine")
+    )
+    task = _tile_task(lambda a, b: link_sets(a, b, similarity), _sets)
+    return mine.join(others, ["label", "band", "part"]).select("mine", "others").mapInArrow(task, "a long, b long")
+
+
+def similar_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+    shingle: int = SIMILAR_SHINGLE, tile: int = WIDE_TILE, set_tile: int = SET_TILE,
+) -> DataFrame:
+    """One row per document: id, set_id (a hash of its shingle set), component_id and root_set_id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    prints = cut(_stamp_wide(rows, shingle))
+    nodes = cut(
+        prints.groupBy("set_id").agg(F.min("id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    near = components(_candidates(nodes, similarity, tile))
+    found = components(_proved(rows, nodes, near, similarity, shingle, set_tile))
+    return _known(prints, nodes, found, ["set_id"])
 
 
 def keep_one(
@@ -287,12 +404,12 @@ def keep_one(
 ) -> DataFrame:
     """One document of each group of similar ones with its own columns: the one with the smallest id.
 
-    Rows whose id is null or repeated are matched by their print as well, and repeats of one row leave one.
+    Rows whose id is null or repeated are matched by their shingle set as well, and repeats of one row leave one.
     """
     found = cut(similar_components(docs, id_col, text_col, similarity, shingle))
     winners = found.where(
-        F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("root_fp")) & (F.col("size") == F.col("root_size"))
-    ).select("id", "fp", "size").distinct()
+        F.col("id").eqNullSafe(F.col("component_id")) & (F.col("set_id") == F.col("root_set_id"))
+    ).select("id", "set_id").distinct()
     several = cut(found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     alone = winners.where("id is not null").join(several, "id", "left_anti").select(F.col("id").alias("__id"))
     row_id = F.col(id_col).cast("long")
@@ -300,7 +417,7 @@ def keep_one(
     odd = docs.join(several.withColumnRenamed("id", "__id"), row_id == F.col("__id"), "left_semi").union(docs.where(row_id.isNull()))
     names = [F.col(f"`{c}`") for c in docs.columns]
     marked = odd.select(F.struct(*names).alias("__row"), row_id.alias("id"), F.col(text_col).cast("string").alias("t"))
-    stamped = _stamp_wide(marked, shingle).dropDuplicates(["id", "fp", "size"])
-    chosen = winners.select(*(F.col(c).alias(f"w_{c}") for c in ("id", "fp", "size")))
-    match = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("fp") == F.col("w_fp")) & (F.col("size") == F.col("w_size"))
+    stamped = _stamp_wide(marked, shingle).dropDuplicates(["id", "set_id"])
+    chosen = winners.select(F.col("id").alias("w_id"), F.col("set_id").alias("w_set_id"))
+    match = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("set_id") == F.col("w_set_id"))
     return plain.select(*names).union(stamped.join(chosen, match, "left_semi").select("__row.*"))

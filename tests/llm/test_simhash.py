@@ -147,3 +147,39 @@ def test_wide_print(text):
     fp, size = wide_print(text)
     assert len(fp) == 32 and size == (len(shingles(text)) if text else 0)
     assert wide_print((text or "").upper()) == (fp, size)
+
+
+def exact_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+
+
+def test_links_need_the_whole_sets(spark):
+    rng = random.Random(3)
+    rows = []
+
+    def add(*texts):
+        rows.extend((100 * len(rows) + k, t) for k, t in enumerate(texts))
+
+    for k in range(40):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(304)]
+        for share in (0.6, 0.67, 0.7, 0.73, 0.76, 0.79, 0.82):
+            base = [f"{w}s{share}" for w in words]
+            same = round(304 * 2 * share / (1 + share))
+            add(" ".join(base), " ".join([*base[:same], *(f"{w}o" for w in words[same:])]))
+        add(" ".join(words[:210]), " ".join([*words[:210], *(f"{w}c" for w in words[210:300])]))  # contained, 1.43 times as long
+        short = [f"{w}t" for w in words[:9]]
+        add(" ".join(short), " ".join(short[:8]))  # 5 shingles against 4
+        add(" ".join(short[:7]) + f" x{k}", " ".join(short[:6]) + f" x{k}")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], DOC)
+    want = exact_components(rows)
+    assert 60 < sum(a != b for a, b in want.items()) < 200
+    for tile, set_tile in ((4096, 1024), (16, 1)):
+        found = similar_components(df, tile=tile, set_tile=set_tile).collect()
+        assert {r["id"]: r["component_id"] for r in found} == want
