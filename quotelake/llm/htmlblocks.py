@@ -13,6 +13,9 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript svg math object iframe canvas".split())
+#: Of these, the ones that a "/" before the end of the start tag closes at once, and the ones that may hold their like.
+FOREIGN = frozenset(("svg", "math"))
+NESTING = frozenset("svg math object template canvas".split())
 #: Elements that say little about the region they stand in.
 PLAIN = frozenset("html body div p ul ol li h1 h2 h3 h4 h5 h6 blockquote pre table tbody tr td th dl dt dd".split())
 #: What a start tag closes: an open element of the same kind, as far as the nearest container.
@@ -29,6 +32,41 @@ _CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in SILENT | WHO
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
+def _closed(attrs: str) -> bool:
+    """Whether the start tag ends in a "/" of its own, not in that of an unquoted value."""
+    if not attrs.endswith("/"):
+        return False
+    last = None
+    for last in _ATTRIBUTE.finditer(attrs):
+        pass
+    return last is None or not last[5] or last.end() < len(attrs)
+
+
+def _skip(html: str, tag: str, at: int) -> int:
+    """Where the closing tag of a silent element begins whose content begins at `at`; the page's end if it has none.
+
+    Elements of the same name inside are counted. If some of them are never closed, the last closing tag ends all.
+    """
+    if tag not in NESTING:
+        close = _CLOSING[tag].search(html, at)
+        return close.start() if close else len(html)
+    depth, stop = 1, len(html)
+    while m := _MARK.search(html, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name == tag:
+            if m[1]:
+                depth, stop = depth - 1, m.start()
+                if not depth:
+                    return stop
+            elif tag not in FOREIGN or not _closed(m[3]):
+                depth += 1
+        elif name in _CLOSING and name not in NESTING and not m[1]:  # its content is no tags
+            close = _CLOSING[name].search(html, at)
+            at = close.start() if close else at
+    return stop
+
+
 @dataclass
 class Block:
     """Ancestor tags and the words in their names, the same of the nearest ancestor that tells a region, and the text."""
@@ -69,9 +107,8 @@ class _Reader:
                 self.end(tag)
                 continue
             self.start(tag, m[3])
-            if tag in SILENT or tag in WHOLE:
-                close = _CLOSING[tag].search(html, at)
-                stop = close.start() if close else len(html)
+            if (tag in SILENT or tag in WHOLE) and not (tag in FOREIGN and _closed(m[3])):
+                stop = _skip(html, tag, at)
                 if tag in WHOLE:
                     self.data(html[at:stop])
                 at = stop

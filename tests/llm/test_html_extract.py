@@ -84,3 +84,22 @@ def test_nulls_repeats_and_empty(spark, model):
     assert [r["text"] for r in sorted(got, key=lambda r: rows.index(next(x for x in rows if x[0] == r["id"])))][:6] == want
     assert extract(spark.createDataFrame([], schema)).collect() == []
     assert len(extract(spark.createDataFrame([(1, None, None, None)], schema)).collect()) == 1
+
+
+ICONS = [
+    '<svg class="icon"/>', "<svg/>", "<SVG a='>' hidden />", "<math/>", "<svg><svg/><svg><path d='x'/></svg>no</svg>",
+    "<svg class=icon/>no</svg>", "<object>no<object>no</object>no</object>", "<svg><!-- <svg> -->no</svg>",
+    "<object><script>'<object>'</script>no</object>", "<object>no<object>no</object>", "<template><template>no</template>no</template>",
+]
+
+
+@pytest.mark.parametrize("icon", ICONS)
+def test_silent_elements_end_where_they_end(icon):
+    page = read_page(f"<p>one {icon}two</p><p>three <a href=u>l</a></p>")
+    assert [b.text for b in page.blocks] == ["one two", "three l"] and page.links == [("a", "u")]
+
+
+def test_article_after_icons(model, pages):
+    for page in pages[25:40]:
+        with_icons = page["html"].replace("<article>", '<article><svg class="icon"/><object><object></object>x</object>').replace("</p>", "<math/></p>")
+        assert main_text(model, with_icons) == article(page["html"])

@@ -87,3 +87,12 @@ def test_http_and_empty(spark):
     assert read_http(b"no http") == ("", {}, b"no http")
     assert read_http(b"HTTP/1.1 200 OK\r\nA: b: c\r\n\r\nbody\r\n\r\n") == ("HTTP/1.1 200 OK", {"A": "b: c"}, b"body\r\n\r\n")
     assert derive(page_responses(spark.createDataFrame([], PAGE))).collect() == []
+
+
+def test_text_and_links_after_icons(spark):
+    html = "<p>one<svg class='i'/><p><a href='/x'>two</a><object><object></object>no</object><math/><p>three"
+    made = derive(page_responses(spark.createDataFrame([(1, "http://a.example/", html, "x", "y")], PAGE))).collect()
+    block = {r["warc_type"]: bytes(r["block"]).decode() for r in made}
+    assert block["conversion"] == "one\ntwo\nthree"
+    told = json.loads(block["metadata"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]
+    assert told["Links"] == [{"path": "a@link", "url": "/x"}]
