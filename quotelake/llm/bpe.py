@@ -5,7 +5,7 @@ the data). Each task splits texts by the tokenizer's pattern; the distinct words
 recursive query that joins the merge table and contracts each word's leftmost minimum-rank pair until nothing joins.
 Long words contract in one step every pair of that rank that the one-by-one order would contract in a row (up to the
 first whose new neighbour would rank lower), so a run of one character takes a few steps instead of thousands.
-Decoding joins ids with the vocabulary and aggregates the pieces in position order. Texts are taken in slices of a
+Decoding joins ids with the vocabulary and aggregates the pieces in position order, a bounded range at a time. Texts are taken in slices of a
 bounded number of characters and words in bounded chunks, so memory does not follow the partition.
 
 Defined cases: null text counts as empty and gives no ids; null or repeated ids of documents are passed through row by
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 SLICE = 3_000_000
 WORDS = 20_000
 CACHE = 150_000
+#: Tokens decoded by one query.
+RANGE = 250_000
 #: Words above so many bytes contract several pairs in a step.
 LONG = 32
 
@@ -213,15 +215,14 @@ class Codec:
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence."""
         sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-        self.con.register("ids", pa.table({
-            "doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
-            "pos": np.arange(sizes.sum(), dtype=np.int64),
-            "tok": np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32),
-        }))
-        out = [b""] * len(ids)
-        for doc, text in self.con.execute(_DECODE).fetchall():
-            out[doc] = text.encode("latin-1")
-        return out
+        flat, doc = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        out: list[list[bytes]] = [[] for _ in ids]
+        for at in range(0, len(flat), RANGE):
+            own = flat[at:at + RANGE]
+            self.con.register("ids", pa.table({"doc": doc[at:at + RANGE], "pos": np.arange(at, at + len(own)), "tok": own}))
+            for i, text in self.con.execute(_DECODE).fetchall():
+                out[i].append(text.encode("latin-1"))
+        return [b"".join(pieces) for pieces in out]
 
 
 _codecs: dict[tuple, Codec] = {}

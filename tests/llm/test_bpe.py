@@ -1,6 +1,7 @@
 """Encoding and decoding against the tokenizer library itself."""
 
 import base64
+import random
 
 import public_tokenizers
 import pytest
@@ -53,3 +54,18 @@ def test_nulls_repeats_and_clashing_names(spark):
         ((i, plain(t or "")) for i, t, *_ in rows), key=repr)
     empty = spark.createDataFrame([], schema)
     assert bpe_round_trip(empty, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def diverse(letters, n, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_text_of_20_mb(codec):
+    words = [diverse("abcdefghij", k % 9 + 1, k) for k in range(500)]
+    rng = random.Random(1)
+    text = " ".join(rng.choice(words) for _ in range(3_700_000))
+    assert len(text) > 20_000_000
+    ids = codec.encode([text, "next"])
+    assert len(ids[0]) > 4 * 3_000_000 and ids == [plain(text), plain("next")]
+    assert codec.decode(ids) == [text.encode(), b"next"]
