@@ -5,8 +5,10 @@ the data). Each task splits texts by the tokenizer's pattern; the distinct words
 recursive query that joins the merge table and contracts each word's leftmost minimum-rank pair until nothing joins.
 Long words contract in one step every pair of that rank that the one-by-one order would contract in a row (up to the
 first whose new neighbour would rank lower), so a run of one character takes a few steps instead of thousands.
-Decoding joins ids with the vocabulary and aggregates the pieces in position order, a bounded range at a time. Texts are taken in slices of a
-bounded number of characters and words in bounded chunks, so memory does not follow the partition.
+A query runs a bounded number of steps and is fed its last rows again until every word is done, so memory follows the
+words of a chunk and not their steps. Decoding joins ids with the vocabulary and aggregates the pieces in position order,
+a bounded range of positions at a time. Texts are taken in slices of a bounded number of characters and words in bounded
+chunks, so memory does not follow the partition.
 
 Defined cases: null text counts as empty and gives no ids; null or repeated ids of documents are passed through row by
 row; an empty table gives no rows; special tokens inside a text are ordinary text; other columns are ignored.
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 SLICE = 3_000_000
 WORDS = 20_000
 CACHE = 150_000
-#: Tokens decoded by one query.
+#: Token-position rows that the steps of one recursive query may hold, and tokens decoded by one query.
+ROWS = 2_000_000
 RANGE = 250_000
+#: Least memory of the queries in MB, and bytes for each token-position row of a word that needs more.
+MEMORY = 300
+ROW_BYTES = 800
 #: Words above so many bytes contract several pairs in a step.
 LONG = 32
 
@@ -43,7 +49,7 @@ WITH RECURSIVE parts AS (
   SELECT w, pos, tok, nxt, np, n FROM (
     WITH best AS MATERIALIZED (
       SELECT w, min((t::BIGINT << 32) | pos) AS k, arg_min(np, (t::BIGINT << 32) | pos) AS gone
-      FROM parts JOIN merges ON l = tok AND r = nxt GROUP BY w),
+      FROM parts JOIN merges ON l = tok AND r = nxt WHERE n < {steps} GROUP BY w),
     pick AS MATERIALIZED (SELECT w, (k >> 32)::INT AS t, (k & 4294967295)::INT AS here, gone FROM best),
     after AS MATERIALIZED (SELECT p.w, p.nxt, p.np FROM parts p JOIN pick b ON p.w = b.w AND p.pos = b.gone)
     SELECT p.w, p.pos, CASE WHEN p.pos = b.here THEN b.t ELSE p.tok END AS tok,
@@ -59,7 +65,7 @@ WITH RECURSIVE parts AS (
   UNION ALL
   SELECT w, pos, tok, nxt, np, prv, n FROM (
     WITH ranked AS MATERIALIZED (
-      SELECT w, pos, np, prv, t FROM parts JOIN merges ON l = tok AND r = nxt),
+      SELECT w, pos, np, prv, t FROM parts JOIN merges ON l = tok AND r = nxt WHERE n < {steps}),
     best AS MATERIALIZED (SELECT w, min(t) AS t FROM ranked GROUP BY w),
     same AS MATERIALIZED (
       SELECT k.*, coalesce(lag(np) OVER v = pos, false) AS touches, row_number() OVER v AS i
@@ -88,7 +94,7 @@ WITH RECURSIVE parts AS (
 )"""
 
 _LAST = """
-SELECT p.w, p.tok FROM parts p JOIN (SELECT w, max(n) AS n FROM parts GROUP BY w) e ON e.w = p.w AND e.n = p.n
+SELECT p.w, p.pos, p.tok, p.n FROM parts p JOIN (SELECT w, max(n) AS n FROM parts GROUP BY w) e ON e.w = p.w AND e.n = p.n
 ORDER BY p.w, p.pos"""
 
 _DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN vocab USING (tok) GROUP BY doc"
@@ -120,7 +126,7 @@ class Codec:
             "tok": pa.array(list(self.ranks.values()), pa.int32()),
             "piece": pa.array([token.decode("latin-1") for token in self.ranks]),  # one character a byte
         })
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         self.con.register("table_in", table)
         self.con.execute("CREATE TABLE merges AS FROM table_in")
         self.con.execute("CREATE TABLE uneven AS FROM merges WHERE t < l OR t < r")
@@ -130,16 +136,27 @@ class Codec:
     def _contract(self, words: list[bytes], step: str) -> list[bytes]:
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-        self.con.register("start", pa.table({
-            "w": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-            "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
-            "tok": self.byte[flat],
-        }))
-        found = self.con.execute(step + _LAST).fetchnumpy()
-        ids = np.asarray(found["tok"], dtype="<u4")
-        ends = np.cumsum(np.bincount(found["w"], minlength=len(words))).tolist()
-        data = ids.tobytes()
-        return [data[4 * a:4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        tok, out = self.byte[flat], [b""] * len(words)
+        need = len(flat) * ROW_BYTES // 1_000_000
+        if need > MEMORY:
+            self.con.execute(f"SET memory_limit = '{need}MB'")
+        while len(w):
+            steps = max(1, ROWS // len(w))
+            self.con.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
+            found = self.con.execute(step.format(steps=steps) + _LAST).fetchnumpy()
+            w, pos, tok = (np.asarray(found[c], dtype=np.int32) for c in ("w", "pos", "tok"))
+            open_ = np.asarray(found["n"]) == steps  # these may go on, the others joined nothing more
+            done, data = w[~open_], tok[~open_].astype("<u4").tobytes()
+            starts = np.flatnonzero(np.diff(done, prepend=-1))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(done)], strict=True) if len(done) else ():
+                out[done[at]] = data[4 * at:4 * end]
+            w, pos, tok = w[open_], pos[open_], tok[open_]
+        if need > MEMORY:
+            self.con.unregister("start")
+            self.con.execute(f"SET memory_limit = '{MEMORY}MB'")
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: whole vocabulary entries at once, the others by the recursive queries."""

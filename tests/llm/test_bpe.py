@@ -69,3 +69,15 @@ def test_text_of_20_mb(codec):
     ids = codec.encode([text, "next"])
     assert len(ids[0]) > 4 * 3_000_000 and ids == [plain(text), plain("next")]
     assert codec.decode(ids) == [text.encode(), b"next"]
+
+
+def test_diverse_run_of_100_000_letters(codec):
+    text = diverse("abcdefghijklmnopqrstuvwxyz", 100_000, 2)
+    ids = codec.encode([text])
+    assert ids == [plain(text)] and codec.decode(ids) == [text.encode()]
+
+
+def test_few_steps_a_query_change_nothing(codec, monkeypatch):
+    words = [diverse("abcdefgh漢字仮名", 3 * k % 97 + 2, -k - 1) for k in range(300)]
+    monkeypatch.setattr("quotelake.llm.bpe.ROWS", 1)
+    assert codec.encode(words) == [plain(w) for w in words]
