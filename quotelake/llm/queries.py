@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm.bpe import bpe_round_trip
@@ -13,6 +13,8 @@ from quotelake.llm.chat import format_chats
 from quotelake.llm.common import table
 from quotelake.llm.decontam import contamination
 from quotelake.llm.embed_dedup import near_vectors
+from quotelake.llm.exact_dedup import exact_groups
+from quotelake.llm.hard_negatives import hard_negatives
 from quotelake.llm.html_extract import extract
 from quotelake.llm.quality import quality_scores
 from quotelake.llm.sharding import LIMIT, assign
@@ -94,6 +96,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all rows; every seventh label is moved on by one."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: _scaled(x.cast("double"))).alias("embedding"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def _scaled(x: Column) -> Column:
+    """floor(256 x); a component that is no finite number stays as it is, so that its row takes no part."""
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(finite, F.floor(x * 256).cast("double")).otherwise(x)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of all equal to it."""
+    return exact_groups(table(spark, sf_dir, "documents"), digest_all=True).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -105,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _WORDS = (
@@ -162,8 +185,41 @@ kept AS (
 SELECT conv_id, 0::BIGINT AS part, n_turns, n_copies, text FROM kept JOIN chats USING (conv_id)
 """
 
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS alike,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i]))::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER best)::INT AS rank, id AS negative_id, positive_score,
+  score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
+  row_number() OVER best = 1 AS kept, sha AS text_sha256
+FROM docs WINDOW best AS (PARTITION BY sha ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
 ORACLES: dict[str, str] = {
     "op7_sharding": op7_sql(),
     "op8_chat_format": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
