@@ -19,6 +19,7 @@ from quotelake.llm.html_extract import extract
 from quotelake.llm.quality import quality_scores
 from quotelake.llm.sharding import LIMIT, assign
 from quotelake.llm.simhash import simhash_components
+from quotelake.llm.token_align import alignments
 from quotelake.llm.token_count import token_counts
 from quotelake.llm.warc import derive, page_responses
 
@@ -96,6 +97,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers on every document."""
+    return alignments(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    ).withColumnRenamed("id", "doc_id")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, against all rows; every seventh label is moved on by one."""
     rows = table(spark, sf_dir, "embeddings").select(
@@ -126,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op11_token_align": op11_token_align,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_exact_dedup": op13_exact_dedup,
 }
