@@ -16,6 +16,7 @@ MODULES = [
     "reason_queries",
     "note_queries",
     "extra_queries",
+    "intake_queries",
 ]
 
 

@@ -28,12 +28,12 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def screen_files(files: DataFrame) -> DataFrame:
-    """Add ``reject_reason``: unsupported extension or empty file."""
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
+def screen_files(files: DataFrame, name: Column | None = None, accepted: list[str] = QUOTE_EXTENSIONS) -> DataFrame:
+    """Add ``reject_reason``: unsupported extension or empty file. The extension is that of ``name``, else of the path."""
+    ext = F.lower(F.regexp_extract(F.col("path") if name is None else name, r"(\.[^./\\]+)$", 1))
     return files.withColumn("extension", ext).withColumn(
         "reject_reason",
-        F.when(~ext.isin(QUOTE_EXTENSIONS), "unsupported_extension").when(F.col("length") == 0, "empty_file"),
+        F.when(~ext.isin(accepted), "unsupported_extension").when(F.col("length") == 0, "empty_file"),
     )
 
 
