@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from quotelake.llm.quality import fit
-from quotelake.llm.simhash import radius_of, wide_print
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,13 +31,19 @@ def contaminated(text, windows):
     return bool(hit) and 20 * len(hit) >= len(w)
 
 
+def shingles(text):
+    """Five words each, of the lower-cased text; a shorter text is one shingle, one without words has none."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def one_of_each(docs):
-    prints = [wide_print(t) for _, t in docs]
-    bits = np.array([np.frombuffer(fp, dtype="<u8") for fp, _ in prints])
-    label, radius = list(range(len(docs))), radius_of(0.8)
+    """The smallest id of every group that pairs with a Jaccard similarity of 0.8 or more connect."""
+    sets, label = [shingles(t) for _, t in docs], list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            if np.bitwise_count(bits[i] ^ bits[j]).sum() <= radius and label[i] != label[j]:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return [d for i, d in enumerate(docs) if label[i] == i]
