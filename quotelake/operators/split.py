@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelake.functions.expr import contains_any, group1
@@ -21,6 +21,10 @@ CABINET_THREE = r"(?:함체\s*수량|cabinet\s*quantity)[^\d]*(\d{1,3})\s+(\d{1,
 MSG_SPLIT_FAILED = "복수 옵션 자동 분리 실패, 수동 확인 필요"
 RESIDUAL_NAME = "미파싱 옵션 잔액"
 METHOD_SUM, METHOD_BOUNDARY = "sequential_line_item_sum", "product_group_boundary"
+METHOD_SECTION = "product_group_boundary_section_reconstructed"
+#: Column heads of a recognised table, and those together with measures: never the name of an item.
+TABLE_HEADS = ["비고", "견적금액", "견적단가", "수량", "상세내역", "품목", "번호"]
+NO_NAME = ["너비", "길이", *TABLE_HEADS]
 METHOD_RESIDUAL = "product_group_boundary_with_unparsed_residual"
 
 
@@ -67,13 +71,12 @@ def correct_lines(lines: DataFrame) -> DataFrame:
 def fold_options(amounts: Column, targets: Column, tolerance: int = TOLERANCE) -> Column:
     """Close option after option as the running sum reaches its target.
 
-    Returns struct(option_no array per line, done, used): sums restart for every option, so a
-    plain prefix sum is not enough. ``amounts`` are the lines of one document in order.
+    Returns struct(cuts, lines): after how many lines each option closes, and how many lines there are. Sums restart
+    for every option, so a plain prefix sum is not enough; only the cuts are kept, so the fold is linear in the lines.
+    ``amounts`` are the lines of one document in order.
     """
     start = F.struct(
-        F.lit(1).alias("option"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("closed"),
-        F.array().cast("array<int>").alias("numbers"),
-    )
+        F.lit(1).alias("option"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("lines"), F.array().cast("array<int>").alias("cuts"))
     n = F.size(targets)
 
     def step(acc: Column, amount: Column) -> Column:
@@ -83,13 +86,20 @@ def fold_options(amounts: Column, targets: Column, tolerance: int = TOLERANCE) -
         return F.struct(
             F.when(hit, acc["option"] + 1).otherwise(acc["option"]).alias("option"),
             F.when(hit, F.lit(0).cast("bigint")).otherwise(total).alias("sum"),
-            F.when(hit, acc["closed"] + 1).otherwise(acc["closed"]).alias("closed"),
-            F.array_append(acc["numbers"], acc["option"]).alias("numbers"),
+            (acc["lines"] + 1).alias("lines"),
+            F.when(hit, F.array_append(acc["cuts"], acc["lines"] + 1)).otherwise(acc["cuts"]).alias("cuts"),
         )
 
     return F.aggregate(amounts, start, step)
 
 
+def option_of_line(cuts: Column, lines: Column) -> Column:
+    """Option number of every line: runs that end at the cuts, and one more for the lines behind the last."""
+    ends = F.concat(cuts, F.array(lines))
+    run = lambda end, i: F.array_repeat(i + 1, end - F.coalesce(F.get(ends, i - 1), F.lit(0)))
+    return F.flatten(F.transform(ends, run))
+
+
 def split_options(docs: DataFrame) -> DataFrame:
     """Assign an option to every line of every document.
 
@@ -101,7 +111,7 @@ def split_options(docs: DataFrame) -> DataFrame:
     folded = docs.withColumn("_fold", fold_options(amounts, F.col("targets")))
     n = F.size("targets")
     # every option closed, by its own lines, and no line left over
-    by_sum = (n >= 2) & (F.col("_fold.closed") == n) & (F.array_max("_fold.numbers") <= n)
+    by_sum = (n >= 2) & (F.size("_fold.cuts") == n) & (F.element_at("_fold.cuts", -1) == F.col("_fold.lines"))
     text = lambda r: F.lower(F.concat_ws(" ", F.coalesce(r["name"], F.lit("")), F.coalesce(r["spec_raw"], F.lit(""))))
     later = F.filter(F.transform("items", lambda r, i: F.when((i > 0) & contains_any(text(r), WALL_WORDS), i)), lambda i: i.isNotNull())
     staged = folded.withColumn("_by_sum", F.coalesce(by_sum, F.lit(False))).withColumn("_cut", F.get(later, F.lit(0)))
@@ -127,7 +137,7 @@ def split_options(docs: DataFrame) -> DataFrame:
             F.when(F.col("_by_sum"), METHOD_SUM).when(F.col("_boundary") & any_residual, METHOD_RESIDUAL)
             .when(F.col("_boundary"), METHOD_BOUNDARY),
         )
-        .withColumn("option_numbers", F.when(F.col("_by_sum"), F.col("_fold.numbers")).when(F.col("_boundary"), numbers))
+        .withColumn("option_numbers", F.when(F.col("_by_sum"), option_of_line(F.col("_fold.cuts"), F.col("_fold.lines"))).when(F.col("_boundary"), numbers))
         .withColumn("residuals", F.when(~F.col("_by_sum") & F.col("_boundary"), residuals))
         .withColumn("split_confidence", F.when(F.col("_by_sum"), "high").when(F.col("_boundary"), "medium"))
         .withColumn(
@@ -177,34 +187,27 @@ def option_sum_check(lines: DataFrame, totals: DataFrame, tolerance: int = TOLER
     )
 
 
+def _amount(text: Column) -> Column:
+    return F.replace(group1(F.replace(text, F.lit(" "), F.lit("")), rf"^(?:{AMOUNT_PATTERN}|(\d{{4}}))$"), F.lit(","), F.lit("")).try_cast("bigint")
+
+
 def section_triples(docs: DataFrame) -> DataFrame:
     """(quantity, unit price, supply) line triples that multiply out, with the descriptive line before them.
 
-    Expects quote_id and text; one output row per triple. Repeated (name, supply) pairs keep the first.
+    Expects quote_id and text; one output row per triple. Repeated (name, supply) pairs keep the first. One pass over
+    the lines of a document: the descriptive line is carried forward, the two amounts are looked up ahead.
     """
     lines = F.filter(F.transform(lines_of(F.col("text")), lambda s: F.trim(F.regexp_replace(s, r"[\s|]+", " "))), lambda s: s != "")
-    plain = lambda s: s.rlike(r"^\d+(?:\.\d+)?$")
-    amount = lambda s: F.replace(group1(F.replace(s, F.lit(" "), F.lit("")), rf"^(?:{AMOUNT_PATTERN}|(\d{{4}}))$"), F.lit(","), F.lit("")).try_cast("bigint")
-    from quotelake.functions.expr import once
-
-    staged = once(docs.select("quote_id", "text"), "_lines", lines)
-    triple = lambda s, i: F.struct(
-        i.alias("i"),
-        F.when(plain(s), s.cast("double")).alias("quantity"),
-        amount(F.get("_lines", i + 1)).alias("unit_price"),
-        amount(F.get("_lines", i + 2)).alias("supply"),
-    )
-    ok = lambda t: F.coalesce((t["quantity"] * t["unit_price"]).cast("bigint") == t["supply"], F.lit(False))
-    found = staged.withColumn("_t", F.explode(F.filter(F.transform("_lines", triple), ok)))
-    before = F.filter(
-        F.slice("_lines", 1, F.col("_t.i")),
-        lambda s: ~plain(s) & amount(s).isNull()
-        & ~F.lower(F.replace(s, F.lit(" "), F.lit(""))).isin("너비", "길이", "비고", "견적금액", "견적단가", "수량", "상세내역", "품목", "번호"),
-    )
-    named = found.withColumn("_before", before).withColumn("item_name", F.get("_before", F.size("_before") - 1))
-    return (
-        named.where(F.col("item_name").isNotNull())
-        .groupBy("quote_id", "item_name", F.col("_t.supply").alias("supply_amount"))
-        .agg(F.min("_t").alias("t"))
-        .select("quote_id", "item_name", "supply_amount", F.col("t.quantity").alias("quantity"), F.col("t.unit_price").alias("unit_price"), F.col("t.i").alias("line_no"))
-    )
+    every = docs.select("quote_id", F.posexplode(lines).alias("i", "line")).withColumn("amount", _amount(F.col("line")))
+    plain = F.col("line").rlike(r"^\d+(?:\.\d+)?$")
+    tight = F.lower(F.replace("line", F.lit(" "), F.lit("")))
+    names = ~plain & F.col("amount").isNull() & ~tight.isin(NO_NAME)
+    order = Window.partitionBy("quote_id").orderBy("i")
+    carried = every.select(
+        "quote_id", "i", F.when(plain, F.col("line").cast("double")).alias("quantity"),
+        F.lead("amount", 1).over(order).alias("unit_price"), F.lead("amount", 2).over(order).alias("supply_amount"),
+        F.last(F.when(names, F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("item_name"))
+    ok = (F.col("quantity") * F.col("unit_price")).cast("bigint") == F.col("supply_amount")
+    first = F.min(F.struct("i", "quantity", "unit_price")).alias("t")
+    return carried.where(ok & F.col("item_name").isNotNull()).groupBy("quote_id", "item_name", "supply_amount").agg(first).select(
+        "quote_id", "item_name", "supply_amount", "t.quantity", "t.unit_price", F.col("t.i").alias("line_no"))

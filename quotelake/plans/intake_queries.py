@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quotelake.plans.text_queries import BASE
 from quotelake.sources import documents as doc
 from quotelake.sources import marts as m
-from quotelake.sources.intake import read_files
+from quotelake.sources.intake import read_files, stream_files
 from quotelake.streaming import jobs
 
 
@@ -52,7 +52,7 @@ def intake_extract(spark, d):
 def stream_intake_extract(spark, d):
     """The same files as a stream of several batches."""
     folder = quote_files(spark, d)
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = stream_files(spark, folder)
     return _shown(jobs.stream_quotes(_named(files), _partners(spark, d), jobs.work_folder(spark, "quotes")))
 
 

@@ -8,6 +8,7 @@ from quotelake.operators import compare as c
 from quotelake.operators import evaluate as ev
 from quotelake.operators import explain as e
 from quotelake.operators import extract as x
+from quotelake.operators import sections as sec
 from quotelake.operators import split as sp
 from quotelake.operators.ranking import rank_quotes, top_quotes
 from quotelake.operators.scale import hot_keys
@@ -68,6 +69,21 @@ def section_items(spark, d):
     return sp.section_triples(docs).select("quote_id", "item_name", "quantity", "unit_price", "supply_amount")
 
 
+def split_sections(spark, d):
+    """Documents with two subtotalled sections; in every fourth a subtotal differs from its option."""
+    k, s = F.col("quote_id"), F.col("s")
+    n = k % 4 + 2
+    total = lambda c: doc.won(c)
+    docs = option_docs(spark, d).select("quote_id", F.concat_ws(
+        "\n", F.lit("번호"), F.lit("품목"), F.lit("수량"), F.lit("견적단가"), F.lit("실내 LED Display P1.5"), F.lit("| 전체 수량"), F.lit("모델 AB12"),
+        n.cast("string"), total(s), total(s * n), F.lit("출장비 (개당)"), F.lit("2"), total(s * 2), total(s * 4), F.lit("소 계"),
+        total(s * (n + 4)), F.lit("부가세"), F.lit("비디오월 패널"), F.lit("3"), total(s * 5), total(s * 15), F.lit("3"), total(s * 5), total(s * 15),
+        F.lit("All-in-one"), F.lit("VX400"), F.lit("1"), total(s), total(s), F.lit("소계:"),
+        total(F.when(k % 4 == 3, s * 16 + 50000).otherwise(s * 16))).alias("text"), F.array(s * (n + 4), s * 16).alias("targets"))
+    return sec.split_sections(docs).select(
+        "quote_id", "option_no", "item_name", "quantity", "unit_price", "supply_amount", "option_sum", "split_method")
+
+
 def top3(spark, d):
     return c.relative_position(top_quotes(scored_by_project(spark, d), ["project_id"], 3), ["project_id"])
 
@@ -161,7 +177,7 @@ def eval_recall_mrr(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    split_multi_option, split_children, option_sum_check, corrected_lines, section_items, reasons_template, reasons_summary, risk_split,
+    split_multi_option, split_children, option_sum_check, corrected_lines, section_items, split_sections, reasons_template, reasons_summary, risk_split,
     reasons_reconcile, reasons_violations, violation_rates, violation_categories, record_violations, eval_field_accuracy, eval_recall_mrr)}
 
 BASE = """WITH b AS (SELECT o_orderkey AS quote_id, CAST(round(o_totalprice * 100) AS BIGINT) AS supply FROM orders),
@@ -204,6 +220,13 @@ ORACLE = {
  FROM lines WHERE (line_seq = 1 AND p_type = 'STANDARD' AND total_price % 20 = 0) OR (line_seq > 1 AND quantity IN (2, 3, 4))""", PARTS[0]),
     "section_items": BASE + """SELECT quote_id, 'LED Display' AS item_name, (quote_id % 4 + 2)::DOUBLE AS quantity, s AS unit_price, s * (quote_id % 4 + 2) AS supply_amount FROM o
  UNION ALL SELECT quote_id, '브라켓', 1.0, s * 3, s * 3 FROM o""",
+    "split_sections": BASE + """, i AS (
+  SELECT *, 1 AS option_no, 'LED Display' AS item_name, (m + 2)::DOUBLE AS quantity, s AS unit_price, s * (m + 2) AS supply_amount FROM o
+  UNION ALL SELECT *, 1, '출장비', 2.0, s * 2, s * 4 FROM o
+  UNION ALL SELECT *, 2, '비디오월 패널', 3.0, s * 5, s * 15 FROM o
+  UNION ALL SELECT *, 2, '비디오월 패널', 1.0, s, s FROM o)
+ SELECT quote_id, option_no, item_name, quantity, unit_price, supply_amount, CASE option_no WHEN 1 THEN s * (m + 6) ELSE s * 16 END AS option_sum,
+  'product_group_boundary_section_reconstructed' AS split_method FROM i WHERE m <> 3""",
     "reasons_template": with_marts(TOPSQL + """ SELECT project_id, quote_id, rank,
  CASE WHEN rank = 1 AND hi_final AND hi_price THEN '최저가와 종합 점수에서 가장 우수한 견적입니다.' WHEN rank = 1 AND hi_final THEN '종합 점수가 가장 높은 추천 견적입니다.' WHEN clear THEN '납기는 명확하지만 가격과 조건 확인이 필요합니다.'
   WHEN weak[1] <> '특이 리스크 없음' THEN replace(weak[1], ' 확인 필요', '') || ' 확인이 필요한 견적입니다.' ELSE '주요 점수가 균형적인 비교 후보입니다.' END AS card_summary,

@@ -22,12 +22,20 @@ MSG_BAD_DOCUMENT = "유효하지 않은 QuoteDocument입니다."
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder as (path, modificationTime, length, content)."""
+    """Files of a folder as (path, modificationTime, length, content). Spark's file source passes over files of no bytes."""
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     )
 
 
+def stream_files(spark: SparkSession, path: str, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
+    """The same as a stream of new files."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
 def screen_files(files: DataFrame, name: Column | None = None, accepted: list[str] = QUOTE_EXTENSIONS) -> DataFrame:
     """Add ``reject_reason``: unsupported extension or empty file. The extension is that of ``name``, else of the path."""
     ext = F.lower(F.regexp_extract(F.col("path") if name is None else name, r"(\.[^./\\]+)$", 1))
