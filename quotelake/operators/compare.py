@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotelake.functions import vocab as v
 from quotelake.functions.expr import any_of, contains_any, first_match, messages
 from quotelake.functions.rules import separate_marked, software_exclusion, with_cost_bucket
-from quotelake.operators.scale import best_per_group, rank_all
+from quotelake.operators.scale import best_per_group, falling, position, rank_all
 
 # ------------------------------------------------------------------ cost buckets
 
@@ -288,8 +288,8 @@ def display_order(
 
     ``n`` keeps the first positions and the rows where ``always`` holds. ``hot`` lists keys too large for one task.
     """
-    bucket = -F.rint(F.coalesce("final_score", F.lit(-1.0)) * 100)
-    placed = rank_all(rows, keys, bucket, [F.col("final_score").desc_nulls_last(), F.col("input_no")], hot, out)
+    place = position(*falling(F.col("final_score")), F.col("input_no"))
+    placed = rank_all(rows, keys, place, [F.col("final_score").desc_nulls_last(), F.col("input_no")], hot, out)
     if n is None:
         return placed
     return placed.where((F.col(out) <= n) | (F.lit(False) if always is None else F.coalesce(always, F.lit(False))))
@@ -301,8 +301,8 @@ def vendor_options(rows: DataFrame, keys: list[str], hot: DataFrame) -> DataFram
     ``hot`` lists (keys, vendor_name) sets too large for one task.
     """
     group = [*keys, "vendor_name"]
-    bucket = -F.rint(F.coalesce("final_score", F.lit(-1.0)) * 100)
-    numbered = rank_all(rows, group, bucket, [F.col("final_score").desc_nulls_last(), F.col("input_no")], hot, "option_no")
+    place = position(*falling(F.col("final_score")), F.col("input_no"))
+    numbered = rank_all(rows, group, place, [F.col("final_score").desc_nulls_last(), F.col("input_no")], hot, "option_no")
     counts = rows.groupBy(*group).agg(F.count("*").alias("option_count"))
     return numbered.join(counts, group).withColumn(
         "display_name",

@@ -9,7 +9,7 @@ from quotelake.functions import vocab as v
 from quotelake.functions.expr import clamp, contains_any, group1, lookup, messages, round2, strip
 from quotelake.functions.names import normalize_company
 from quotelake.functions.vector import cosine, norm, similarity_score
-from quotelake.operators.scale import best_per_group, rank_all, running_before, top_per_group
+from quotelake.operators.scale import best_per_group, falling, position, rank_all, running_before, top_per_group
 
 # ---------------------------------------------------------------- column expressions
 
@@ -262,14 +262,20 @@ def business_order() -> list[Column]:
     ]
 
 
+def business_place() -> list[Column]:
+    """The same order as parts of an ascending position."""
+    names = ("business_rule_passed", "final_score", "price_score", "spec_score", "is_premium", "success_rate", "speed_ordinal", "finance_ordinal")
+    kinds = {"business_rule_passed": "int", "is_premium": "int"}
+    return [part for n in names for part in falling(F.col(n), kinds.get(n, "double"))] + [F.col("input_no")]
+
+
 def top_quotes(scored: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     return top_per_group(scored.where(F.col("business_rule_passed")), keys, business_order(), n)
 
 
 def rank_quotes(scored: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """Rank of every quote in its competing set; hot sets are cut by score."""
-    bucket = -F.rint(F.col("final_score") * 100)
-    return rank_all(scored, keys, bucket, business_order(), hot)
+    """Rank of every quote in its competing set; hot sets are cut by the whole order."""
+    return rank_all(scored, keys, position(*business_place()), business_order(), hot)
 
 
 def selected_partner_filter(quotes: DataFrame, selected: DataFrame, enabled: bool = True) -> DataFrame:

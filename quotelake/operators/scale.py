@@ -1,10 +1,11 @@
 """Ranking and running aggregates that keep their parallelism on hot groups.
 
 A plain ``row_number() over (partition by project ...)`` sends a whole project to
-one task. Here a *hot* key (more rows than ``limit``) is cut into sub-groups that
-follow the sort order, the sub-group sizes are prefix-summed, and every sub-group
-is ranked on its own. Keys that are not hot keep a single sub-group, so the
-common case pays for one shuffle only.
+one task. Here a *hot* key (more rows than ``limit``) is cut into ranges of the whole
+sort order, down to its last key, by splitters sampled from its own rows, so equal
+scores are spread as well; the range sizes are prefix-summed, and every range is
+ranked on its own. Keys that are not hot keep a single range, so the common case
+pays for one shuffle only.
 """
 
 from __future__ import annotations
@@ -17,11 +18,23 @@ HOT_ROWS = 1_000_000
 CHUNK = 10_000
 #: Parts into which every group is dealt before its first rows are taken.
 PARTS = 16
+#: Ranges into which a hot key is cut, about.
+RANGES = 256
+
+
+def falling(value: Column, kind: str = "double") -> list[Column]:
+    """Parts of a position that ascends as ``value`` descends, with nulls last."""
+    return [value.isNull(), -value.cast(kind)]
+
+
+def position(*parts: Column) -> Column:
+    """A value that compares like the parts in turn; nulls come first."""
+    return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows; at most rows/limit of them, counted map-side first."""
-    return df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    """(keys, _rows) of the keys with more than ``limit`` rows; at most rows/limit of them, counted map-side first."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
@@ -44,30 +57,33 @@ def best_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def rank_all(
     df: DataFrame,
     keys: list[str],
-    bucket: Column,
+    place: Column,
     order: list[Column],
     hot: DataFrame,
     out: str = "rank",
+    ranges: int = RANGES,
 ) -> DataFrame:
-    """``row_number`` of every row. ``bucket`` ascends with ``order`` (coarser, equal for ties).
+    """``row_number`` of every row. ``place`` ascends with ``order`` and tells all rows of a key apart (:func:`position`).
 
-    ``hot`` holds the keys to be cut by ``bucket``; see :func:`hot_keys`.
+    ``hot`` holds the keys to be cut and their numbers of rows; see :func:`hot_keys`. The splitters of a key are a
+    sample of its rows by a hash of their place, of about ``ranges`` rows whatever its size. They only decide who
+    ranks where: any sample gives the same ranks.
     """
-    flagged = df.join(hot.withColumn("_hot", F.lit(True)), keys, "left").withColumn(
-        "_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)).cast("bigint")
-    )
-    sizes = (
-        df.join(hot, keys, "left_semi")
-        .groupBy(*keys, bucket.cast("bigint").alias("_bucket"))
-        .agg(F.count("*").alias("_size"))
-    )
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    rate = F.greatest(F.ceil(F.col("_rows") / ranges).cast("bigint"), F.lit(1).cast("bigint"))
+    placed = df.withColumn("_place", place)
+    sampled = placed.join(hot, keys).where(F.pmod(F.xxhash64("_place"), rate) == 0)
+    splitters = sampled.groupBy(*keys).agg(F.sort_array(F.collect_set("_place")).alias("_splitters"))
+    below = F.size(F.filter("_splitters", lambda s: s < F.col("_place")))
+    cut = placed.join(splitters, keys, "left").withColumn(
+        "_range", F.when(F.col("_splitters").isNotNull(), below).otherwise(0)).drop("_splitters", "_place")
+    sizes = cut.join(hot.select(*keys), keys, "left_semi").groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.sum("_size").over(before)).drop("_size")
-    ranked = flagged.join(offsets, [*keys, "_bucket"], "left")
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    ranked = cut.join(offsets, [*keys, "_range"], "left")
+    inside = W.partitionBy(*keys, "_range").orderBy(*order)
     return ranked.withColumn(
         out, (F.row_number().over(inside) + F.coalesce("_offset", F.lit(0))).cast("int")
-    ).drop("_hot", "_bucket", "_offset")
+    ).drop("_range", "_offset")
 
 
 def running_before(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quotelake.operators import ranking as r
-from quotelake.operators.scale import hot_keys, rank_all
+from quotelake.operators.scale import hot_keys, position, rank_all
 from quotelake.plans.mart_sql import CORE, GROUP_CASE, PARTNERS, case, r2, with_marts
 from quotelake.sources import marts as m
 
@@ -65,7 +65,7 @@ def rank_score_consistency(spark, d):
     base = m.quotes(spark, d).select("project_id", "quote_id")
     hot = hot_keys(base, ["project_id"])
     stale = rank_all(
-        scored, ["project_id"], F.unix_timestamp("received_at") / 86400,
+        scored, ["project_id"], position(F.col("received_at"), F.col("quote_id")),
         [F.col("received_at"), F.col("quote_id")], hot,
     ).select("project_id", "business_rule_passed", "quote_id", "rank", "final_score")
     return r.rank_score_conflicts(stale, ["project_id"]).drop("message")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quotelake.operators import partner_match as pm
 from quotelake.operators.contain import containment_join
-from quotelake.operators.scale import hot_keys, rank_all, running_before, top_per_group
+from quotelake.operators.scale import falling, hot_keys, position, rank_all, running_before, top_per_group
 
 
 def _rows(spark, n=3000):
@@ -23,10 +23,29 @@ def test_rank_all_hot_key_equals_row_number(spark):
     order = [F.col("score").desc(), F.col("id")]
     hot = hot_keys(df, ["k"], 200)
     assert [r.k for r in hot.collect()] == [0]
-    got = rank_all(df, ["k"], -F.rint(F.col("score") * 10), order, hot)
+    place = position(*falling(F.col("score")), F.col("id"))
     want = df.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy(*order)))
-    assert got.select("k", "id", "rank").exceptAll(want.select("k", "id", "rank")).count() == 0
-    assert got.count() == df.count()
+    for ranges in (1, 16, 100_000):
+        got = rank_all(df, ["k"], place, order, hot, ranges=ranges)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).count() == 0 and got.count() == df.count()
+
+
+def test_rank_all_spreads_equal_scores(spark):
+    """All rows of a hot key have one score; some have none, and another key is hot as well."""
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, 0).otherwise((F.col("id") % 2).cast("int") + 1).alias("k"), F.col("id"),
+        F.when(F.col("id") % 5 > 0, 7.5).alias("score"), (F.col("id") % 4 == 0).alias("first"))
+    order = [F.col("first").desc(), F.col("score").desc(), F.col("id")]
+    place = position(*falling(F.col("first"), "int"), *falling(F.col("score")), F.col("id"))
+    hot = hot_keys(df, ["k"], 1500)
+    assert [tuple(r) for r in hot.collect()] == [(0, 4000)]
+    got = rank_all(df, ["k"], place, order, hot, ranges=32)
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy(*order)))
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == 6000
+    # the ranges of the hot key are small although its scores are equal
+    sampled = df.where("k = 0").where(F.pmod(F.xxhash64(place), F.lit(4000 // 32)) == 0).count()
+    assert 10 < sampled < 100
 
 
 def test_running_before_chunks(spark):
