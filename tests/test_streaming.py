@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotelake.operators.ingest import EXTRACTED, decoded_files
-from quotelake.sources.intake import read_files
+from quotelake.sources.intake import read_files, stream_files
 from quotelake.sources.lifecycle import latest_state
 from quotelake.streaming import jobs
 from quotelake.streaming.manifest import noted, whole_batches, write_once
@@ -98,7 +98,7 @@ def files(tmp_path):
     put("견적 하나.txt", QUOTE.encode())
     put("deep/두번째+a.PDF", QUOTE.replace("1,000,000", "2,000,000").replace("세액 100,000", "세액 200,000").replace("1,100,000", "2,200,000").encode())
     put("bytes.png", b"\xff\xfe\x00broken")
-    put("nothing.xlsx", b"")
+    put("nothing.xlsx", b"")  # Spark's file source passes over it
     put("blank.txt", " \n\t　".encode())
     put("program.exe", b"MZ")
     put("no_extension", QUOTE.encode() + b"x")
@@ -107,7 +107,7 @@ def files(tmp_path):
 
 
 EXPECTED = {
-    "견적 하나.txt": None, "두번째+a.PDF": None, "bytes.png": "undecodable_text", "nothing.xlsx": "empty_file", "blank.txt": "empty_text",
+    "견적 하나.txt": None, "두번째+a.PDF": None, "bytes.png": "undecodable_text", "blank.txt": "empty_text",
     "program.exe": "unsupported_extension", "no_extension": "unsupported_extension", "prose.txt": None,
 }
 
@@ -135,8 +135,7 @@ def test_stream_equals_batch_and_resumes(spark, files, tmp_path):
     folder = _folder(spark, "quotes")
 
     def run():
-        stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 3).load(files)
-        return _known(jobs.stream_quotes(stream, partners, folder))
+        return _known(jobs.stream_quotes(stream_files(spark, files, files_per_batch=3), partners, folder))
 
     assert run() == batch
     assert len(noted(spark, folder, "quotes")) >= 3
@@ -154,5 +153,5 @@ def test_no_files(spark, tmp_path):
     none = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     good, bad = jobs.intake_quotes(none, partners, _folder(spark, "quotes"))
     assert good.collect() == bad.collect() == []
-    odd = spark.createDataFrame([("a.txt", None, None, None)], none.schema)
-    assert [r["reject_reason"] for r in decoded_files(odd).collect()] == ["empty_text"]
+    odd = spark.createDataFrame([("a.txt", None, None, None), ("b.txt", None, 0, b"")], none.schema)
+    assert [r["reject_reason"] for r in decoded_files(odd).orderBy("path").collect()] == ["empty_text", "empty_file"]
