@@ -74,7 +74,7 @@ def compare_table(spark, d):
     from quotelake.operators.ranking import rank_quotes
 
     ranked = rank_quotes(scored_by_project(spark, d), ["project_id"], hot_keys(m.quotes(spark, d), ["project_id"]))
-    wanted = m.table(spark, d, "orders").where("o_custkey % 10 = 0 AND o_orderkey % 2 = 0").select(
+    wanted = m.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(
         F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("quote_id"))
     chosen = c.first_per_quote(c.select_rows(ranked, wanted, 10), ["project_id"])
     rows = c.highlights(with_total(c.conditions(chosen)), ["project_id"])
@@ -87,7 +87,7 @@ def compare_table(spark, d):
 def compare_cells(spark, d):
     """Cost cells with manual overrides on top, rows missing everywhere hidden."""
     cells = c.bucket_cells(breakdown_of(spark, d))
-    manual = m.table(spark, d, "orders").where("o_orderkey % 17 = 0").select(
+    manual = m.table(spark, d, "orders").where("o_orderpriority = '5-LOW'").select(
         F.col("o_orderkey").alias("supplier_id"), F.lit("콘텐츠").alias("row_label"), F.lit("확인함").alias("value"))
     return c.visible_rows(c.apply_overrides(cells, manual)).select("project_id", "supplier_id", "row_label", "value", "status")
 
@@ -182,7 +182,8 @@ ORACLE = {
  vn AS (SELECT *, row_number() OVER (PARTITION BY project_id, vendor_name ORDER BY final_score DESC, input_no) AS option_no, count(*) OVER (PARTITION BY project_id, vendor_name) AS option_count FROM vo)
  SELECT project_id, quote_id, vendor_name, option_no, option_count, CASE WHEN option_count > 1 THEN vendor_name || ' ' || option_no || '안' ELSE vendor_name END AS display_name FROM vn""", *PARTS),
     "compare_table": with_marts(ranked_sql(BY_PROJECT) + TOTAL + f""",
- pick AS (SELECT * FROM (SELECT *, project_id IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey % 2 = 0) AS chosen FROM tot) WHERE CASE WHEN chosen THEN quote_id % 2 = 0 ELSE rank <= 10 END),
+ wanted AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+ pick AS (SELECT * FROM (SELECT *, project_id IN (SELECT o_custkey FROM wanted) AS chosen FROM tot) WHERE CASE WHEN chosen THEN quote_id IN (SELECT o_orderkey FROM wanted) ELSE rank <= 10 END),
  hl AS (SELECT *, {_high(BY_PROJECT, '')}, row_number() OVER (PARTITION BY project_id ORDER BY final_score DESC, input_no) AS position FROM pick)
  SELECT project_id, quote_id, position, rank, final_score,
   coalesce(delivery_basis_raw, delivery_weeks || '주', '미기재') AS delivery_text,
@@ -195,8 +196,8 @@ ORACLE = {
  FROM hl WHERE position <= 8 OR chosen""", *PARTS),
     "compare_cells": with_marts(ranked_sql(BY_PROJECT) + BREAKDOWN + f""",
  cl AS (SELECT project_id, quote_id AS supplier_id, unnest({LABELS}) AS c FROM brk),
- ov AS (SELECT project_id, supplier_id, c.l AS row_label, CASE WHEN c.l = '콘텐츠' AND supplier_id % 17 = 0 THEN '확인함' ELSE c.v END AS value,
-   CASE WHEN c.l = '콘텐츠' AND supplier_id % 17 = 0 THEN NULL ELSE c.s END AS status FROM cl)
+ ov AS (SELECT project_id, supplier_id, c.l AS row_label, CASE WHEN c.l = '콘텐츠' AND supplier_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') THEN '확인함' ELSE c.v END AS value,
+   CASE WHEN c.l = '콘텐츠' AND supplier_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') THEN NULL ELSE c.s END AS status FROM cl)
  SELECT project_id, supplier_id, row_label, value, status FROM (SELECT *, bool_or(status IS NULL OR status <> 'missing') OVER (PARTITION BY project_id, row_label) AS shown FROM ov) WHERE shown""", *PARTS),
     "installation_included": with_marts(ranked_sql(BY_PROJECT) + """, il AS (SELECT DISTINCT quote_id AS iq FROM lines WHERE line_seq = 6 AND total_price > 0)
  SELECT project_id, quote_id, iq IS NOT NULL OR installation_score >= 80 AS installation_included, CASE WHEN has_install THEN true END AS included_by_notes FROM ranked LEFT JOIN il ON quote_id = iq""", *PARTS),

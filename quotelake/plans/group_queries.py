@@ -43,9 +43,10 @@ def group_counts(spark, d):
 
 
 def split_parent_dropped(spark, d):
-    """Every 12th quote also exists as two option children."""
+    """The quotes of one order status also exist as two option children."""
     base = m.quotes(spark, d).select(F.col("quote_id").cast("string").alias("quote_id"), "project_id")
-    parents = base.where(F.col("quote_id").cast("bigint") % 12 == 0)
+    split = m.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("quote_id"))
+    parents = base.join(split, "quote_id", "left_semi")
     kids = parents.withColumn("no", F.explode(F.array(F.lit("1"), F.lit("2")))).select(
         F.concat("quote_id", F.lit("_opt"), "no").alias("quote_id"),
         "project_id", F.col("quote_id").alias("parent_quote_id"))
@@ -121,8 +122,8 @@ ORACLE = {
  CASE WHEN NOT (m OR NOT any_m) THEN (CASE WHEN source = 'requirement' THEN '고객 요구사항의 비교 제품군과 불일치' ELSE '다른 업로드 견적서의 주요 제품군과 불일치' END) END AS exclusion_reason FROM scope""", *P),
     "group_counts": with_marts(GROUPED + """ SELECT project_id, product_group, count(*) AS quote_count, grouping(project_id, product_group)::INT AS level
  FROM gq GROUP BY ROLLUP (project_id, product_group)""", *P),
-    "split_parent_dropped": """SELECT CAST(o_orderkey AS VARCHAR) AS quote_id, o_custkey AS project_id, NULL::VARCHAR AS parent_quote_id FROM orders WHERE o_orderkey % 12 <> 0
- UNION ALL SELECT o_orderkey || '_opt' || k, o_custkey, CAST(o_orderkey AS VARCHAR) FROM orders, (VALUES ('1'), ('2')) t(k) WHERE o_orderkey % 12 = 0""",
+    "split_parent_dropped": """SELECT CAST(o_orderkey AS VARCHAR) AS quote_id, o_custkey AS project_id, NULL::VARCHAR AS parent_quote_id FROM orders WHERE o_orderstatus <> 'P'
+ UNION ALL SELECT o_orderkey || '_opt' || k, o_custkey, CAST(o_orderkey AS VARCHAR) FROM orders, (VALUES ('1'), ('2')) t(k) WHERE o_orderstatus = 'P'""",
     "run_counters": with_marts(GROUPED + SCOPE + """ SELECT project_id, count(CASE WHEN q.vendor_name IS NOT NULL OR q.line_count > 0 THEN 1 END) AS candidate_count,
  count(CASE WHEN q.vendor_name IS NULL AND q.line_count = 0 THEN 1 END) AS failed_candidate_count, count(CASE WHEN NOT (m OR NOT any_m) THEN 1 END) AS filtered_candidate_count
  FROM scope JOIN quotes q USING (project_id, quote_id) GROUP BY project_id""", *P),

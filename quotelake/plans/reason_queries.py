@@ -113,8 +113,8 @@ def cards_of(spark, d):
 def reasons_reconcile(spark, d):
     """Generated cards with gaps, repeats and strangers, filled from templates."""
     base = cards_of(spark, d)
-    gen = base.where("k % 5 <> 0").select("record_id", "quote_id", F.lit(1).alias("position"), F.concat(F.lit("생성 "), "quote_id").alias("card_summary"))
-    twice = base.where("k % 7 = 0 AND k % 5 <> 0").select("record_id", "quote_id", F.lit(2).alias("position"), F.lit("두번째").alias("card_summary"))
+    gen = base.where("warranty_months IS NOT NULL").select("record_id", "quote_id", F.lit(1).alias("position"), F.concat(F.lit("생성 "), "quote_id").alias("card_summary"))
+    twice = base.where("warranty_months = 12").select("record_id", "quote_id", F.lit(2).alias("position"), F.lit("두번째").alias("card_summary"))
     odd = base.where("rank = 1").select("record_id", F.concat(F.lit("x"), "quote_id").alias("quote_id"), F.lit(3).alias("position"), F.lit("모름").alias("card_summary"))
     template = base.select("record_id", "quote_id", F.lit("템플릿").alias("card_summary"))
     cards, warnings = e.reconcile(base.select("record_id", "quote_id"), gen.unionByName(twice).unionByName(odd), template)
@@ -238,9 +238,9 @@ ORACLE = {
     "risk_split": with_marts(TOPSQL + """ SELECT quote_id, CASE WHEN wide THEN '최저가 대비 가격 차이 5% 초과' ELSE '' END AS relative_risks,
  CASE WHEN check_required = '' THEN 0 ELSE len(string_split(check_required, '|')) END::INT AS check_count,
  len(list_filter(string_split(check_required, '|'), lambda z: contains(z, '납기') OR contains(z, '보증') OR contains(z, '확인 필요')))::INT AS decision_count, 0 AS parser_count FROM ranked""", *PARTS),
-    "reasons_reconcile": with_marts(ranked_sql(BY_PROJECT) + """, t AS (SELECT project_id AS record_id, CAST(quote_id AS VARCHAR) AS quote_id, quote_id AS k, rank FROM ranked WHERE rank <= 3)
- SELECT record_id, quote_id, CASE WHEN k % 5 <> 0 THEN '생성 ' || quote_id ELSE '템플릿' END AS card_summary, CASE WHEN k % 5 <> 0 THEN 'generated' ELSE 'fallback' END AS kind FROM t
- UNION ALL SELECT record_id, quote_id, NULL, 'missing' FROM t WHERE k % 5 = 0 UNION ALL SELECT record_id, quote_id, NULL, 'duplicate' FROM t WHERE k % 7 = 0 AND k % 5 <> 0
+    "reasons_reconcile": with_marts(ranked_sql(BY_PROJECT) + """, t AS (SELECT project_id AS record_id, CAST(quote_id AS VARCHAR) AS quote_id, warranty_months AS w, rank FROM ranked WHERE rank <= 3)
+ SELECT record_id, quote_id, CASE WHEN w IS NOT NULL THEN '생성 ' || quote_id ELSE '템플릿' END AS card_summary, CASE WHEN w IS NOT NULL THEN 'generated' ELSE 'fallback' END AS kind FROM t
+ UNION ALL SELECT record_id, quote_id, NULL, 'missing' FROM t WHERE w IS NULL UNION ALL SELECT record_id, quote_id, NULL, 'duplicate' FROM t WHERE w = 12
  UNION ALL SELECT record_id, 'x' || quote_id, NULL, 'unknown' FROM t WHERE rank = 1""", *PARTS),
     "reasons_violations": with_marts(VIOL + " SELECT record_id, quote_id, categories FROM vv", *PARTS),
     "violation_rates": with_marts(VIOL + """ SELECT CASE WHEN record_id % 2 = 0 THEN 'trap' ELSE 'control' END AS grp, count(CASE WHEN k % 9 <> 0 THEN 1 END) AS total_llm, count(CASE WHEN k % 9 <> 0 AND categories <> '' THEN 1 END) AS violations_raw,

@@ -50,13 +50,13 @@ def upsert_quotes(spark, d):
 
 
 def patch_projects(spark, d):
-    c = m.table(spark, d, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("location"))
-    changes = c.where("project_id % 3 = 0").select("project_id", F.when(F.col("project_id") % 2 == 0, F.lit("새 회사")).alias("company_name"), F.lit("서울").alias("location"))
-    return lc.patch(c, changes, ["project_id"], ["company_name", "location"])
+    c = m.table(spark, d, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("location"), "c_acctbal")
+    changes = c.where("location = 'BUILDING'").select("project_id", F.when(F.col("c_acctbal") < 0, F.lit("새 회사")).alias("company_name"), F.lit("서울").alias("location"))
+    return lc.patch(c.drop("c_acctbal"), changes, ["project_id"], ["company_name", "location"])
 
 
 def delete_projects(spark, d):
-    gone = m.table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("project_id"))
+    gone = m.table(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("project_id"))
     kids = m.table(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("quote_id"))
     return lc.delete_projects({"quotes": kids}, gone)["quotes"]
 
@@ -108,7 +108,8 @@ def quote_ids(spark, d):
 def stale_embeddings(spark, d):
     par = m.partners(spark, d)
     k = F.col("supp_key")
-    store = par.where("supp_key % 5 <> 0").select(
+    paid = m.table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("supp_key"))
+    store = par.join(paid, "supp_key", "left_semi").select(
         "name", F.when(k % 4 == 0, F.lit("old")).otherwise(sim.source_hash()).alias("source_hash"),
         F.array_repeat(F.lit(0.5), F.when(k % 7 == 0, 32).otherwise(64)).alias("vec"))
     return sim.stale_partners(par, store, 64).select("name")
@@ -167,8 +168,8 @@ ORACLE = {
     "recent_records": "SELECT event_id AS id, user_id AS project_id, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "upsert_quotes": """SELECT coalesce(o_orderkey, k) AS quote_id, coalesce(s, o_orderstatus) AS status, coalesce(p, o_totalprice) AS o_totalprice
  FROM orders FULL JOIN (SELECT l_orderkey AS k, max(l_linestatus) AS s, max(l_quantity)::DOUBLE AS p FROM lineitem GROUP BY 1) ON k = o_orderkey""",
-    "patch_projects": "SELECT c_custkey AS project_id, CASE WHEN c_custkey % 6 = 0 THEN '새 회사' ELSE c_name END AS company_name, CASE WHEN c_custkey % 3 = 0 THEN '서울' ELSE c_mktsegment END AS location FROM customer",
-    "delete_projects": "SELECT o_custkey AS project_id, o_orderkey AS quote_id FROM orders WHERE o_custkey % 5 <> 0",
+    "patch_projects": "SELECT c_custkey AS project_id, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal < 0 THEN '새 회사' ELSE c_name END AS company_name, CASE WHEN c_mktsegment = 'BUILDING' THEN '서울' ELSE c_mktsegment END AS location FROM customer",
+    "delete_projects": "SELECT o_custkey AS project_id, o_orderkey AS quote_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')",
     "confirmed_selection": "SELECT o_custkey AS project_id, o_orderpriority AS product_group, o_orderdate AS created_at, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "file_dedupe": "SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "intake_good_bad": """SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'unsupported_extension' WHEN doc_id % 10 = 0 THEN 'empty_file' END AS reject_reason,
@@ -180,7 +181,7 @@ ORACLE = {
     "quote_ids": with_marts(""" SELECT quote_id, CASE WHEN vendor_name IS NULL THEN 'unknown_vendor' WHEN quote_id % 3 = 0 THEN '주_' || replace(s_name, '#', '_') WHEN quote_id % 3 = 1 THEN replace(s_name, '#', '_') || '_주식회사' ELSE replace(s_name, '#', '_') END
   || '_' || strftime(received_at, '%Y%m%d_%H%M%S') || '_' || substr(sha256(CAST(quote_id AS VARCHAR)), 1, 8) AS new_id, false AS is_temporary, quote_id || '_opt2_LED_전광판_A' AS option_id
  FROM quotes LEFT JOIN supplier ON supp_key = s_suppkey""", LINES, QUOTES),
-    "stale_embeddings": "SELECT s_name AS name FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 4 = 0 OR s_suppkey % 7 = 0",
+    "stale_embeddings": "SELECT s_name AS name FROM supplier WHERE s_acctbal < 0 OR s_suppkey % 4 = 0 OR s_suppkey % 7 = 0",
     "embedding_text": with_marts(""" SELECT project_id, concat_ws(chr(10), '고객사: ' || customer_name, '요청 요약: ' || request_summary, '카테고리: ' || category, '지역: ' || region,
  '설치 일정: ' || install_schedule_text, '예산 상한: ' || budget_max || '원', CASE WHEN len(required_keywords) > 0 THEN '키워드: ' || array_to_string(required_keywords, ', ') END) AS text FROM reqs""", REQUIREMENTS),
     "quote_embedding_text": with_marts(""" SELECT quote_id, concat_ws(chr(10), '업체명: ' || nullif(trim(vendor_name), ''), '공급가 합계: ' || total_supply_price, 'VAT 포함 총액: ' || total_with_vat,
