@@ -93,11 +93,17 @@ def _named(rows: DataFrame) -> DataFrame:
 def write_shards(
     docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Write the documents as one Parquet folder per shard (shard=<bits>); a task holds one shard's rows at a time."""
+    """Write the documents as one Parquet folder per shard (shard=<bits>); a task holds one shard's rows at a time.
+
+    Where the documents have a column `shard` of their own, the folders take the first free of shard_, shard__, ...
+    """
+    folder = "shard"
+    while folder.lower() in {c.lower() for c in docs.columns}:
+        folder += "_"
     columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__document")
     rows = docs.select(F.col(id_col), F.col(text_col), columns)
     placed = _rows(rows, limit, id_col, text_col, PASS_BITS, ("__document",))
     named = placed.select(
         F.concat(F.lit("b"), F.substring(F.concat(F.lpad(F.bin("h"), BITS, "0"), F.lpad(F.bin("h2"), BITS, "0")),
-                                         F.lit(1), F.col("leaf"))).alias("shard"), "__document")
-    named.repartition("shard").select("shard", "__document.*").write.partitionBy("shard").parquet(path)
+                                         F.lit(1), F.col("leaf"))).alias("__shard"), "__document")
+    named.repartition("__shard").select(F.col("__shard").alias(folder), "__document.*").write.partitionBy(folder).parquet(path)

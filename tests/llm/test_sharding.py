@@ -69,3 +69,11 @@ def test_written_shards_and_empty_table(spark, tmp_path):
     sizes = back.groupBy("shard").agg({"text": "count"}).count()
     assert sizes == len({p for p in plain([r[:2] for r in rows], 2_000).values()})
     assert assign(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_documents_with_a_shard_column(spark, tmp_path):
+    df = spark.createDataFrame([(i, "word " * (i % 50), "a", "b") for i in range(300)], DOC)
+    assert "shard" in df.columns
+    write_shards(df.withColumnRenamed(df.columns[2], "SHARD_"), f"{tmp_path}/out", 2_000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 300 and back.columns[-1] == "shard__" and back.select("shard").distinct().count() == 1
