@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quotelake.functions.names import normalize_company
@@ -65,8 +67,9 @@ def delivery_validation(spark, d):
         "delivery_status", "delivery_message")
 
 
-def issues_of(spark, d):
-    quotes = named_quotes(spark, d)
+def issues_of(spark, d, quotes=None):
+    """Issues of a run over the stored quotes, or over the given ones."""
+    quotes = named_quotes(spark, d) if quotes is None else quotes
     partners = m.table(spark, d, "supplier").select(normalize_company(F.col("s_name")).alias("pk")).distinct()
     known = (
         quotes.withColumn("pk", normalize_company(F.col("vendor_name")))
@@ -95,13 +98,19 @@ def quality_summary(spark, d):
 
 
 def quality_diff(spark, d):
-    """Issues before and after the delivery weeks are normalized from the text."""
-    after_src = issues_of(spark, d)
-    before = after_src.select("quote_id", "detected_issues")
-    after = after_src.select(
-        "quote_id",
-        F.filter("detected_issues", lambda s: s != "delivery_weeks_not_normalized").alias("detected_issues"))
-    return q.quality_diff(before, after)
+    """Issues of the stored quotes and of a second run over the corrected ones."""
+    return q.quality_diff(issues_of(spark, d), issues_of(spark, d, corrected_quotes(spark, d)))
+
+
+def corrected_quotes(spark, d):
+    """Delivery weeks taken from the text, supply and total made to fit the lines, and residuals as a line."""
+    stored = named_quotes(spark, d)
+    fixed = q.reconcile_line_sum(q.apply_delivery(q.delivery_validation(stored)))
+    new = {
+        "total_supply_price": F.col("reconciled_supply"), "total_with_vat": F.col("reconciled_total"),
+        "line_sum": F.when(F.col("residual_amount").isNull(), F.col("line_sum")).otherwise(
+            F.coalesce("line_sum", F.lit(0)) + F.col("residual_amount"))}
+    return fixed.select(*[new.get(c, F.col(c)).alias(c) for c in stored.columns])
 
 
 QUERIES = {
@@ -179,6 +188,11 @@ iss AS (SELECT av.*, dl.delivery_status, dl.delivery_message, arith.bad,
   CASE WHEN arith.bad THEN '일부 품목의 수량×단가와 금액이 일치하지 않아 확인 필요' END, delivery_message) AS check_required
  FROM av JOIN dl USING (quote_id) LEFT JOIN arith ON av.quote_id = arith.quote_id)"""
 
+#: The same checks over the corrected quotes; weeks that the text decides are then normal.
+SECOND_RUN = re.sub(
+    r"\b(av0|av1|av2|av|dl|iss|quotes)\b", r"\1_2", AMOUNT + ISSUES[ISSUES.index(",\niss AS"):])
+
+
 P = (LINES, QUOTES)
 ORACLE = {
     "amount_validation": with_marts(AMOUNT + f" SELECT {', '.join(AMOUNT_COLS)} FROM av", *P),
@@ -216,7 +230,14 @@ FROM lines WHERE total_price <> CAST(quantity AS BIGINT) * unit_price""", LINES)
  (SELECT count(CASE WHEN line_seq = 1 THEN 1 END) FROM lines) AS display_spec_raw_present_count, 0 AS display_screen_size_extracted_count,
  0 AS display_resolution_extracted_count, 0 AS display_brightness_extracted_count, 0 AS display_pixel_pitch_extracted_count,
  0 AS display_power_consumption_extracted_count FROM iss""", *P),
-    "quality_diff": with_marts(ISSUES + """, n AS (SELECT quote_id, CASE WHEN detected_issues = '' THEN 0 ELSE len(string_split(detected_issues, '|')) END AS b,
-  CASE WHEN delivery_status = 'normalized' THEN 1 ELSE 0 END AS fixed FROM iss)
-SELECT quote_id, b - fixed AS after_issue_count, b AS before_issue_count, -fixed AS delta, fixed = 1 AS improved FROM n""", *P),
+    "quality_diff": with_marts(ISSUES + RECON + """,
+quotes_2 AS (SELECT rc.* EXCLUDE (supply, apply, residual_amount, reconciled_supply, reconciled_total) REPLACE (
+  reconciled_supply AS total_supply_price, reconciled_total AS total_with_vat,
+  CASE WHEN residual_amount IS NULL THEN line_sum ELSE coalesce(line_sum, 0) + residual_amount END AS line_sum) FROM rc),
+dl_2 AS (SELECT * REPLACE (CASE delivery_status WHEN 'normalized' THEN 'normal' ELSE delivery_status END AS delivery_status) FROM dl)"""
+        + SECOND_RUN + """,
+n AS (SELECT a.quote_id, len(string_split(a.detected_issues, '|')) - (a.detected_issues = '')::INT AS after_issue_count,
+  len(string_split(b.detected_issues, '|')) - (b.detected_issues = '')::INT AS before_issue_count FROM iss_2 a JOIN iss b USING (quote_id))
+SELECT quote_id, after_issue_count::INT AS after_issue_count, before_issue_count::INT AS before_issue_count,
+  (after_issue_count - before_issue_count)::INT AS delta, after_issue_count < before_issue_count AS improved FROM n""", *P),
 }
