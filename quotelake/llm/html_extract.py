@@ -227,9 +227,14 @@ def training_pages(sample: list[str], seed: int = 7) -> list[tuple[list[Block],
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limit: int = TRAIN_PAGES) -> Field:
-    """A model trained on a sample of at most `limit` pages, the first in the order of a hash of id and html."""
+    """A model trained on a sample of at most `limit` pages, the first in the order of a hash of id and html.
+
+    The hashes are chosen first, so a task sends numbers, not pages; only the chosen pages reach the driver.
+    """
     rows = pages.select(F.col(html_col).cast("string").alias("h"), F.xxhash64(F.col(id_col), F.col(html_col)).alias("k"))
-    sample = rows.where(F.length("h").between(1, TRAIN_CHARS)).orderBy("k", "h").limit(limit).select("h").collect()
+    rows = rows.where(F.length("h").between(1, TRAIN_CHARS))
+    chosen = rows.select("k").distinct().orderBy("k").limit(limit)
+    sample = rows.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect()
     return train(training_pages([r["h"] for r in sample]))
 
 

@@ -103,3 +103,19 @@ def test_article_after_icons(model, pages):
     for page in pages[25:40]:
         with_icons = page["html"].replace("<article>", '<article><svg class="icon"/><object><object></object>x</object>').replace("</p>", "<math/></p>")
         assert main_text(model, with_icons) == article(page["html"])
+
+
+@pytest.mark.parametrize("html", [
+    "<p class=don't>Hello</p>", '<p><img alt="5" wide">Hello</p>', "<p title='a > b' x>Hello</p>", '<p title = "a > b">Hello</p>',
+    '<p "odd">Hello</p>', "<p a='1'b=\"2\">Hello</p>", "<p onclick=\"f('<b>')\">Hello</p>", "<p =>Hello</p>", "<p data-x='it\"s'>Hello</p>"])
+def test_stray_quotes_are_no_text(html):
+    assert [b.text for b in read_page(html).blocks] == ["Hello"]
+
+
+def test_the_driver_gets_chosen_pages_only(spark, pages):
+    from quotelake.llm.html_extract import fit
+
+    some = [p for p in pages if p["html"]][:30]
+    df = spark.createDataFrame([(p["page_id"], p["html"]) for p in some] * 3, "page_id long, html string")
+    once = fit(df.limit(0).union(spark.createDataFrame([(p["page_id"], p["html"]) for p in some], df.schema)), limit=10)
+    assert all(np.allclose(a, b) for a, b in zip(vars(fit(df, limit=10)).values(), vars(once).values()) if isinstance(a, np.ndarray))
