@@ -27,7 +27,7 @@ WHOLE = frozenset(("title", "textarea"))
 
 _NAME = re.compile(r"[a-z]+")
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
 _CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in SILENT | WHOLE}
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
