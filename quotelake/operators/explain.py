@@ -83,11 +83,16 @@ def split_comparison(df: DataFrame) -> DataFrame:
     )
 
 
-def short_list(df: DataFrame, out: str, values: Column, limit: int = 2, default: str = NO_RISK) -> DataFrame:
-    """First ``limit`` short risks with different keys, ``default`` when there is none."""
+def first_of(values: Column, n: int | None) -> Column:
+    """The first ``n`` of an array; all where no number is named."""
+    return F.slice(values, 1, n) if n else values
+
+
+def short_list(df: DataFrame, out: str, values: Column, limit: int | None = None, default: str = NO_RISK) -> DataFrame:
+    """Short risks with different keys (the first ``limit``, where named), ``default`` when there is none."""
     staged = once(df, "_short", F.filter(F.transform(values, lambda s: short_risk(s)), lambda s: s != ""))
     staged = once(staged, "_keys", F.transform("_short", lambda s: risk_key(s)))
-    kept = F.slice(F.filter("_short", lambda s, i: F.array_position("_keys", F.get("_keys", i)) == i + 1), 1, limit)
+    kept = first_of(F.filter("_short", lambda s, i: F.array_position("_keys", F.get("_keys", i)) == i + 1), limit)
     return staged.withColumn(out, F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(default)))).drop("_short", "_keys")
 
 
@@ -103,13 +108,14 @@ def _two(score: Column) -> Column:
     return F.format_string("%.2f", score)
 
 
-def template_reasons(top3: DataFrame) -> DataFrame:
+def template_reasons(top3: DataFrame, keep: int | None = None, chars: int | None = None) -> DataFrame:
     """strengths, weaknesses and card_summary of every top quote.
 
-    Expects the flags of ``relative_position`` next to the scores.
+    Expects the flags of ``relative_position`` next to the scores. ``keep`` limits strengths and weaknesses, ``chars``
+    the length of a summary, where they are named.
     """
     risks = F.concat(decision_risks(F.col("check_required")), F.col("comparison_risks"))
-    base = short_list(top3, "_decided", risks)
+    base = short_list(top3, "_decided", risks, keep)
     clear_delivery = (F.coalesce("delivery_weeks", F.lit(0)) != 0) & ~_delivery_open()
     by_score = messages(
         ((F.col("delivery_score") < 70) & ~_delivery_open(), "납기 조건 확인 필요"),
@@ -118,7 +124,7 @@ def template_reasons(top3: DataFrame) -> DataFrame:
         (~F.col("partner_found"), "파트너 매칭 확인 필요"),
     )
     weak = F.when(F.get("_decided", F.lit(0)) != NO_RISK, F.col("_decided")).when(
-        F.size(by_score) > 0, F.slice(by_score, 1, 2)
+        F.size(by_score) > 0, first_of(by_score, keep)
     ).otherwise(F.array(F.lit(NO_RISK)))
     strong = messages(
         (F.col("is_highest_final_score"), F.concat(F.lit("최종 점수 "), _two(F.col("final_score")), F.lit("로 1위"))),
@@ -137,7 +143,7 @@ def template_reasons(top3: DataFrame) -> DataFrame:
         ),
         ((F.col("installation_score") >= 80) & ~_install_open(), "설치 조건 반영"),
     )
-    top = F.slice(F.array_distinct(strong), 1, 2)
+    top = first_of(F.array_distinct(strong), keep)
     first_risk = F.replace(F.get("weaknesses", F.lit(0)), F.lit(" 확인 필요"), F.lit(""))
     leader = (F.col("rank") == 1) & F.col("is_highest_final_score")
     return (
@@ -148,7 +154,7 @@ def template_reasons(top3: DataFrame) -> DataFrame:
             F.when(leader & F.col("is_best_price_score"), "최저가와 종합 점수에서 가장 우수한 견적입니다.")
             .when(leader, "종합 점수가 가장 높은 추천 견적입니다.")
             .when(clear_delivery, "납기는 명확하지만 가격과 조건 확인이 필요합니다.")
-            .when(F.get("weaknesses", F.lit(0)) != NO_RISK, trim_sentence(F.concat(first_risk, F.lit(" 확인이 필요한 견적입니다.")), 45))
+            .when(F.get("weaknesses", F.lit(0)) != NO_RISK, trim_sentence(F.concat(first_risk, F.lit(" 확인이 필요한 견적입니다.")), chars))
             .otherwise("주요 점수가 균형적인 비교 후보입니다."),
         )
         .withColumn("_clear", clear_delivery)
@@ -156,8 +162,10 @@ def template_reasons(top3: DataFrame) -> DataFrame:
     )
 
 
-def trim_sentence(text: Column, limit: int = 60) -> Column:
+def trim_sentence(text: Column, limit: int | None = None) -> Column:
     clean = one_space(text)
+    if not limit:
+        return clean
     return F.when(F.length(clean) <= limit, clean).otherwise(
         F.concat(F.rtrim(F.substring(clean, 1, limit - 1)), F.lit("…"))
     )
@@ -193,13 +201,12 @@ def clean_generated(df: DataFrame, chars: int | None = None, keep: int | None =
     ``chars`` cuts each strength and ``keep`` the list, where they are named.
     """
     claims = lambda s, word: s.contains(word) & contains_any(s, ADVANTAGE_WORDS)
-    first = lambda c: F.slice(c, 1, keep) if keep else c
     short = lambda s: F.substring(one_space(s), 1, chars) if chars else one_space(s)
-    limited = first(F.transform(F.filter("strengths", lambda s: F.trim(s) != ""), short))
+    limited = first_of(F.transform(F.filter("strengths", lambda s: F.trim(s) != ""), short), keep)
     staged = df.withColumn("_d", _delivery_open()).withColumn("_i", _install_open())
-    kept = first(F.array_distinct(F.filter(
+    kept = first_of(F.array_distinct(F.filter(
         limited, lambda s: ~is_parser_note(s) & ~(F.col("_d") & claims(s, "납기")) & ~(F.col("_i") & claims(s, "설치")),
-    )))
+    )), keep)
     return staged.withColumn("strengths", F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(NO_STRENGTH)))).drop("_d", "_i")
 
 

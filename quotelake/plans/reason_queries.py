@@ -89,13 +89,14 @@ def top3(spark, d):
 
 
 def reasons_template(spark, d):
-    return e.template_reasons(top3(spark, d)).select(
+    """With the card limits of the compared system: two strengths, two weaknesses, 45 characters."""
+    return e.template_reasons(top3(spark, d), keep=2, chars=45).select(
         "project_id", "quote_id", "rank", "card_summary", F.array_join("strengths", "|").alias("strengths"),
         F.array_join("weaknesses", "|").alias("weaknesses"))
 
 
 def reasons_summary(spark, d):
-    return e.overall_summaries(e.template_reasons(top3(spark, d)), ["project_id"])
+    return e.overall_summaries(e.template_reasons(top3(spark, d), keep=2, chars=45), ["project_id"])
 
 
 def risk_split(spark, d):

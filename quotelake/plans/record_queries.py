@@ -124,7 +124,7 @@ def quote_embedding_text(spark, d):
 
 
 def partner_history_text(spark, d):
-    return m.partners(spark, d).select("name", p.format_history(F.col("solution_breakdown")).alias("history"))
+    return m.partners(spark, d).select("name", p.format_history(F.col("solution_breakdown"), limit=6).alias("history"))
 
 
 def storage_projection(spark, d):
