@@ -194,6 +194,14 @@ def fold(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
+def voting_texts(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, y): one text for each picked id, that of the smallest hash where an id repeats."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    known = texts.join(F.broadcast(picked), "id").groupBy("id", "y")
+    one = known.agg(F.min(F.struct(F.xxhash64("t").alias("k"), "t")).alias("one")).select("id", "one.t", "y")
+    return one.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # few rows, but each costs time
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     sample: int = SAMPLE,
@@ -215,11 +223,8 @@ def fit(
                  pa.array([x.tolist() for x in n], pa.list_(pa.float64()))], names=["id", "y", "at", "n"]
             )
 
-    # At most `sample` rows of at most SLOTS features each.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    found = texts.join(F.broadcast(picked), "id").select("id", "t", "y").mapInArrow(
+    found = voting_texts(docs, picked, id_col, text_col).mapInArrow(
         run, "id long, y int, at array<long>, n array<double>").toArrow()
-    found = found.take(np.lexsort([[str(x) for x in found["at"]], found["id"].to_numpy()])) if found.num_rows else found
     ids, first = np.unique(found["id"].to_numpy(), return_index=True)
     rows = np.zeros((len(ids), SLOTS), dtype=np.float32)
     for i, k in enumerate(first.tolist()):

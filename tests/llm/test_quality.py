@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from quotelake.llm.quality import NEIGHBOURS, POWER, PRIOR, counts, fit, keep_good, quality_scores, scored
+from quotelake.llm.quality import NEIGHBOURS, POWER, PRIOR, counts, fit, keep_good, quality_scores, scored, voting_texts
 from quotelake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -76,3 +76,13 @@ def test_no_labels_and_empty_tables(spark, tables):
     assert [r["score"] for r in quality_scores(d, lab).collect()] == [0.5, 0.5]
     assert quality_scores(spark.createDataFrame([], DOC), lab).collect() == []
     assert counts(None)[0].tolist() == [] == counts("")[0].tolist()
+
+
+def test_one_text_reaches_the_driver_for_each_id(spark):
+    docs = spark.range(20_000).selectExpr("id % 3 AS doc_id", "concat('text ', id % 7) AS text").unionByName(
+        spark.createDataFrame([(1, None), (5, "alone"), (9, "not picked")], "doc_id long, text string"))
+    picked = spark.createDataFrame([(0, 1), (1, 0), (5, 1), (6, 0)], "id long, y int")
+    rows = voting_texts(docs, picked, "doc_id", "text").collect()
+    assert sorted((r["id"], r["y"]) for r in rows) == [(0, 1), (1, 0), (5, 1)]
+    again = voting_texts(docs.repartition(7), picked, "doc_id", "text").collect()
+    assert {(r["id"], r["t"]) for r in rows} == {(r["id"], r["t"]) for r in again}
