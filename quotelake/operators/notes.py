@@ -129,29 +129,25 @@ def label_value_zip(docs: DataFrame, key: str = "quote_id") -> DataFrame:
     """Columns read one below the other: a run of bare labels followed by as many values.
 
     (key, pos, label, value). The last ``m`` labels of a run pair with the next ``m``
-    unlabelled lines, ``m`` as large as both allow and at least two.
+    unlabelled lines, ``m`` as large as both allow and at least two. Works inside each
+    document's own row: nothing is shuffled, joined or broadcast.
     """
-    lines = once(docs.select(key, "text"), "_p", F.filter(F.transform(lines_of(F.col("text")), clean_line), lambda s: s != ""))
-    rows = lines.select(key, F.posexplode("_p").alias("pos", "text")).withColumn("_l", F.trim(F.regexp_extract("text", LABEL, 1))).withColumn(
-        "_v", F.trim(F.regexp_extract("text", LABEL, 2))
-    )
-    kind = F.when(F.col("_l") == "", "V").when(F.col("_v") == "", "L").otherwise("X")
-    order = W.partitionBy(key).orderBy("pos")
-    marked = rows.withColumn("kind", kind).withColumn(
-        "_new", F.coalesce((F.col("kind") != F.lag("kind").over(order)).cast("int"), F.lit(1))
-    ).withColumn("run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    runs = marked.groupBy(key, "run").agg(F.min("pos").alias("start"), F.count("*").alias("n"), F.first("kind").alias("kind"))
-    nxt = W.partitionBy(key).orderBy("run")
-    pairs = runs.withColumn("_nk", F.lead("kind").over(nxt)).withColumn("_nn", F.lead("n").over(nxt)).withColumn(
-        "m", F.least("n", "_nn")
-    ).where((F.col("kind") == "L") & (F.col("_nk") == "V") & (F.col("m") >= 2))
-    cut = pairs.select(key, (F.col("start") + F.col("n")).alias("values_at"), "m")
-    slots = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1))).select(
-        key, (F.col("values_at") - F.col("m") + F.col("o")).alias("label_pos"), (F.col("values_at") + F.col("o")).alias("pos")
-    )
-    labels = rows.select(key, F.col("pos").alias("label_pos"), F.col("_l").alias("label"))
-    values = rows.select(key, "pos", F.col("text").alias("value"))
-    return slots.join(labels, [key, "label_pos"]).join(values, [key, "pos"]).select(key, "pos", "label", "value")
+    staged = once(docs.select(key, "text"), "_t", F.filter(F.transform(lines_of(F.col("text")), clean_line), lambda s: s != ""))
+    part = lambda s, i: F.trim(F.regexp_extract(s, LABEL, i))
+    staged = once(staged, "_p", F.transform("_t", lambda s: F.struct(s.alias("text"), part(s, 1).alias("l"), part(s, 2).alias("v"))))
+    kind = lambda r: F.when(r["l"] == "", "V").when(r["v"] == "", "L").otherwise("X")
+    staged = once(staged, "_k", F.transform("_p", kind))
+    opens = lambda i: (i == 0) | (F.get("_k", i) != F.get("_k", i - 1))
+    staged = once(staged, "_s", F.array_compact(F.transform("_k", lambda k, i: F.when(opens(i), i))))
+    after = lambda j: F.coalesce(F.get("_s", j), F.size("_k"))
+    cuts = F.transform("_s", lambda start, j: F.when(
+        (F.get("_k", start) == "L") & (F.get("_k", after(j + 1)) == "V"),
+        F.struct(after(j + 1).alias("at"), F.least(after(j + 1) - start, after(j + 2) - after(j + 1)).alias("m"))))
+    cut = staged.select(key, "_p", F.explode(F.filter(cuts, lambda c: c["m"] >= 2)).alias("_c"))
+    slots = F.transform(F.sequence(F.lit(0), F.col("_c.m") - 1), lambda o: F.struct(
+        (F.col("_c.at") + o).cast("bigint").alias("pos"), F.get("_p", F.col("_c.at") - F.col("_c.m") + o)["l"].alias("label"),
+        F.get("_p", F.col("_c.at") + o)["text"].alias("value")))
+    return cut.select(key, F.explode(slots).alias("_z")).select(key, "_z.pos", "_z.label", "_z.value")
 
 
 def term_value(text: Column) -> Column:
