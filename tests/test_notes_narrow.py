@@ -25,3 +25,8 @@ def test_labels_and_values_of_each_document(spark):
 def test_nothing_is_joined_or_moved(spark):
     plan = plan_of(n.label_value_zip(spark.createDataFrame(TEXTS, "quote_id long, text string")))
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_terms_need_no_join(spark):
+    terms = n.note_terms(spark.createDataFrame(TEXTS, "quote_id long, text string"))
+    assert "Join" not in plan_of(terms) and "Broadcast" not in plan_of(terms)
