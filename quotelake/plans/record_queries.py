@@ -138,15 +138,13 @@ def json_round_trip(spark, d):
 
 
 def stream_latest_state(spark, d):
-    ev = m.table(spark, d, "events")
-    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(d).select(
+    stream = m.table_stream(spark, d, "events").select(
         F.col("user_id").alias("project_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("status"), "value")
     return jobs.stream_latest_state(stream, jobs.work_folder(spark, "latest")).select("project_id", "created_at", "id", "status", "value")
 
 
 def stream_quote_intake(spark, d):
-    docs = m.table(spark, d, "documents")
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d).select(
+    stream = m.table_stream(spark, d, "documents").select(
         "doc_id", "text", F.timestamp_seconds(F.col("doc_id") + 1700000000).alias("ts"))
     good, bad = jobs.stream_intake(stream, jobs.work_folder(spark, "intake"))
     return good.unionByName(bad).select("file_hash", "reject_reason")

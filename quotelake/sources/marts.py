@@ -56,6 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files, be it one file or a folder of parts.
+
+    The stream source takes a single file by a pattern only; the one here matches that name and no other.
+    """
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def vector_count(spark: SparkSession, sf_dir: str) -> int:
     """Row count from Parquet footers; used only to wrap vector ids."""
     return table(spark, sf_dir, "embeddings").count()
