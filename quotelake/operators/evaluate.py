@@ -110,12 +110,14 @@ def card_violations(cards: DataFrame, items: DataFrame, check_words: int | None
         lambda s: contains_any(s, CRITICAL_WORDS) & (F.size(words(s)) > 0)
         & ~(said & F.exists(words(s), lambda w: weak.contains(w))),
     )
-    prices = F.transform(
-        F.regexp_extract_all(text, F.lit(r"(\d[\d,]*)\s*(?:만원|원)"), F.lit(1)),
+    stated = lambda unit: F.transform(
+        F.regexp_extract_all(text, F.lit(rf"(\d[\d,]*)\s*{unit}"), F.lit(1)),
         lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("bigint"),
     )
     supply = F.coalesce("total_supply_price", F.lit(0))
-    invented = F.exists(prices, lambda p: (supply == 0) | ~((p == supply) | (p == F.floor(supply / 10000))))
+    # an amount in 원 is the supply price itself, one in 만원 its whole ten thousands
+    other = lambda unit, want: F.exists(stated(unit), lambda p: (supply == 0) | (p != want))
+    invented = other("원", supply) | other("만원", F.expr("coalesce(total_supply_price, 0) div 10000"))
     found = messages(
         *[(text.contains(w), "banned_phrase") for w in BANNED_PHRASES],
         (known & F.coalesce(unreported, F.lit(False)), "check_required_missing"),
