@@ -2,7 +2,7 @@
 
 import pytest
 
-from quotelake.operators.evaluate import card_violations
+from quotelake.operators.evaluate import card_violations, category_counts
 
 CARD = "record_id string, quote_id string, vendor_name string, card_summary string, strengths array<string>, weaknesses array<string>"
 ITEM = ("record_id string, quote_id string, vendor_name string, check_required array<string>, warranty_months int, "
@@ -18,3 +18,12 @@ def test_price_guess(spark, said, supply, guessed):
     cards = spark.createDataFrame([("r", "q", "업체", said, ["가"], ["나"])], CARD)
     items = spark.createDataFrame([("r", "q", "업체", [], 12, supply, None, 3)], ITEM)
     assert ("price_guess" in card_violations(cards, items).first().categories) == guessed
+
+
+def checked(spark):
+    cards = spark.createDataFrame([("r", "q", "업체", "금액 1,234원", ["가"], ["나"])], CARD)
+    return card_violations(cards, spark.createDataFrame([("r", "q", "업체", [], 12, 12345678, None, 3)], ITEM))
+
+
+def test_price_guess_is_counted(spark):
+    assert [tuple(r) for r in category_counts(checked(spark), "record_id").collect()] == [("r", "price_guess", 1)]
