@@ -2,7 +2,7 @@
 
 import pytest
 
-from quotelake.operators.evaluate import card_violations, category_counts
+from quotelake.operators.evaluate import card_violations, category_counts, violation_rates
 
 CARD = "record_id string, quote_id string, vendor_name string, card_summary string, strengths array<string>, weaknesses array<string>"
 ITEM = ("record_id string, quote_id string, vendor_name string, check_required array<string>, warranty_months int, "
@@ -27,3 +27,8 @@ def checked(spark):
 
 def test_price_guess_is_counted(spark):
     assert [tuple(r) for r in category_counts(checked(spark), "record_id").collect()] == [("r", "price_guess", 1)]
+
+
+def test_price_guess_enters_the_rate(spark):
+    r = violation_rates(checked(spark), "record_id").first()
+    assert (r.violations_raw, r.violation_rate_primary) == (1, 1.0)
