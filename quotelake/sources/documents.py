@@ -29,21 +29,22 @@ def _text(column: Column) -> Column:
     return column.cast("string")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the source has fewer splits than cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows over every core, whatever the layout of the source.
 
     Rendering turns a few narrow columns into whole documents, so the narrow rows are moved,
-    never the texts. Sources that already have enough splits are left alone.
+    never the texts. The number of splits says nothing about rows: of the splits of a file only
+    those that hold the middle of a row group get any, and one row group may hold a million rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores if splits < cores else 4 * splits, key)
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures each document states."""
     k = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    return spread(orders).select(
+    return spread(orders, "o_orderkey").select(
         k.alias("quote_id"),
         F.col("o_custkey").alias("project_id"),
         F.to_date("o_orderdate").alias("stated_date"),
@@ -212,7 +213,8 @@ def quote_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``label: value`` request forms, one per customer."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return spread(customers, "c_custkey").select(
         k.alias("project_id"),
         F.col("c_name").alias("company_name"),
         F.when(k % 5 == 0, "미입력").otherwise(F.concat(F.lit("지점 "), _text(F.col("c_nationkey")))).alias("location"),
@@ -239,7 +241,7 @@ def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text requests with numbered sections and product blocks, one per customer."""
     k = F.col("c_custkey")
     n = _text
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(
         k.alias("project_id"),
         F.concat_ws(
             "\n",
