@@ -5,7 +5,9 @@ of its short substrings (grams): the one that the fewest needles hold. Texts are
 longest needle, so of a text of any length only small pieces and its marked positions are held at a time. A slice keeps only the positions whose gram is marked in a table of the anchors' hashes, a
 value of fixed size. Those positions meet the anchors by an equality join
 on the gram, the piece at the anchor's offset with the needle's length is cut out, and the pieces meet the needles by
-an equality join. Longest needle, gram lengths and marks are one scalar subquery: building the plan runs no job.
+an equality join. Longest needle, gram lengths and marks are one scalar subquery: building the plan runs no job. Many needles fill the marks, so that
+most positions pass: a caller that knows its needles to be few enough for every executor (:func:`few_enough`) has them
+broadcast, so that positions and pieces stay in their task and only pieces that are a needle are moved.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ LONG = 1 << 16
 SLICE = 64
 #: Marks of the table of anchors' hashes; a full one only means that more positions reach the join.
 MARKS = 1 << 15
+#: Needles of up to this many characters in all, each counted with 64 more for its row, are few enough for a broadcast.
+FEW_CHARACTERS = 64 << 20
 
 
 def anchors(needles: DataFrame, needle: str, keys: list[str], gram: int = GRAM) -> DataFrame:
@@ -59,11 +63,16 @@ def _sliced(texts: DataFrame, size: int) -> DataFrame:
     return staged.withColumn("_slice", F.explode(whole)).drop("_parts", "_more", "_text").withColumnRenamed("_slice", "_text")
 
 
+def few_enough(needles: DataFrame, needle_col: str, limit: int = FEW_CHARACTERS) -> bool:
+    """Whether the needles fit a broadcast; one small job over them."""
+    return needles.agg(F.coalesce(F.sum(F.length(needle_col) + 64), F.lit(0))).first()[0] <= limit
+
+
 def containment_join(
     texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, keys: list[str] | None = None,
-    keep_text: bool = True, gram: int = GRAM, long: int = LONG, size: int = SLICE,
+    keep_text: bool = True, gram: int = GRAM, long: int = LONG, size: int = SLICE, small: bool = False,
 ) -> DataFrame:
-    """Inner join of rows where ``text_col`` contains ``needle_col`` (equal ``keys`` first).
+    """Inner join of rows where ``text_col`` contains ``needle_col`` (equal ``keys`` first); ``small`` needles are broadcast.
 
     Empty needles match nothing; a needle that occurs twice in a text gives one row; null keys match nothing.
     Output: the columns of both sides, without the text when ``keep_text`` is off.
@@ -71,6 +80,7 @@ def containment_join(
     keys = keys or []
     real = needles.where(F.length(needle_col) > 0)
     found = anchors(real, needle_col, keys, gram)
+    near = F.broadcast if small else lambda side: side
     outline = _outline(found)
     ids = [c for c in texts.columns if keep_text or c != text_col]
     # No filter on the text: it may be an expression that would then be evaluated again. Empty ones have no slices.
@@ -87,6 +97,9 @@ def containment_join(
         *ids, "_gram", (F.col("_place") - start + 1).alias("_at"), F.substring(F.col("_text"), start, F.col("_longest") * 2).alias("_near"))
     shapes = found.select(*keys, "_gram", "_offset", F.length("_needle").alias("_size")).distinct()
     first = F.col("_at") - F.col("_offset")
-    pieces = hits.join(shapes, [*keys, "_gram"]).where(first >= 1).select(
-        *ids, F.substring(F.col("_near"), first, F.col("_size")).alias("_piece")).distinct()
-    return pieces.join(real.withColumn("_piece", F.col(needle_col)), [*keys, "_piece"]).drop("_piece")
+    pieces = hits.join(near(shapes), [*keys, "_gram"]).where(first >= 1).select(
+        *ids, F.substring(F.col("_near"), first, F.col("_size")).alias("_piece"))
+    wanted = real.withColumn("_piece", F.col(needle_col))
+    if small:  # pieces that are no needle end here, before anything is moved
+        pieces = pieces.join(near(wanted.select("_piece").distinct()), "_piece", "left_semi")
+    return pieces.distinct().join(near(wanted), [*keys, "_piece"]).drop("_piece")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelake.functions.expr import contains_any, first_match, once, strip
 from quotelake.functions.names import normalize_company
-from quotelake.operators.contain import containment_join
+from quotelake.operators.contain import containment_join, few_enough
 from quotelake.operators.extract import lines_of
 
 # Labels, names that are no company, known aliases, source confidences.
@@ -109,13 +109,14 @@ def vendor_candidates(
     ``docs`` has doc_id, text, file_name and vendor_name (the parser's own guess, may be empty).
     """
     needles = _needles(partners)
+    small = few_enough(needles, "needle")
     stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
     top = F.array_join(_first_lines(top_lines), "\n")
     # the two searched parts keep a blank between them, so no name can match across
     space = docs.select("doc_id", F.concat(normalize_company(top), F.lit(" "), normalize_company(F.col("file_name"))).alias("space"))
-    hits = containment_join(space, "space", needles, "needle", keep_text=False)
+    hits = containment_join(space, "space", needles, "needle", keep_text=False, small=small)
     name = docs.select("doc_id", normalize_company(stem).alias("space"))
-    file_hits = containment_join(name, "space", needles, "needle", keep_text=False)
+    file_hits = containment_join(name, "space", needles, "needle", keep_text=False, small=small)
     own = clean_candidate(F.col("vendor_name"))
     parts = [
         _rows(docs.where(valid_candidate(own)), own, "original", 0),

@@ -2,7 +2,7 @@
 
 import random
 
-from quotelake.operators.contain import anchors, containment_join
+from quotelake.operators.contain import anchors, containment_join, few_enough
 
 
 def _random(n, longest, seed):
@@ -50,3 +50,15 @@ def test_no_job_while_planning_and_a_text_of_20_mb(spark):
     found = containment_join(t, "t", n, "n", keep_text=False)
     assert len(tracker.getJobIdsForGroup()) == before
     assert sorted(r.n for r in found.collect()) == ["Supplier#000000077", "Supplier#000000500"]
+
+
+def test_few_needles_are_broadcast_and_only_hits_move(spark):
+    texts = ["abcabc", "사업자", "", None, "line\nbreak"] + _random(60, 300, 1)
+    needles = ["ab", "bc", "사업", "없는말", "", None, "ab", "e\nb"] + _random(100, 9, 2)
+    t = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    n = spark.createDataFrame(list(enumerate(needles)), "j int, n string")
+    want = sorted((i, j) for i, a in enumerate(texts) for j, b in enumerate(needles) if a and b and b in a)
+    found = containment_join(t, "t", n, "n", keep_text=False, small=True)
+    assert sorted((r.i, r.j) for r in found.collect()) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 3
+    assert few_enough(n, "n") and not few_enough(n, "n", limit=100)
