@@ -254,15 +254,17 @@ def drop_overhead(items: DataFrame, totals: DataFrame) -> DataFrame:
 
 def overhead_log(items: DataFrame, totals: DataFrame) -> DataFrame:
     amount = F.coalesce("amount", "supply_amount", F.lit(0))
-    sums = items.groupBy("quote_id").agg(F.sum(amount).alias("_sum"))
-    rows = items.where(contains_any(F.col("item_name"), OVERHEAD_NAMES)).withColumn("_amount", amount)
+    row = F.struct("item_no", "item_name", amount.alias("_amount"))
+    # one pass over the items: their sum and, beside it, the few rows that could go
+    seen = items.groupBy("quote_id").agg(
+        F.sum(amount).alias("_sum"), F.collect_list(F.when(contains_any(F.col("item_name"), OVERHEAD_NAMES), row)).alias("_rows"))
     hits = (
-        rows.select("quote_id", "item_no", "item_name", "_amount")
-        .join(sums, "quote_id")
+        seen.where(F.size("_rows") > 0)
         .join(totals.select("quote_id", F.col("supply_amount").alias("_supply")), "quote_id")
-        .where((F.col("_supply") > 0) & (F.col("_sum") - F.col("_amount") == F.col("_supply")))
+        .where(F.col("_supply") > 0)
+        .select("quote_id", F.explode(F.filter("_rows", lambda r: F.col("_sum") - r["_amount"] == F.col("_supply"))).alias("r"))
     )
-    first = hits.groupBy("quote_id").agg(F.min(F.struct("item_no", "item_name", "_amount")).alias("r"))
+    first = hits.groupBy("quote_id").agg(F.min("r").alias("r"))
     return first.select(
         "quote_id", F.col("r.item_no").alias("item_no"), F.col("r.item_name").alias("item_name"), F.col("r._amount").alias("amount"),
         F.lit("overhead row removed because remaining line item sum matches supply amount").alias("reason"),
