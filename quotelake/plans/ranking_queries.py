@@ -13,20 +13,39 @@ GROUP = ["project_id", "product_group"]
 
 
 def _inputs(spark, d):
-    return m.quotes(spark, d), m.requirements(spark, d), m.vectors(spark, d), m.partners(spark, d)
+    vectors = m.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return m.quotes(spark, d), m.requirements(spark, d), vectors, m.partners(spark, d)
 
 
 def grouped_quotes(spark, d):
     return m.quotes(spark, d).withColumn("product_group", m.product_group_of(F.col("product_type")))
 
 
+def build_standing(spark, d):
+    """Every quote next to its request, partner and the lowest prices it competes with: all that scores are made of."""
+    _, req, vec, par = _inputs(spark, d)
+    quotes = grouped_quotes(spark, d)
+    low = lambda keys, name: r.lowest_prices(quotes, keys).withColumnRenamed("lowest_price", name)
+    rows = r.compare_inputs(quotes, req, vec, par, r.few_vectors(vec)).join(
+        low(["project_id"], "lowest_in_project"), ["project_id"], "left").join(low(GROUP, "lowest_in_group"), GROUP, "left")
+    facts = [f"partner.{name}" for name in ("is_premium", "success_rate", "response_speed", "financial_status", "is_excluded")]
+    rows = rows.withColumn("partner", F.when(F.col("partner_found"), F.struct(*facts))).drop("partner_key")
+    return rows.hint("rebalance", "project_id")  # projects lie together; a large one is split again
+
+
+def standing(spark, d):
+    """The rows of :func:`build_standing`, written once: scores are a narrow pass over them, whatever the query does next."""
+    return m.stored(spark, d, "standing", build_standing)
+
+
 def scored_by_project(spark, d):
-    return r.score_quotes(*_inputs(spark, d))
+    rows = standing(spark, d).withColumnRenamed("lowest_in_project", "lowest_price")
+    return r.score_compared(rows.drop("lowest_in_group", "product_group"))
 
 
 def scored_by_group(spark, d):
-    _, req, vec, par = _inputs(spark, d)
-    return r.score_quotes(grouped_quotes(spark, d), req, vec, par, keys=GROUP)
+    rows = standing(spark, d).withColumnRenamed("lowest_in_group", "lowest_price")
+    return r.score_compared(rows.drop("lowest_in_project"))
 
 
 SCORE_COLS = [
