@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotelake.functions import vocab as v
@@ -103,13 +104,11 @@ POSITION_FLAGS = {
 def relative_position(top3: DataFrame, keys: list[str]) -> DataFrame:
     """Standing of each of the top rows among themselves.
 
-    The input holds at most three rows per set, so the small aggregate is joined back.
+    The input holds at most three rows per set, so a window over a set is small and the rows are made once.
     """
-    best = top3.groupBy(*keys).agg(*[agg(col).alias(f"_{flag}") for flag, (col, agg) in POSITION_FLAGS.items()])
-    out = top3.join(best, keys)
-    for flag, (col, _) in POSITION_FLAGS.items():
-        out = out.withColumn(flag, F.coalesce(F.col(col) == F.col(f"_{flag}"), F.lit(False))).drop(f"_{flag}")
-    return out
+    together = W.partitionBy(*keys)
+    return top3.withColumns({
+        flag: F.coalesce(F.col(col) == agg(col).over(together), F.lit(False)) for flag, (col, agg) in POSITION_FLAGS.items()})
 
 
 # ------------------------------------------------------------- hardware and installs
@@ -264,8 +263,8 @@ def badges(rows: DataFrame) -> DataFrame:
 
 def first_per_quote(rows: DataFrame, keys: list[str]) -> DataFrame:
     """First row per quote id in input order; rows without an id all pass."""
-    with_id = best_per_group(rows.where(F.col("quote_id").isNotNull()), [*keys, "quote_id"], [F.col("input_no")])
-    return with_id.unionByName(rows.where(F.col("quote_id").isNull()))
+    loose = F.when(F.col("quote_id").isNull(), F.monotonically_increasing_id())
+    return best_per_group(rows.withColumn("_loose", loose), [*keys, "quote_id", "_loose"], [F.col("input_no")]).drop("_loose")
 
 
 def select_rows(rows: DataFrame, wanted: DataFrame | None, n: int | None) -> DataFrame:
@@ -273,12 +272,14 @@ def select_rows(rows: DataFrame, wanted: DataFrame | None, n: int | None) -> Dat
 
     ``chosen`` tells which.
     """
-    fallback = (rows.where(F.col("rank") <= n) if n else rows).withColumn("chosen", F.lit(False))
+    unnamed = F.col("rank") <= n if n else F.lit(True)
     if wanted is None:
-        return fallback
-    named = wanted.select("project_id").distinct()
-    picked = rows.join(wanted.select("project_id", "quote_id").distinct(), ["project_id", "quote_id"], "left_semi")
-    return picked.withColumn("chosen", F.lit(True)).unionByName(fallback.join(named, "project_id", "left_anti"))
+        return rows.where(unnamed).withColumn("chosen", F.lit(False))
+    named = wanted.select("project_id").distinct().withColumn("chosen", F.lit(True))
+    picked = wanted.select("project_id", "quote_id").distinct().withColumn("_picked", F.lit(True))
+    marked = rows.join(named, "project_id", "left").join(picked, ["project_id", "quote_id"], "left")
+    return marked.withColumn("chosen", F.coalesce("chosen", F.lit(False))).where(
+        F.when(F.col("chosen"), F.col("_picked").isNotNull()).otherwise(unnamed)).drop("_picked")
 
 
 def display_order(
