@@ -43,8 +43,11 @@ def compact(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")))
 
 
-# Fixed value: character class of every Unicode whitespace (the plain ``\\s`` of the regex engine is ASCII only).
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Every Unicode whitespace (the plain ``\\s`` of the regex engine is ASCII only). The characters below 256 are
+# named one by one, which the engine keeps as one bit set; the others stand behind one range, so that a letter fails at once.
+_SPACES = r"\t\x0b\f \x1c\x1d\x1e\x1f\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+SPACE = rf"[\r\n{_SPACES}]"
+SPACE_IN_LINE = f"[{_SPACES}]"
 
 
 def squeeze(text: Column) -> Column:

@@ -24,9 +24,9 @@ def parse_amount(text: Column) -> Column:
     unit_pattern = rf"(\d+(?:\.\d+)?)\s*({UNIT_PATTERN})?"
     unit = F.coalesce(lookup(F.regexp_extract(t, unit_pattern, 2), UNIT_VALUE), F.lit(1))
     return F.coalesce(
-        to_long(group1(t, COMMA_AMOUNT)),
-        group1(t, r"(\d{5,})\s*원?").try_cast("bigint"),
-        (group1(t, unit_pattern).try_cast("double") * unit).cast("bigint"),
+        to_long(F.regexp_extract(t, COMMA_AMOUNT, 1)),
+        F.regexp_extract(t, r"(\d{5,})\s*원?", 1).try_cast("bigint"),
+        (F.regexp_extract(t, unit_pattern, 1).try_cast("double") * unit).cast("bigint"),
     )
 
 
@@ -46,7 +46,7 @@ def unit_amounts(text: Column) -> Column:
 
 
 def last_of(values: Column) -> Column:
-    return F.get(values, F.size(values) - 1)
+    return F.try_element_at(values, F.lit(-1))
 
 
 def request_money(text: Column) -> Column:

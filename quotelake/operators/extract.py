@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import contains_any, first_match, group1, once, one_space, strip
+from quotelake.functions.expr import SPACE_IN_LINE, contains_any, first_match, group1, once, one_space, strip
 from quotelake.functions.money import (
     amounts_in, comma_amounts, dates_in, duration_days, duration_months, korean_months, last_of, normalize_date,
     parse_amount, unit_amounts,
@@ -29,6 +29,9 @@ TAX_LABELS = [r"(?:세\s*액|세액|부가\s*가치\s*세|부가\s*세|부가세
 TOTAL_TOKENS = ["부가세포함가", "전체합계", "전체합계(vat포함)", "vat합계", "총금액", "vat포함"]
 TAX_TOKENS = ["부가가치세", "부가세", "세액"]
 SUPPLY_TOKENS = ["공급가액", "공급금액", "공급가", "vat별도", "소계", "합계"]
+#: The shortest of all these; a text that holds none of them holds none of the others.
+SUMMARY_TOKENS = [t for t in TOTAL_TOKENS + TAX_TOKENS + SUPPLY_TOKENS if not any(
+    o != t and o in t for o in TOTAL_TOKENS + TAX_TOKENS + SUPPLY_TOKENS)]
 DATE_LABEL = r"(?:견적일|견적일자|작성일|발행일|견적일시)\s*[:：]?\s*(\d{4}[.\-/년\s]+\d{1,2}[.\-/월\s]+\d{1,2})"
 DELIVERY_RANGE = r"(?i)(?:납기|delivery)\s*[:：]?\s*(?:계약\s*후|발주\s*후)?\s*(\d+)\s*[~～\-]\s*(\d+)\s*주"
 DELIVERY_PATTERNS = [
@@ -80,6 +83,11 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), NEWLINE)
 
 
+def spaced_lines(text: Column) -> Column:
+    """Lines with each run of whitespace as one blank, made in one pass over the text."""
+    return lines_of(F.regexp_replace(text, SPACE_IN_LINE + "+", " "))
+
+
 def clean_text(text: Column) -> Column:
     """Recognition marks removed, blanks and empty lines squeezed."""
     t = F.replace(text, F.lit(":unselected:"), F.lit(" "))
@@ -107,37 +115,34 @@ def summary_amounts(docs: DataFrame) -> DataFrame:
 
     The amount sits on the labelled line or on one of the next two; the largest per label wins.
     """
-    lines = F.filter(F.transform(lines_of(F.col("text")), lambda s: one_space(s)), lambda s: s != "")
+    lines = F.filter(F.transform(spaced_lines(F.col("text")), lambda s: F.trim(s)), lambda s: s != "")
     staged = once(docs, "_lines", lines)
     near = lambda i, n: F.array_join(F.slice(F.col("_lines"), i + 1, F.lit(n)), " ")
-    entry = lambda s, i: F.struct(
-        F.lower(F.regexp_replace(s, r"(?U)\s+", "")).alias("label"),
-        amounts_in(s).alias("own"),
-        i.alias("i"),
-    )
-    staged = staged.withColumn("_own", F.transform("_lines", entry))
+    labels = F.transform("_lines", lambda s, i: F.struct(F.lower(_no_space(s)).alias("label"), i.alias("i")))
+    named = F.filter(labels, lambda r: contains_any(r["label"], SUMMARY_TOKENS) | (r["label"] == "vat"))
+    kind = lambda label: first_match([
+        (contains_any(label, TOTAL_TOKENS), "total"), (contains_any(label, TAX_TOKENS) | (label == "vat"), "tax")], "supply")
+    # amounts are sought near the few lines that name one
+    own = F.transform(named, lambda r: F.struct(
+        kind(r["label"]).alias("kind"), r["label"].contains("vat별도").alias("paired"), r["i"].alias("i"),
+        amounts_in(F.get("_lines", r["i"])).alias("own")))
+    staged = once(staged, "_own", own)
     staged = once(
         staged,
         "_rows",
         F.transform(
             "_own",
             lambda r: F.struct(
-                r["label"].alias("label"),
+                r["kind"].alias("kind"),
                 last_of(F.when(F.size(r["own"]) > 0, r["own"]).otherwise(amounts_in(near(r["i"], 3)))).alias("amount"),
                 F.when(
-                    r["label"].contains("vat별도"),
-                    F.when(F.size(r["own"]) >= 2, r["own"]).otherwise(amounts_in(near(r["i"], 2))),
+                    r["paired"], F.when(F.size(r["own"]) >= 2, r["own"]).otherwise(amounts_in(near(r["i"], 2))),
                 ).alias("pair"),
             ),
         ),
     )
-    kind = lambda r: first_match([
-        (contains_any(r["label"], TOTAL_TOKENS), "total"),
-        (contains_any(r["label"], TAX_TOKENS) | (r["label"] == "vat"), "tax"),
-        (contains_any(r["label"], SUPPLY_TOKENS), "supply"),
-    ])
     best = lambda k: F.array_max(
-        F.transform(F.filter("_rows", lambda r: (kind(r) == k) & (r["amount"] > 0)), lambda r: r["amount"])
+        F.transform(F.filter("_rows", lambda r: (r["kind"] == k) & (r["amount"] > 0)), lambda r: r["amount"])
     )
     paired = F.filter("_rows", lambda r: F.size(r["pair"]) >= 2)
     pair = lambda n: F.array_max(F.transform(paired, lambda r: F.get(r["pair"], F.lit(n))))
