@@ -7,6 +7,7 @@ narrow job; only corrections that compare a quote's items with its totals shuffl
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotelake.functions.expr import any_of, contains_any, group1, once, one_space, squeeze, strip, to_long
@@ -25,6 +26,9 @@ ROLE_WORDS = {
     "supply_amount": ["공급가액", "공급가", "견적금액", "금액", "소계"],
     "tax_amount": ["세액", "부가세", "vat"],
 }
+_WORDS = [word for words in ROLE_WORDS.values() for word in words]
+#: The shortest of all role words; a text that holds none of them holds none of the others.
+ANY_ROLE = [word for word in dict.fromkeys(_WORDS) if not any(other != word and other in word for other in _WORDS)]
 FINGERPRINT_ROLES = {
     "item_name": ["품명", "품목", "구분", "내용"], "quantity": ["수량", "qty"], "unit_price": ["단가"],
     "supply_amount": ["공급가액", "금액"], "tax_amount": ["세액", "부가세"],
@@ -65,21 +69,28 @@ def amount_only(text: Column) -> Column:
 
 
 def cell_amount(text: Column) -> Column:
-    return to_long(group1(text, AMOUNT_PATTERN))
+    return to_long(F.regexp_extract(text, AMOUNT_PATTERN, 1))
 
 
 def cell_number(text: Column) -> Column:
-    return group1(text, r"(\d+(?:\.\d+)?)").cast("double")
+    return F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
 def _first_of(values: Column) -> Column:
     return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
-def header_roles(tight_row: Column) -> Column:
+def header_positions(tight_row: Column) -> Column:
+    """Struct of the first column number per role, from one; zero or NULL where a role is absent."""
+    whole = F.array_join(tight_row, "\n")
+    position = lambda words: F.when(contains_any(whole, words), F.array_position(
+        F.transform(tight_row, lambda c: (c != "") & contains_any(c, words)), True))
+    return F.struct(*[position(words).alias(r) for r, words in ROLE_WORDS.items()])
+
+
+def header_roles(positions: Column) -> Column:
     """Struct of the first column index per role, NULL where a role is absent."""
-    position = lambda words: F.array_position(F.transform(tight_row, lambda c: contains_any(c, words)), True)
-    return F.struct(*[(F.nullif(position(words), F.lit(0)) - 1).cast("int").alias(r) for r, words in ROLE_WORDS.items()])
+    return F.struct(*[(F.nullif(positions[r], F.lit(0)) - 1).cast("int").alias(r) for r in ROLE_WORDS])
 
 
 def with_header(tables: DataFrame, header_rows: int | None = None) -> DataFrame:
@@ -90,7 +101,9 @@ def with_header(tables: DataFrame, header_rows: int | None = None) -> DataFrame:
     seen = F.slice("rows", 1, header_rows) if header_rows else F.col("rows")
     tight = F.transform(seen, lambda r: F.transform(r, lambda c: squeeze(c)))
     staged = once(tables, "_tight", tight)
-    staged = once(staged, "_roles", F.transform("_tight", lambda r: header_roles(r)))
+    # most rows hold no role word at all: one look at the whole row instead of one for each cell and role
+    seats = F.transform("_tight", lambda r: F.when(contains_any(F.array_join(r, "\n"), ANY_ROLE), header_positions(r)))
+    staged = once(staged, "_roles", F.transform(seats, lambda p: header_roles(p)))
     counted = F.transform(
         "_roles",
         lambda r, i: F.struct(
@@ -216,10 +229,11 @@ def headerless_items(tables: DataFrame) -> DataFrame:
 def detailed_tables_only(items: DataFrame) -> DataFrame:
     """Items of tables with quantity and unit-price columns, if the quote has any such table; else all.
 
-    Expects a boolean ``is_detailed`` per item row.
+    Expects a boolean ``is_detailed`` per item row. Items are made once: the rows of a quote, as many as its document
+    holds, meet in a window. Rows without a quote are left out.
     """
-    any_detailed = items.groupBy("quote_id").agg(F.bool_or("is_detailed").alias("_any"))
-    return items.join(any_detailed, "quote_id").where(F.col("is_detailed") | ~F.col("_any")).drop("_any")
+    seen = items.where(F.col("quote_id").isNotNull()).withColumn("_any", F.bool_or("is_detailed").over(W.partitionBy("quote_id")))
+    return seen.where(F.col("is_detailed") | ~F.col("_any")).drop("_any")
 
 
 def remove_summary_items(items: DataFrame) -> DataFrame:
