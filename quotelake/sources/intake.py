@@ -21,6 +21,10 @@ MSG_NO_QUOTE_ID = "quote_id가 없습니다."
 MSG_BAD_DOCUMENT = "유효하지 않은 QuoteDocument입니다."
 
 
+#: Columns of Spark's file source.
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files of a folder as (path, modificationTime, length, content). Spark's file source passes over files of no bytes."""
     return (
@@ -30,12 +34,36 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def stream_files(spark: SparkSession, path: str, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
     """The same as a stream of new files."""
-    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    reader = spark.readStream.format("binaryFile").schema(FILE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def write_bundles(files: DataFrame, folder: str) -> None:
+    """Pack files (path, content) into bundles: Parquet tables with the columns of the file source, one row a file.
+
+    Millions of small files cost a folder entry, an opening and a place in the driver's listing each; packed ones cost
+    their bytes. A file of any size is one row.
+    """
+    files.select(
+        "path", F.current_timestamp().alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content",
+    ).write.parquet(folder)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Files out of the bundles of a folder, in the columns of :func:`read_files`."""
+    return spark.read.schema(FILE).parquet(path)
+
+
+def stream_bundles(spark: SparkSession, path: str, bundles_per_batch: int | None = None) -> DataFrame:
+    """The same as a stream of new bundles."""
+    reader = spark.readStream.schema(FILE)
+    if bundles_per_batch:
+        reader = reader.option("maxFilesPerTrigger", bundles_per_batch)
+    return reader.parquet(path)
+
+
 def screen_files(files: DataFrame, name: Column | None = None, accepted: list[str] = QUOTE_EXTENSIONS) -> DataFrame:
     """Add ``reject_reason``: unsupported extension or empty file. The extension is that of ``name``, else of the path."""
     ext = F.lower(F.regexp_extract(F.col("path") if name is None else name, r"(\.[^./\\]+)$", 1))
