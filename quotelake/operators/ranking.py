@@ -148,10 +148,11 @@ def partner_index(partners: DataFrame) -> DataFrame:
     )
 
 
-def attach_partner(quotes: DataFrame, partners: DataFrame) -> DataFrame:
-    """Left join of the partner master on the normalized vendor name, with a found flag."""
+def attach_partner(quotes: DataFrame, partners: DataFrame, small: bool = False) -> DataFrame:
+    """Left join of the partner master (broadcast if ``small``) on the normalized vendor name, with a found flag."""
     keyed = quotes.withColumn("partner_key", normalize_company(F.col("vendor_name")))
-    return keyed.join(partner_index(partners), "partner_key", "left").withColumn(
+    index = partner_index(partners)
+    return keyed.join(F.broadcast(index) if small else index, "partner_key", "left").withColumn(
         "partner_found", F.col("partner").isNotNull()
     )
 
@@ -177,11 +178,13 @@ def few_vectors(vectors: DataFrame, limit: int = FEW_VECTOR_BYTES) -> bool:
 
 
 def compare_inputs(
-    quotes: DataFrame, requirements: DataFrame, vectors: DataFrame, partners: DataFrame, small: bool = False
+    quotes: DataFrame, requirements: DataFrame, vectors: DataFrame, partners: DataFrame, small: bool = False,
+    few_partners: bool = False,
 ) -> DataFrame:
     """Every quote with the cosine to its request, the request's limits and the facts of its partner.
 
     Vectors travel in the type they are stored in; ``small`` ones are broadcast, so that no quote moves with a vector.
+    ``few_partners`` are broadcast too.
     """
     normed = vectors.select("vec_id", "vec", norm(F.col("vec").cast("array<double>")).alias("n"))
     near = F.broadcast if small else lambda side: side
@@ -206,7 +209,7 @@ def compare_inputs(
     )
     facts = partners.select(
         "name", "supp_key", "is_premium", "success_rate", "response_speed", "financial_status", "is_excluded")
-    return attach_partner(compared, facts)
+    return attach_partner(compared, facts, few_partners)
 
 
 def score_quotes(

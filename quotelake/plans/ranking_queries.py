@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quotelake.operators import ranking as r
+from quotelake.operators.contain import few_enough
 from quotelake.operators.scale import hot_keys, position, rank_all
 from quotelake.plans.mart_sql import CORE, GROUP_CASE, PARTNERS, case, r2, with_marts
 from quotelake.sources import marts as m
@@ -22,15 +23,21 @@ def grouped_quotes(spark, d):
 
 
 def build_standing(spark, d):
-    """Every quote next to its request, partner and the lowest prices it competes with: all that scores are made of."""
+    """Every quote next to its request, partner and the lowest prices it competes with: all that scores are made of.
+
+    Lowest prices come as one row of a project, those of its few groups as a map, so that quotes meet them and their
+    request in one shuffle by project; it is a join's own, which Spark splits where a project is large.
+    """
     _, req, vec, par = _inputs(spark, d)
     quotes = grouped_quotes(spark, d)
-    low = lambda keys, name: r.lowest_prices(quotes, keys).withColumnRenamed("lowest_price", name)
-    rows = r.compare_inputs(quotes, req, vec, par, r.few_vectors(vec)).join(
-        low(["project_id"], "lowest_in_project"), ["project_id"], "left").join(low(GROUP, "lowest_in_group"), GROUP, "left")
+    lowest = r.lowest_prices(quotes, GROUP).groupBy("project_id").agg(
+        F.min("lowest_price").alias("lowest_in_project"),
+        F.map_from_entries(F.collect_list(F.struct("product_group", "lowest_price"))).alias("_lowest"))
+    priced = quotes.join(lowest, "project_id", "left").withColumn(
+        "lowest_in_group", F.try_element_at("_lowest", F.col("product_group"))).drop("_lowest")
+    rows = r.compare_inputs(priced, req, vec, par, r.few_vectors(vec), few_enough(par, "name"))
     facts = [f"partner.{name}" for name in ("is_premium", "success_rate", "response_speed", "financial_status", "is_excluded")]
-    rows = rows.withColumn("partner", F.when(F.col("partner_found"), F.struct(*facts))).drop("partner_key")
-    return rows.hint("rebalance", "project_id")  # projects lie together; a large one is split again
+    return rows.withColumn("partner", F.when(F.col("partner_found"), F.struct(*facts))).drop("partner_key")
 
 
 def standing(spark, d):
