@@ -38,6 +38,14 @@ def contains_any(text: Column, tokens: list[str]) -> Column:
     return text.rlike("|".join(re.sub(r"([\\^$.|?*+()\[\]{}\-])", r"\\\1", t) for t in tokens))
 
 
+def contains_any_case(text: Column, tokens: list[str]) -> Column:
+    """:func:`contains_any` of the text in lower case, without making it: lower-casing what is not ASCII is slow.
+
+    Tokens are in lower case; of ASCII letters no token may hold a k or end in i, which other capitals have as lower case.
+    """
+    return text.rlike("(?i)" + "|".join(re.sub(r"([\\^$.|?*+()\[\]{}\-])", r"\\\1", t) for t in tokens))
+
+
 def compact(text: Column) -> Column:
     """Lower-case with ASCII spaces removed; NULL reads as empty."""
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")))
@@ -59,6 +67,29 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: Every character of ``SPACE``.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", c))
+
+
+def strip_cell(text: Column) -> Column:
+    """:func:`strip` for short texts: no pattern is run, but positions of all characters are held."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def spaceless(text: Column) -> Column:
+    """Every kind of whitespace removed."""
+    return F.regexp_replace(text, SPACE + "+", "")
+
+
+def matched(text: Column, pattern: str, convert) -> Column:
+    """``convert`` of the first match's first group; NULL without a match, where nothing is converted.
+
+    A conversion of the empty string would fail, which costs as much as many matches.
+    """
+    found = F.filter(F.array(F.when(text != "", F.regexp_extract(text, pattern, 1))), lambda a: a != "")
+    return F.get(F.transform(found, convert), F.lit(0))
+
+
 def one_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 

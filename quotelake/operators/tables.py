@@ -6,11 +6,15 @@ narrow job; only corrections that compare a quote's items with its totals shuffl
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotelake.functions.expr import any_of, contains_any, group1, once, one_space, squeeze, strip, to_long
+from quotelake.functions.expr import (
+    any_of, contains_any, contains_any_case, group1, matched, once, one_space, spaceless, squeeze, strip, strip_cell, to_long,
+)
 from quotelake.functions.money import AMOUNT_PATTERN, amounts_in, last_of, quantity_unit
 from quotelake.functions.vocab import OVERHEAD_NAMES
 from quotelake.operators.extract import lines_of
@@ -29,6 +33,8 @@ ROLE_WORDS = {
 _WORDS = [word for words in ROLE_WORDS.values() for word in words]
 #: The shortest of all role words; a text that holds none of them holds none of the others.
 ANY_ROLE = [word for word in dict.fromkeys(_WORDS) if not any(other != word and other in word for other in _WORDS)]
+#: Two role words, one after the other; words of different roles cannot overlap.
+TWO_ROLE_WORDS = "(?is)" + ".*?".join(["(?:" + "|".join(re.escape(word) for word in ANY_ROLE) + ")"] * 2)
 FINGERPRINT_ROLES = {
     "item_name": ["품명", "품목", "구분", "내용"], "quantity": ["수량", "qty"], "unit_price": ["단가"],
     "supply_amount": ["공급가액", "금액"], "tax_amount": ["세액", "부가세"],
@@ -61,23 +67,21 @@ PROFILE_PATTERNS = {
 
 
 def is_summary(text: Column) -> Column:
-    return contains_any(squeeze(text), SUMMARY_WORDS)
+    return contains_any_case(spaceless(F.coalesce(text, F.lit(""))), SUMMARY_WORDS)
 
 
 def amount_only(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s₩￦\\,]", "").rlike(r"^\d+$")
+    """Digits, and beside them nothing but whitespace and marks of money."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole.rlike("[0-9]") & ~whole.rlike(r"(?U)[^0-9\s₩￦\\,]")
 
 
 def cell_amount(text: Column) -> Column:
-    return to_long(F.regexp_extract(text, AMOUNT_PATTERN, 1))
+    return matched(text, AMOUNT_PATTERN, to_long)
 
 
 def cell_number(text: Column) -> Column:
-    return F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-
-
-def _first_of(values: Column) -> Column:
-    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+    return matched(text, r"(\d+(?:\.\d+)?)", lambda a: a.try_cast("double"))
 
 
 def header_positions(tight_row: Column) -> Column:
@@ -98,18 +102,23 @@ def with_header(tables: DataFrame, header_rows: int | None = None) -> DataFrame:
 
     ``header_rows`` looks at the first rows only.
     """
+    return _headed(tables, header_rows).drop("_texts")
+
+
+def _headed(tables: DataFrame, header_rows: int | None = None) -> DataFrame:
+    """:func:`with_header`, with the text of every row looked at, without whitespace, as ``_texts``."""
     seen = F.slice("rows", 1, header_rows) if header_rows else F.col("rows")
-    tight = F.transform(seen, lambda r: F.transform(r, lambda c: squeeze(c)))
-    staged = once(tables, "_tight", tight)
-    # most rows hold no role word at all: one look at the whole row instead of one for each cell and role
-    seats = F.transform("_tight", lambda r: F.when(contains_any(F.array_join(r, "\n"), ANY_ROLE), header_positions(r)))
-    staged = once(staged, "_roles", F.transform(seats, lambda p: header_roles(p)))
-    counted = F.transform(
-        "_roles",
-        lambda r, i: F.struct(
-            sum((r[role].isNotNull().cast("int") for role in ROLE_WORDS), F.lit(0)).alias("n"),
-            (-i).alias("neg"),
-            r.alias("roles"),
+    staged = once(tables, "_texts", F.transform(seen, lambda r: spaceless(F.array_join(r, ""))))
+    # a header names two roles, so it holds two role words: one look at the whole row finds the few to look at by cells
+    marked = F.transform("_texts", lambda t, i: F.when(t.rlike(TWO_ROLE_WORDS), F.struct(
+        (-i).alias("neg"), F.transform(F.get(seen, i), lambda c: squeeze(c)).alias("tight"))))
+    staged = once(staged, "_marked", F.filter(marked, lambda m: m.isNotNull()))
+    staged = once(staged, "_seats", F.transform("_marked", lambda m: header_positions(m["tight"])))
+    counted = F.zip_with(
+        "_marked", "_seats",
+        lambda m, p: F.struct(
+            sum((F.coalesce(p[role] > 0, F.lit(False)).cast("int") for role in ROLE_WORDS), F.lit(0)).alias("n"), m["neg"].alias("neg"),
+            p.alias("positions"),
         ),
     )
     staged = once(staged, "_best", F.array_max(counted))
@@ -117,9 +126,9 @@ def with_header(tables: DataFrame, header_rows: int | None = None) -> DataFrame:
     ok = F.coalesce(best["n"] >= 2, F.lit(False))
     return (
         staged.withColumn("header_index", F.when(ok, -best["neg"]))
-        .withColumn("roles", F.when(ok, best["roles"]))
+        .withColumn("roles", F.when(ok, header_roles(best["positions"])))
         .withColumn("role_count", F.when(ok, best["n"]))
-        .drop("_tight", "_roles", "_best")
+        .drop("_marked", "_seats", "_best")
     )
 
 
@@ -129,54 +138,41 @@ def table_items(tables: DataFrame) -> DataFrame:
     Adds block_no, item_name, spec, quantity, unit, unit_price, supply_amount, tax_amount,
     amount and row_count.
     """
-    cell = lambda r, role: strip(F.coalesce(F.get(r, F.col("roles")[role]), F.lit("")))
-    body = F.filter(
-        F.slice("rows", F.col("header_index") + 2, F.size("rows")),
-        lambda r: (strip(F.array_join(r, " ")) != "") & ~is_summary(F.array_join(r, " ")),
-    )
-    parsed = F.transform(
-        body,
-        lambda r: F.struct(
-            cell(r, "item_name").alias("name"),
-            cell(r, "spec").alias("spec"),
-            cell_number(cell(r, "quantity")).alias("quantity"),
-            F.nullif(cell(r, "unit"), F.lit("")).alias("unit"),
-            cell_amount(cell(r, "unit_price")).alias("unit_price"),
-            cell_amount(cell(r, "supply_amount")).alias("supply_amount"),
-            cell_amount(cell(r, "tax_amount")).alias("tax_amount"),
-        ),
-    )
-    named = lambda r: (r["name"] != "") & ~amount_only(r["name"])
-    found = once(with_header(tables).where(F.col("roles.item_name").isNotNull()), "_body", parsed)
-    found = once(found, "_starts", F.array_compact(F.transform("_body", lambda r, i: F.when(named(r), i))))
+    at = lambda r, role: F.get(r, F.col("roles")[role])
+    cell = lambda r, role: strip_cell(F.coalesce(at(r, role), F.lit("")))
+    below = lambda c: F.slice(c, F.col("header_index") + 2, F.size("rows"))
+    seen = F.zip_with(below("rows"), below("_texts"), lambda r, t: F.when((t != "") & ~contains_any_case(t, SUMMARY_WORDS), r))
+    headed = _headed(tables).where(F.col("roles.item_name").isNotNull())
+    found = once(headed, "_body", F.filter(seen, lambda r: r.isNotNull())).drop("rows", "_texts")
+    named = lambda name: (name != "") & ~amount_only(name)
+    starts = F.transform("_body", lambda r, i: F.when(named(cell(r, "item_name")), i))
+    found = once(found, "_starts", F.array_compact(starts))
     block = F.transform(
         "_starts",
         lambda p, j: F.slice("_body", p + 1, F.coalesce(F.get("_starts", j + 1), F.size("_body")) - p),
     )
-    fill = lambda name: _first_of(F.transform("_block", lambda r: r[name]))
-    detail = F.transform(
-        "_block",
-        lambda r, i: F.when(i == 0, F.nullif(r["spec"], F.lit(""))).otherwise(
-            F.nullif(strip(F.concat_ws(" ", F.nullif(r["name"], F.lit("")), F.nullif(r["spec"], F.lit("")))), F.lit(""))
-        ),
-    )
-    details = F.filter(detail, lambda s, i: s.isNotNull() & ((i == 0) | ~amount_only(s)))
-    return (
-        found.withColumn("_blocks", block)
-        .select(*tables.columns, F.posexplode("_blocks").alias("block_no", "_block"))
-        .drop("rows")
-        .withColumn("item_name", F.get("_block", F.lit(0))["name"])
-        .withColumn("spec", clean_spec(F.array_join(details, " ")))
-        .withColumn("quantity", fill("quantity"))
-        .withColumn("unit", fill("unit"))
-        .withColumn("unit_price", fill("unit_price"))
-        .withColumn("supply_amount", fill("supply_amount"))
-        .withColumn("tax_amount", fill("tax_amount"))
-        .withColumn("amount", F.col("supply_amount"))
-        .withColumn("row_count", F.size("_block"))
-        .drop("_block")
-        .where(~is_summary(F.col("item_name")))
-    )
+    kept = [c for c in tables.columns if c != "rows"]
+    blocks = found.withColumn("_blocks", block).select(*kept, "roles", F.posexplode("_blocks").alias("block_no", "_block"))
+    # nearly all an item states stands in its first row: only where that has a gap are the others read
+    first, more = F.get("_block", F.lit(0)), F.slice("_block", F.lit(2), F.size("_block"))
+
+    def fill(role: str, read) -> Column:
+        later = F.get(F.filter(F.transform(more, lambda r: read(at(r, role))), lambda x: x.isNotNull()), F.lit(0))
+        return F.when(F.col("roles")[role].isNotNull(), F.coalesce(read(at(first, role)), later))
+
+    below_first = F.transform(more, lambda r: F.concat_ws(" ", *[F.nullif(cell(r, x), F.lit("")) for x in ("item_name", "spec")]))
+    details = F.concat(
+        F.array(F.nullif(cell(first, "spec"), F.lit(""))), F.filter(below_first, lambda s: (s != "") & ~amount_only(s)))
+    word = lambda x: F.nullif(strip_cell(x), F.lit(""))
+    item = F.struct(
+        cell(first, "item_name").alias("item_name"), clean_spec(F.array_join(details, " ")).alias("spec"),
+        fill("quantity", cell_number).alias("quantity"), fill("unit", word).alias("unit"),
+        *[fill(role, cell_amount).alias(role) for role in ("unit_price", "supply_amount", "tax_amount")],
+        F.size("_block").alias("row_count"))
+    names = ["item_name", "spec", "quantity", "unit", "unit_price", "supply_amount", "tax_amount"]
+    return once(blocks, "_item", item).select(
+        *kept, "block_no", *[f"_item.{n}" for n in names], F.col("_item.supply_amount").alias("amount"), "_item.row_count",
+    ).where(~is_summary(F.col("item_name")))
 
 
 def clean_spec(text: Column) -> Column:
@@ -243,8 +239,9 @@ def remove_summary_items(items: DataFrame) -> DataFrame:
 
 def remove_invalid_items(items: DataFrame) -> DataFrame:
     """Drop label-only, summary, dummy and unpriced rows."""
-    name = strip(F.coalesce("item_name", F.lit("")))
-    tight = F.lower(F.regexp_replace(name, r"(?U)\s+", ""))
+    name = strip_cell(F.coalesce("item_name", F.lit("")))
+    staged = once(items, "_tight", F.lower(F.regexp_replace(name, r"(?U)\s+", "")))
+    tight = F.col("_tight")
     amount = F.coalesce("amount", "supply_amount")
     label_only = tight.isin(SPEC_LABEL_NAMES) & F.coalesce(F.col("amount") < 100000, F.lit(True))
     meaningful = F.length(F.regexp_replace(name, "[^가-힣A-Za-z0-9]", ""))
@@ -253,17 +250,24 @@ def remove_invalid_items(items: DataFrame) -> DataFrame:
         label_only | tight.isin(SUMMARY_NAMES) | tight.rlike(DUMMY_NAME) | (meaningful < 2) | ~priced
         | (F.col("quantity").isNull() & amount.isNull())
     )
-    return items.where(~bad)
+    return staged.where(~bad).drop("_tight")
 
 
 def drop_overhead(items: DataFrame, totals: DataFrame) -> DataFrame:
     """Remove the first overhead row whose absence makes the items add up to the supply price.
 
-    ``totals`` has quote_id and supply_amount; removal is logged in ``removed`` rows of the
-    second output of :func:`overhead_log`.
+    ``totals`` has quote_id and supply_amount; :func:`overhead_log` names the removed rows. Items are made once: the rows
+    of a quote, as many as its document holds, meet in a window. Rows without a quote stay, and meet only their equals.
     """
-    hit = overhead_log(items, totals).select("quote_id", "item_no")
-    return items.join(hit, ["quote_id", "item_no"], "left_anti")
+    amount = F.coalesce("amount", "supply_amount", F.lit(0))
+    within = W.partitionBy("quote_id", F.when(F.col("quote_id").isNull(), F.xxhash64("item_no", "item_name")))
+    stated = totals.where(F.col("supply_amount") > 0).groupBy("quote_id").agg(F.collect_set("supply_amount").alias("_stated"))
+    row = F.struct("item_no", "item_name", amount.alias("_amount"))
+    seen = items.withColumn("_sum", F.sum(amount).over(within)).join(stated, "quote_id", "left")
+    fits = contains_any(F.col("item_name"), OVERHEAD_NAMES) & F.array_contains("_stated", F.col("_sum") - amount)
+    first = F.min(F.when(fits, row)).over(within)["item_no"]
+    left = seen.withColumn("_gone", F.coalesce(F.col("item_no") == first, F.lit(False))).where(~F.col("_gone"))
+    return left.select(*items.columns)
 
 
 def overhead_log(items: DataFrame, totals: DataFrame) -> DataFrame:
