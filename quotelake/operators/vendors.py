@@ -48,6 +48,14 @@ def _rows(df: DataFrame, value: Column, source: str, order: int) -> DataFrame:
     )
 
 
+def _name_hits(hits: DataFrame, alias: tuple[str, int], name: tuple[str, int]) -> DataFrame:
+    """Candidates of names found, with (source, order) by their kind; the look-up is read once for both kinds."""
+    kind = lambda x, y: F.when(F.col("is_alias"), F.lit(x)).otherwise(F.lit(y))
+    return hits.select(
+        "doc_id", F.col("canonical").alias("value"), kind(alias[0], name[0]).alias("source"),
+        kind(CONFIDENCE[alias[0]], CONFIDENCE[name[0]]).alias("confidence"), kind(alias[1], name[1]).alias("source_order"))
+
+
 def label_next_line(docs: DataFrame) -> DataFrame:
     """Company named within three lines below a label, other labels skipped."""
     lines = F.filter(F.transform(lines_of(F.col("text")), lambda s: strip(s)), lambda s: s != "")
@@ -121,11 +129,9 @@ def vendor_candidates(
     parts = [
         _rows(docs.where(valid_candidate(own)), own, "original", 0),
         label_next_line(docs),
-        _rows(hits.where("is_alias"), F.col("canonical"), "partner_alias", 2),
-        _rows(hits.where("NOT is_alias"), F.col("canonical"), "partner_master_text", 3),
+        _name_hits(hits, ("partner_alias", 2), ("partner_master_text", 3)),
         header_companies(docs, header_lines),
-        _rows(file_hits.where("is_alias"), F.col("canonical"), "file_name_alias", 5),
-        _rows(file_hits.where("NOT is_alias"), F.col("canonical"), "file_name", 6),
+        _name_hits(file_hits, ("file_name_alias", 5), ("file_name", 6)),
         _rows(docs, generic_file_vendor(stem), "file_name_fallback", 7),
     ]
     out = parts[0]
